@@ -15,9 +15,11 @@ from scenetally.session import pin
 BLOCK_ROWS = 8192
 
 
-def order_columns(order: list[str]) -> list[Column]:
-    """'-name' is descending, 'name' ascending."""
-    return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
+def order_columns(order: list[str], flip: bool = False) -> list[Column]:
+    """'-name' is descending, 'name' ascending; ``flip`` gives the exact reverse, also for nulls."""
+    return [
+        F.col(o.removeprefix("-")).desc() if o.startswith("-") != flip else F.col(o.removeprefix("-")).asc() for o in order
+    ]
 
 
 def sliced(df: DataFrame, group: list[str], order: list[str], slice_col: str = "_slice") -> DataFrame:
@@ -26,49 +28,59 @@ def sliced(df: DataFrame, group: list[str], order: list[str], slice_col: str = "
     return pin(ranged.withColumn(slice_col, F.spark_partition_id()))
 
 
-def running(df: DataFrame, group: list[str], order: list[str], scans: dict[str, tuple[str, str | None]]) -> DataFrame:
-    """Add inclusive running values.
+_FOLD = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min, "max_after": F.max}
+
+
+def _unit(kind: str, column: str | None) -> Column:
+    return F.lit(1).cast("long") if kind == "count" else F.col(column)
 
-    ``scans`` maps an output name to (kind, column), kind one of count, sum, max, min; a count takes no column and
-    gives the 1-based position. ``order`` must be a total order inside a group, else ties are in no fixed order.
-    """
-    parts = sliced(df, group, order)
-    fold = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
-    unit = {"count": lambda c: F.lit(1).cast("long"), "sum": F.col, "max": F.col, "min": F.col}
 
+def scan_slices(parts: DataFrame, group: list[str], order: list[str], scans: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Running values over rows that ``sliced`` has placed; _slice stays, so scans can follow each other.
+
+    Kinds: count, sum, max, min look back (inclusive); max_after looks ahead (inclusive).
+    """
     totals = parts.groupBy(*group, "_slice").agg(
-        *[fold[kind](unit[kind](col)).alias(f"_t_{out}") for out, (kind, col) in scans.items()]
-    )
-    before = (
-        Window.partitionBy(*[F.col(g) for g in group] or [F.lit(0)])
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        *[_FOLD[kind](_unit(kind, col)).alias(f"_t_{out}") for out, (kind, col) in scans.items()]
     )
+    # looking ahead is looking back in reverse order: a frame that ends unbounded is quadratic in Spark
+    by_slice = Window.partitionBy(*[F.col(g) for g in group] or [F.lit(0)])
+    earlier = by_slice.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    later = by_slice.orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *[F.col(g).alias(f"_g_{g}") for g in group],
         F.col("_slice").alias("_s"),
-        *[fold[kind](f"_t_{out}").over(before).alias(f"_b_{out}") for out, (kind, _) in scans.items()],
+        *[
+            _FOLD[kind](f"_t_{out}").over(later if kind == "max_after" else earlier).alias(f"_b_{out}")
+            for out, (kind, _) in scans.items()
+        ],
     )
     match = F.col("_slice") == F.col("_s")
     for g in group:
         match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    inside = (
-        Window.partitionBy(*group, "_slice")
-        .orderBy(*order_columns(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    joined = parts.join(carried, match, "left")
-    out_columns = [F.col(c) for c in df.columns]
+    inside = Window.partitionBy(*group, "_slice")
+    back = inside.orderBy(*order_columns(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = inside.orderBy(*order_columns(order, flip=True)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = []
     for out, (kind, col) in scans.items():
-        here, earlier = fold[kind](unit[kind](col)).over(inside), F.col(f"_b_{out}")
+        here = _FOLD[kind](_unit(kind, col)).over(ahead if kind == "max_after" else back)
+        carry = F.col(f"_b_{out}")
         if kind in ("count", "sum"):
-            value = F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0))
-        elif kind == "max":
-            value = F.greatest(here, earlier)
+            value = F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0))
+        elif kind == "min":
+            value = F.least(here, carry)
         else:
-            value = F.least(here, earlier)
-        out_columns.append(value.alias(out))
-    return joined.select(*out_columns)
+            value = F.greatest(here, carry)
+        added.append(value.alias(out))
+    return parts.join(carried, match, "left").select(*[F.col(c) for c in parts.columns], *added)
+
+
+def running(df: DataFrame, group: list[str], order: list[str], scans: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Add inclusive running values; a count takes no column and gives the 1-based position.
+
+    ``order`` must be a total order inside a group, else ties are in no fixed order.
+    """
+    return scan_slices(sliced(df, group, order), group, order, scans).drop("_slice")
 
 
 def positions(df: DataFrame, group: list[str], order: list[str], out: str = "pos") -> DataFrame:

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from scenetally.functions import arrays
 
 
-def class_mean_vector(df: DataFrame, cls: str, vector: str) -> DataFrame:
+def class_mean_vector(df: DataFrame, cls: str, vector: str, part: list[str] = ()) -> DataFrame:
     """(class, n, mean array). Vector sums are combined map-side, so a hot class costs one buffer per task."""
     v = array_to_vector(F.col(vector))
-    return df.groupBy(cls).agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(v)).alias("mean"))
+    return df.groupBy(cls, *part).agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(v)).alias("mean"))
 
 
 def merge_class_means(parts: DataFrame, cls: str) -> DataFrame:
@@ -71,9 +71,9 @@ def _packed(df: DataFrame, key: str, vector: str, n_blocks: int, prefix: str, ex
     packed = df.groupBy(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias(f"{prefix}_block")).agg(fields.alias("_m"))
     return packed.select(
         f"{prefix}_block",
-        F.transform("_m", lambda s: s["k"]).alias(f"{prefix}_keys"),
-        F.flatten(F.transform("_m", lambda s: s["v"])).alias(f"{prefix}_flat"),
-        *[F.transform("_m", lambda s, e=e: s[e]).alias(f"{prefix}_{e}") for e in extra],
+        F.col("_m.k").alias(f"{prefix}_keys"),
+        F.flatten("_m.v").alias(f"{prefix}_flat"),
+        *[F.col(f"_m.{e}").alias(f"{prefix}_{e}") for e in extra],
     )
 
 
@@ -85,7 +85,7 @@ def score_grid(
     a = _packed(left, left_key, vector, n_left, "l", list(extra))
     b = _packed(right, right_key, vector, n_right, "r")
     # each left block meets all right blocks through an equi-join on the right block number
-    a = a.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).cast("long"))
+    a = a.withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))))
     return a.join(b, "r_block")
 
 

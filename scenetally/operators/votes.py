@@ -161,7 +161,7 @@ def gather_assignments(votes: DataFrame, pair: str, order: list[str], fields: li
     """Answers per pair as parallel lists in submission order; a pair with more answers goes on in the next part."""
     placed = positions(votes, [pair], order, "_pos").withColumn("part", F.floor((F.col("_pos") - 1) / part_rows))
     rows = placed.groupBy(pair, "part").agg(F.array_sort(F.collect_list(F.struct("_pos", *fields))).alias("_l"))
-    return rows.select(pair, "part", *[F.transform("_l", lambda s, f=f: s[f]).alias(f) for f in fields])
+    return rows.select(pair, "part", *[F.col(f"_l.{f}").alias(f) for f in fields])
 
 
 def submissions_by_hour(df: DataFrame, at: str) -> DataFrame:

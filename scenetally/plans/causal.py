@@ -33,13 +33,9 @@ def _(t):
     f"WITH {EMB}, c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, n, dim::INT AS dim, round(m, 6) AS value FROM means JOIN c USING (label)",
 )
 def _(t):
-    # shards counted apart, then merged by their counts
-    shards = [t.embeddings.where(F.pmod("vec_id", F.lit(4)) == s) for s in range(4)]
-    parts = [ve.class_mean_vector(s, "label", "embedding") for s in shards]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    merged = ve.merge_class_means(whole, "label")
+    # shards are counted apart, then merged by their counts
+    sharded = t.embeddings.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(4)))
+    merged = ve.merge_class_means(ve.class_mean_vector(sharded, "label", "embedding", ["shard"]), "label")
     return merged.select("label", "n", F.posexplode("mean").alias("dim", "value")).select("label", "n", "dim", r("value"))
 
 
@@ -439,7 +435,8 @@ def _(t):
 
 @query(
     "top_k_answers",
-    """WITH k AS (SELECT user_id, event_type, sum(value) AS s, row_number() OVER (PARTITION BY user_id ORDER BY round(sum(value), 6) DESC, event_type) AS rank FROM events GROUP BY ALL)
+    """WITH s AS (SELECT user_id, event_type, round(sum(value), 6) AS s FROM events GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_type) AS rank FROM s)
     SELECT user_id, event_type, round(s, 4) AS score, rank::INT AS rank FROM k WHERE rank <= 3""",
 )
 def _(t):
