@@ -214,8 +214,10 @@ def coco_match_one(iou, areas, crowd, truth_areas, thresholds, ranges):
     matched, ignored = np.zeros(shape, dtype=bool), np.zeros(shape, dtype=bool)
     for i in range(n_d):
         allowed = (free | crowd) & (iou[i] >= level)
-        # in-range truths rank above ignored ones whatever their overlap
-        worth = np.where(allowed, iou[i] + np.where(off_range, 0.0, 2.0), -1.0)
+        # in-range truths go before ignored ones whatever their overlap
+        counted = np.where(allowed & ~off_range, iou[i], -1.0)
+        leftover = np.where(allowed & off_range, iou[i], -1.0)
+        worth = np.where((counted >= 0).any(axis=2)[:, :, None], counted, leftover)
         choice = n_g - 1 - worth[:, :, ::-1].argmax(axis=2)  # equal overlaps: the later truth wins
         hit = allowed.any(axis=2)
         matched[:, :, i] = hit
