@@ -49,13 +49,13 @@ def scan_slices(parts: DataFrame, group: list[str], order: list[str], scans: dic
     later = by_slice.orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *[F.col(g).alias(f"_g_{g}") for g in group],
-        F.col("_slice").alias("_s"),
+        F.col("_slice").alias("_totals_slice"),
         *[
             _FOLD[kind](f"_t_{out}").over(later if kind == "max_after" else earlier).alias(f"_b_{out}")
             for out, (kind, _) in scans.items()
         ],
     )
-    match = F.col("_slice") == F.col("_s")
+    match = F.col("_slice") == F.col("_totals_slice")
     for g in group:
         match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     inside = Window.partitionBy(*group, "_slice")

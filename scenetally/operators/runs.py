@@ -16,7 +16,7 @@ def mean_and_deviation(df: DataFrame, group: list[str], values: list[str], digit
     for v in values:
         text = F.concat(
             F.format_string(f"%.{digits}f", F.col(f"{v}_mean")),
-            F.coalesce(F.concat(F.lit("±"), F.format_string(f"%.{digits}f", F.col(f"{v}_std"))), F.lit("")),
+            F.when(F.col(f"{v}_std").isNull(), "").otherwise(F.format_string(f"±%.{digits}f", F.col(f"{v}_std"))),
         )
         out = out.withColumn(f"{v}_text", text)
     return out

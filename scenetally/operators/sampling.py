@@ -11,7 +11,7 @@ from scenetally.operators.ordered import positions
 
 def _other_place(pos: Column, count: Column, seed: int, key: str, tag: str) -> Column:
     """1-based place of another row, never the row's own (of one row only, the row itself)."""
-    return F.pmod(pos + hash_pick(F.greatest(count - 1, F.lit(1)), seed, tag, key), count) + 1
+    return F.pmod(pos + hash_pick(F.greatest(count - 1, F.lit(1)), seed, F.lit(tag), key), count) + 1
 
 
 def mismatch_captions(df: DataFrame, key: str, caption: str, seed: int, share: float = 0.5) -> DataFrame:
@@ -95,10 +95,15 @@ def negative_samples(entries: DataFrame, pool: DataFrame, key: str, image: str,
     drawn = drawn.join(captions.withColumnsRenamed({"_img": "_text_image", "_cap": "_text"}), "_text_image")
     drawn = drawn.join(captions.withColumnsRenamed({"_img": "_hard", "_cap": "_hard_text"}), "_hard", "left")
     rows = F.array(
-        F.struct(F.lit(0).alias("kind"), F.col(image).alias("image"), F.col(caption).alias("caption")),
-        F.struct(F.lit(1), F.col(image), F.col("_text")),
-        F.struct(F.lit(2), F.col("_other_image"), F.col(caption)),
-        F.struct(F.lit(3), F.col(image), F.coalesce("_hard_text", "_text")),
+        *[
+            F.struct(F.lit(kind).alias("kind"), img.alias("image"), text.alias("caption"))
+            for kind, img, text in (
+                (0, F.col(image), F.col(caption)),
+                (1, F.col(image), F.col("_text")),
+                (2, F.col("_other_image"), F.col(caption)),
+                (3, F.col(image), F.coalesce("_hard_text", "_text")),
+            )
+        ]
     )
     return drawn.select(key, F.explode(rows).alias("r")).select(key, "r.*", (F.col("r.kind") == 0).cast("int").alias("target"))
 
