@@ -111,9 +111,9 @@ def shown_on_change(df: DataFrame, order: list[str], column: str) -> DataFrame:
     return framed(placed, [], "_pos", 1, build).drop("_pos")
 
 
-def log_group_average(scores: DataFrame, file: str, line: str, score: str, world: str) -> DataFrame:
+def log_group_average(scores: DataFrame, file: str, order: list[str], score: str, world: str) -> DataFrame:
     """Mean of each run of ``world`` consecutive score lines; the i-th run belongs to the i-th checkpoint."""
-    placed = positions(scores, [file], [line], "_pos")
+    placed = positions(scores, [file], order, "_pos")
     return (
         placed.withColumn("checkpoint", F.floor((F.col("_pos") - 1) / F.col(world)))
         .groupBy(file, "checkpoint")

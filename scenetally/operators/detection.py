@@ -81,36 +81,78 @@ def weighted_map(aps: DataFrame) -> DataFrame:
     )
 
 
+def wide_curves(flags: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """Curves of all n settings of a tp / fp array at once: cum_i (true positives so far) and env_i per setting.
+
+    All settings rank the same detections, so they share one ordering instead of n copies of the rows.
+    """
+    names = [o.removeprefix("-") for o in order]
+    parts = sliced(flags.select(*keys, *names, "tp", "fp"), keys, order)
+    cells = parts.select(
+        *keys, *names, "_slice",
+        *[F.col("tp")[i].cast("long").alias(f"tp_{i}") for i in range(n)],
+        *[F.col("fp")[i].cast("long").alias(f"fp_{i}") for i in range(n)],
+    )
+    sums = {f"cum_{i}": ("sum", f"tp_{i}") for i in range(n)} | {f"miss_{i}": ("sum", f"fp_{i}") for i in range(n)}
+    summed = scan_slices(cells, keys, order, sums)
+    rated = summed.select(
+        *keys, *names, "_slice", *[f"tp_{i}" for i in range(n)], *[f"cum_{i}" for i in range(n)],
+        *[F.coalesce(F.try_divide(f"cum_{i}", F.col(f"cum_{i}") + F.col(f"miss_{i}")), F.lit(0.0)).alias(f"p_{i}") for i in range(n)],
+    )
+    return scan_slices(rated, keys, order, {f"env_{i}": ("max_after", f"p_{i}") for i in range(n)})
+
+
+def wide_area_ap(flags: DataFrame, cls: str, order: list[str], thresholds: list[float], positives: DataFrame) -> DataFrame:
+    """Area AP per (class, threshold) from a tp / fp array over the thresholds."""
+    n = len(thresholds)
+    curves = wide_curves(flags, [cls], order, n)
+    steps = curves.groupBy(cls).agg(
+        F.array(*[F.sum(F.when(F.col(f"tp_{i}") == 1, F.col(f"env_{i}")).otherwise(0.0)) for i in range(n)]).alias("step")
+    )
+    levels = F.array(*[F.lit(float(t)) for t in thresholds])
+    long = steps.join(positives, cls, "left").select(cls, "n_pos", F.explode(F.arrays_zip(levels.alias("threshold"), "step")).alias("s"))
+    return long.select(cls, "s.threshold", F.coalesce(F.try_divide("s.step", "n_pos"), F.lit(0.0)).alias("ap"), F.coalesce("n_pos", F.lit(0)).alias("n_pos"))
+
+
 def valid_truths(truths: DataFrame, cls: str, areas: dict[str, tuple[float, float]]) -> DataFrame:
-    """Truths that count per (class, area range)."""
-    ranges = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, (lo, hi) in areas.items()])
-    inside = F.filter(ranges, lambda a: (F.col("area") >= a["lo"]) & (F.col("area") <= a["hi"]))
-    spread = truths.where(~F.col("iscrowd").cast("boolean")).select(cls, F.explode(inside).alias("a"))
-    return spread.groupBy(cls, F.col("a.n").alias("area")).agg(F.count("*").alias("n_pos"))
+    """Array of the truths that count per area range, for every class."""
+    plain = ~F.col("iscrowd").cast("boolean")
+    counts = [F.count_if(plain & (F.col("area") >= lo) & (F.col("area") <= hi)) for lo, hi in areas.values()]
+    return truths.groupBy(cls).agg(F.array(*counts).alias("n_pos"))
 
 
-def coco_ap(flags: DataFrame, truths: DataFrame, image: str, cls: str, score: str, areas: dict[str, tuple[float, float]]) -> DataFrame:
-    """AP and final recall per (class, area, threshold), precision read at 101 recall levels.
+def coco_ap(
+    flags: DataFrame, truths: DataFrame, image: str, cls: str, score: str,
+    areas: dict[str, tuple[float, float]], thresholds: list[float] | None = None,
+) -> DataFrame:
+    """AP and final recall per (class, area, threshold), precision read at recall 0, .01 .. 1; wide flags in.
 
-    A level belongs to the first row whose recall reaches it; those are the true-positive rows and, for level 0, the
-    first row, so every level is read once without expanding rows by levels.
+    A recall level i/100 belongs to the first row that reaches it, which is a true positive, so the k-th of n true
+    positives reads 100k div n - 100(k-1) div n levels; level 0 reads the best precision of the curve.
     """
+    levels = thresholds or IOU_LEVELS
+    cells = [(a, j, t) for j, a in enumerate(areas) for t in levels]
     positives = valid_truths(truths, cls, areas)
-    # rows that count for nothing leave the sums as they are; the rest is pinned, or the sampling for the range
-    # partitioning would run the Python match a second time
-    counted = pin(flags.where("tp = 1 OR fp = 1"))
-    curve = precision_recall(counted, [cls, "area", "threshold"], [f"-{score}", image, "place"], positives, [cls, "area"])
-    levels = F.array(*[F.lit(v) for v in RECALL_LEVELS])
-    before = F.try_divide(F.col("cum_tp") - 1, F.col("n_pos"))
-    reached = F.size(F.filter(levels, lambda v: (v > before) & (v <= F.col("recall")) & (v > 0)))
-    share = F.when(F.col("tp") == 1, F.col("envelope") * reached).otherwise(0.0)
-    share = share + F.when(F.col("pos") == 1, F.col("envelope")).otherwise(0.0)
-    got = curve.groupBy(cls, "area", "threshold").agg((F.sum(share) / len(RECALL_LEVELS)).alias("ap"), F.max("recall").alias("recall"))
-    levels_seen = F.array(*[F.lit(t) for t in IOU_LEVELS])
-    wanted = positives.select(cls, "area", "n_pos", F.explode(levels_seen).alias("threshold"))
-    return wanted.join(got, [cls, "area", "threshold"], "left").select(
-        cls, "area", "threshold", "n_pos", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall")
+    # pinned, or the sampling for the range partitioning would run the Python match a second time
+    curves = wide_curves(pin(flags), [cls], [f"-{score}", image, "place"], len(cells))
+    counted = curves.join(positives, cls)
+
+    def share(i: int, j: int) -> Column:
+        k, n = F.col(f"cum_{i}") * 100, F.col("n_pos")[j]
+        read = F.floor(F.try_divide(k, n)) - F.floor(F.try_divide(k - 100, n))
+        return F.coalesce(F.sum(F.when(F.col(f"tp_{i}") == 1, F.col(f"env_{i}") * read)), F.lit(0.0))
+
+    got = counted.groupBy(cls).agg(
+        F.array(*[(share(i, j) + F.max(f"env_{i}")) / len(RECALL_LEVELS) for i, (_, j, _t) in enumerate(cells)]).alias("ap"),
+        F.array(*[F.max(f"cum_{i}") for i in range(len(cells))]).alias("found"),
     )
+    names = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(j).alias("j"), F.lit(float(t)).alias("threshold")) for a, j, t in cells])
+    rows = positives.join(got, cls, "left").select(cls, "n_pos", "ap", "found", F.posexplode(names).alias("i", "c"))
+    n = F.col("n_pos")[F.col("c.j")]
+    return rows.select(
+        cls, "c.area", "c.threshold", n.alias("n_pos"), F.coalesce(F.get("ap", F.col("i")), F.lit(0.0)).alias("ap"),
+        F.coalesce(F.try_divide(F.get("found", F.col("i")), n), F.lit(0.0)).alias("recall"),
+    ).where("n_pos > 0")
 
 
 def coco_summary(aps: DataFrame) -> DataFrame:

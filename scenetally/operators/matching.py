@@ -95,37 +95,45 @@ def best_truth(pairs: DataFrame, keys: list[str], det_id: str, truth_id: str, ke
     return best.select(*keys, det_id, (-F.col("_m.i")).alias("iou"), f"_m.{truth_id}", *[f"_m.{k}" for k in keep])
 
 
-def voc_match(
-    dets: DataFrame,
-    truths: DataFrame,
-    image: str,
-    cls: str,
-    det_id: str,
-    truth_id: str,
-    score: str,
-    thresholds: list[float],
-    offset: float = 1.0,
-    inclusive: bool = False,
+def voc_match_wide(
+    dets: DataFrame, truths: DataFrame, image: str, cls: str, det_id: str, truth_id: str, score: str,
+    thresholds: list[float], offset: float = 1.0, inclusive: bool = False,
 ) -> DataFrame:
-    """tp / fp flags per detection and IoU threshold.
+    """One row per detection with tp and fp arrays over the IoU thresholds.
 
     A detection only ever tries its one best truth, so the greedy pass reduces to: the first detection of a truth in
-    score order hits, later ones miss, difficult truths count for nothing.
+    score order whose overlap passes hits, later ones miss, difficult truths count for nothing. Whether an earlier one
+    passed a threshold follows from the best overlap so far, so one window serves all thresholds.
     """
     keys = [image, cls]
-    flags = truths.select("*") if "difficult" in truths.columns else truths.withColumn("difficult", F.lit(False))
+    flags = truths if "difficult" in truths.columns else truths.withColumn("difficult", F.lit(False))
     best = best_truth(overlaps(dets, flags, keys, det_id, truth_id, offset, ["difficult"]), keys, det_id, truth_id, ["difficult"])
     scored = dets.select(*keys, det_id, score).join(best, [*keys, det_id], "left")
+    earlier = Window.partitionBy(*keys, truth_id).orderBy(F.col(score).desc(), det_id).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.when(F.col(truth_id).isNotNull(), F.max("iou").over(earlier))
+    placed = scored.withColumn("_before", F.coalesce(seen, F.lit(-1.0))).withColumn("iou", F.coalesce("iou", F.lit(-1.0)))
+    easy = ~F.coalesce("difficult", F.lit(False))
+
+    def passes(value: Column, level: Column) -> Column:
+        return value >= level if inclusive else value > level
+
     levels = F.array(*[F.lit(float(t)) for t in thresholds])
-    by_level = scored.select("*", F.explode(levels).alias("threshold"))
-    over = F.col("iou") >= F.col("threshold") if inclusive else F.col("iou") > F.col("threshold")
-    hit = F.coalesce(over, F.lit(False))
-    target = F.when(hit & ~F.col("difficult"), F.col(truth_id))
-    order = Window.partitionBy(*keys, "threshold", "_target").orderBy(F.col(score).desc(), det_id)
-    placed = by_level.withColumn("_target", target).withColumn("_turn", F.row_number().over(order))
-    tp = F.col("_target").isNotNull() & (F.col("_turn") == 1)
-    fp = F.when(hit, F.col("_target").isNotNull() & (F.col("_turn") > 1)).otherwise(True)
-    return placed.select(*keys, det_id, score, "threshold", tp.cast("int").alias("tp"), fp.cast("int").alias("fp"))
+    own, before = F.col("iou"), F.col("_before")
+    tp = F.transform(levels, lambda t: (passes(own, t) & easy & ~passes(before, t)).cast("int"))
+    fp = F.transform(levels, lambda t: (~passes(own, t) | (easy & passes(before, t))).cast("int"))
+    return placed.select(*keys, det_id, score, tp.alias("tp"), fp.alias("fp"))
+
+
+def voc_match(
+    dets: DataFrame, truths: DataFrame, image: str, cls: str, det_id: str, truth_id: str, score: str,
+    thresholds: list[float], offset: float = 1.0, inclusive: bool = False,
+) -> DataFrame:
+    """The same flags with one row per detection and threshold."""
+    wide = voc_match_wide(dets, truths, image, cls, det_id, truth_id, score, thresholds, offset, inclusive)
+    levels = F.array(*[F.lit(float(t)) for t in thresholds])
+    return wide.select(image, cls, det_id, score, F.explode(F.arrays_zip(levels.alias("threshold"), "tp", "fp")).alias("f")).select(
+        image, cls, det_id, score, "f.threshold", "f.tp", "f.fp"
+    )
 
 
 def threshold_assignment(
@@ -228,18 +236,14 @@ def coco_match_one(iou, areas, crowd, truth_areas, thresholds, ranges):
     return matched, ignored
 
 
-def coco_match(
-    dets: DataFrame,
-    truths: DataFrame,
-    image: str,
-    cls: str,
-    det_id: str,
-    score: str,
-    thresholds: list[float],
-    areas: dict[str, tuple[float, float]],
-    max_dets: int = 100,
+def coco_match_wide(
+    dets: DataFrame, truths: DataFrame, image: str, cls: str, det_id: str, score: str,
+    thresholds: list[float], areas: dict[str, tuple[float, float]], max_dets: int = 100,
 ) -> DataFrame:
-    """Match flags per (area range, threshold, detection). Truth columns: truth_id, corners, area, iscrowd."""
+    """One row per detection with tp and fp arrays over (area range, threshold), ranges outermost.
+
+    Truth columns: truth_id, corners, area, iscrowd.
+    """
     w = Window.partitionBy(image, cls).orderBy(F.col(score).desc(), det_id)
     top = dets.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_dets)
     corners = [F.col(c).cast("double").alias(c) for c in CORNERS]
@@ -248,13 +252,12 @@ def coco_match(
         [F.col("_r"), F.col(det_id).alias("id"), F.col(score).alias("score"), *corners],
         [F.col("truth_id").alias("id"), *corners, F.col("area").cast("double").alias("area"), F.col("iscrowd").cast("boolean").alias("crowd")],
     ).where("d_id IS NOT NULL")
-    names = [(name, low, high) for name, (low, high) in areas.items()]
-    levels = [float(t) for t in thresholds]
+    ranges, levels = list(areas.values()), [float(t) for t in thresholds]
     fields = {f.name: f.dataType.simpleString() for f in dets.schema.fields}
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            columns = {c: [] for c in (image, cls, "area", "threshold", det_id, score, "place", "tp", "fp")}
+            columns = {c: [] for c in (image, cls, det_id, score, "place", "tp", "fp")}
             for row in batch.itertuples(index=False):
                 d = np.stack([_numbers(getattr(row, f"d_{c}")) for c in CORNERS], axis=1)
                 if row.g_id is None:
@@ -263,27 +266,35 @@ def coco_match(
                     g = np.stack([_numbers(getattr(row, f"g_{c}")) for c in CORNERS], axis=1)
                     crowd, g_area = np.asarray(row.g_crowd, dtype=bool), _numbers(row.g_area)
                 d_area = (d[:, 2] - d[:, 0]) * (d[:, 3] - d[:, 1])
-                hit, skip = coco_match_one(iou_matrix(d, g, crowd), d_area, crowd, g_area, levels, [r[1:] for r in names])
-                n, each = len(d), len(names) * len(levels)
-                columns[image].append(np.repeat(np.asarray([getattr(row, image)]), n * each))
-                columns[cls].append(np.repeat(np.asarray([getattr(row, cls)], dtype=object), n * each))
-                columns["area"].append(np.repeat(np.asarray([r[0] for r in names], dtype=object), n * len(levels)))
-                columns["threshold"].append(np.tile(np.repeat(levels, n), len(names)))
-                columns[det_id].append(np.tile(np.asarray(row.d_id), each))
-                columns[score].append(np.tile(_numbers(row.d_score), each))
-                columns["place"].append(np.tile(np.asarray(row.d__r), each))
-                columns["tp"].append((hit & ~skip).ravel().astype(int))
-                columns["fp"].append((~hit & ~skip).ravel().astype(int))
-            if columns["tp"]:
-                yield pd.DataFrame({name: np.concatenate(parts) for name, parts in columns.items()})
+                hit, skip = coco_match_one(iou_matrix(d, g, crowd), d_area, crowd, g_area, levels, ranges)
+                n = len(d)
+                columns[image] += [getattr(row, image)] * n
+                columns[cls] += [getattr(row, cls)] * n
+                columns[det_id] += list(row.d_id)
+                columns[score] += list(row.d_score)
+                columns["place"] += list(row.d__r)
+                columns["tp"] += list((hit & ~skip).reshape(-1, n).T.astype("int8"))
+                columns["fp"] += list((~hit & ~skip).reshape(-1, n).T.astype("int8"))
+            yield pd.DataFrame(columns)
 
     schema = (
-        f"{image} {fields[image]}, {cls} {fields[cls]}, area string, threshold double, {det_id} {fields[det_id]}, "
-        f"{score} double, place int, tp int, fp int"
+        f"{image} {fields[image]}, {cls} {fields[cls]}, {det_id} {fields[det_id]}, {score} {fields[score]}, place int, "
+        "tp array<tinyint>, fp array<tinyint>"
     )
     return packed.mapInPandas(match, schema)
 
 
+def coco_match(
+    dets: DataFrame, truths: DataFrame, image: str, cls: str, det_id: str, score: str,
+    thresholds: list[float], areas: dict[str, tuple[float, float]], max_dets: int = 100,
+) -> DataFrame:
+    """The same flags with one row per (area range, threshold, detection)."""
+    wide = coco_match_wide(dets, truths, image, cls, det_id, score, thresholds, areas, max_dets)
+    cells = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(float(t)).alias("threshold")) for a in areas for t in thresholds])
+    rows = wide.select(image, cls, det_id, score, "place", F.explode(F.arrays_zip(cells.alias("c"), "tp", "fp")).alias("f"))
+    return rows.select(image, cls, "f.c.area", "f.c.threshold", det_id, score, "place", F.col("f.tp").cast("int").alias("tp"), F.col("f.fp").cast("int").alias("fp"))
+
+
 def cover_one(iou: np.ndarray) -> np.ndarray:
     """Overlap of each truth (columns) when the globally best pair is taken and removed again and again."""
     rest, got = iou.copy(), np.zeros(iou.shape[1])
@@ -342,18 +353,21 @@ def keypoint_similarity(
 
     Without visible points the distance to the box grown by its own size counts, over all points.
     """
-    var = F.array(*[F.lit((2 * s / 10.0) ** 2) for s in (spreads or KEYPOINT_SPREADS)])
-    visible = F.size(F.filter(gv, lambda v: v > 0))
+    var = [(2 * s / 10.0) ** 2 for s in (spreads or KEYPOINT_SPREADS)]
     x, y, w, h = box
+    scale = 2 * (area + F.lit(2.220446049250313e-16))
 
     def gap(value: Column, low: Column, high: Column) -> Column:
         return F.greatest(F.lit(0.0), low - value) + F.greatest(F.lit(0.0), value - high)
 
-    def term(i: Column) -> Column:
-        to_point = F.pow(dx[i] - gx[i], 2) + F.pow(dy[i] - gy[i], 2)
-        to_box = F.pow(gap(dx[i], x - w, x + 2 * w), 2) + F.pow(gap(dy[i], y - h, y + 2 * h), 2)
-        d2 = F.when(visible > 0, to_point).otherwise(to_box)
-        return F.exp(-d2 / var[i] / (area + F.lit(2.220446049250313e-16)) / 2)
-
-    index = F.filter(F.sequence(F.lit(0), F.size(gv) - 1), lambda i: (visible == 0) | (gv[i] > 0))
-    return F.aggregate(index, F.lit(0.0), lambda acc, i: acc + term(i)) / F.size(index)
+    # the number of points is fixed, so the sum is written out and compiled instead of looped over
+    seen, to_points, to_box = F.lit(0), F.lit(0.0), F.lit(0.0)
+    for i, v in enumerate(var):
+        shown = F.get(gv, i) > 0
+        px, py = F.get(dx, i), F.get(dy, i)
+        d2 = F.pow(px - F.get(gx, i), 2) + F.pow(py - F.get(gy, i), 2)
+        b2 = F.pow(gap(px, x - w, x + 2 * w), 2) + F.pow(gap(py, y - h, y + 2 * h), 2)
+        seen = seen + F.when(shown, 1).otherwise(0)
+        to_points = to_points + F.when(shown, F.exp(-d2 / v / scale)).otherwise(0.0)
+        to_box = to_box + F.exp(-b2 / v / scale)
+    return F.when(seen > 0, to_points / seen).otherwise(to_box / len(var))

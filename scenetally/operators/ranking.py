@@ -26,6 +26,18 @@ def average_precision(df: DataFrame, query: list[str], score: str, item: str, po
     )
 
 
+def listed_average_precision(df: DataFrame, query: list[str], score: str, item: str, positive: str) -> DataFrame:
+    """The same for queries whose items come from a closed list: each list is ranked inside its row."""
+    entry = F.struct((-F.col(score)).alias("s"), F.col(item).alias("i"), F.col(positive).alias("hit"))
+    lists = df.groupBy(*query).agg(F.array_sort(F.collect_list(entry)).alias("_l"))
+    places = F.filter(F.transform("_l", lambda e, i: F.when(e["hit"], i + 1).otherwise(0)), lambda p: p > 0)
+    placed = lists.select(*query, F.size("_l").cast("long").alias("n_items"), places.alias("_p"))
+    total = F.aggregate(F.transform("_p", lambda p, j: (j + 1) / p), F.lit(0.0), lambda acc, v: acc + v)
+    return placed.select(
+        *query, "n_items", F.size("_p").cast("long").alias("n_positive"), F.try_divide(total, F.size("_p")).alias("ap")
+    )
+
+
 def shuffled_average_precision(df: DataFrame, query: list[str], item: str, positive: str, seed: int) -> DataFrame:
     """AP of a random order fixed by the seed."""
     mixed = df.withColumn("_mix", hash_number(seed, *query, item))
@@ -60,8 +72,11 @@ def cause_ranking(scores: DataFrame, labels: DataFrame, item: str, effect: str,
     known = scores.join(
         labels.select(F.col("effect").alias(effect), F.col("candidate").alias(candidate), "label"), [effect, candidate]
     ).withColumn("is_cause", F.col("label") == "cause")
-    ap = average_precision(known, [item, effect], score, candidate, "is_cause")
-    mixed = shuffled_average_precision(known, [item, effect], candidate, "is_cause", seed)
+    # candidates are classes, so an item has at most the class list of them
+    ap = listed_average_precision(known, [item, effect], score, candidate, "is_cause")
+    mixed = listed_average_precision(
+        known.withColumn("_mix", hash_number(seed, item, effect, candidate)), [item, effect], "_mix", candidate, "is_cause"
+    )
     return (
         ap.where("n_positive > 0")
         .join(mixed.select(item, effect, F.col("ap").alias("ap_shuffled")), [item, effect])

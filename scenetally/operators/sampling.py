@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenetally.functions.hashing import hash_number, hash_pick, hash_unit
+from scenetally.functions.arrays import let
+from scenetally.functions.hashing import hash_number, hash_pick, hash_unit, quick_number, quick_unit
 from scenetally.operators.ordered import positions
 
 
@@ -37,17 +38,19 @@ def mask_tokens(
     ``counted`` are arrays of closed word lists.
     """
 
-    def at(t: Column, i: Column) -> Column:
-        coin = hash_unit(seed, F.lit("mask"), key, i)
+    def outcome(t: Column, i: Column, coin: Column) -> Column:
         chosen, part = coin < rate, coin / rate
-        word = F.get(vocabulary, hash_pick(F.size(vocabulary), seed, F.lit("word"), key, i).cast("int"))
-        out = F.when(~chosen, t).when(part < 0.8, F.lit(mask)).when(part < 0.9, word).otherwise(t)
+        drawn = F.pmod(quick_number(seed, F.lit("word"), F.col(key), i), F.size(vocabulary)).cast("int")
+        out = F.when(~chosen, t).when(part < 0.8, F.lit(mask)).when(part < 0.9, F.get(vocabulary, drawn)).otherwise(t)
         is_counted = F.lit(True) if counted is None else F.array_contains(counted, t)
         in_place = ~chosen | (part >= 0.9)
         return F.struct(
             out.alias("token"), F.when(chosen, t).alias("label"), F.when(in_place & is_counted, t).alias("causal")
         )
 
+    def at(t: Column, i: Column) -> Column:
+        return let(quick_unit(seed, F.lit("mask"), F.col(key), i), lambda coin: outcome(t, i, coin))
+
     return F.transform(tokens, at)
 
 
@@ -55,7 +58,7 @@ def mask_regions(features: Column, key: str, seed: int, rate: float = 0.15, zero
     """Struct array (feature, label, causal): chosen regions are zeroed nine times in ten; -1 marks 'no label'."""
 
     def at(f: Column, i: Column) -> Column:
-        coin = hash_unit(seed, F.lit("region"), key, i)
+        coin = quick_unit(seed, F.lit("region"), F.col(key), i)
         chosen = coin < rate
         zeroed = chosen & (coin / rate < zero_share)
         return F.struct(

@@ -155,7 +155,9 @@ def _(t):
     SELECT round(avg(m) * 100, 6) AS "AP", round(max(m) FILTER (threshold = 0.5) * 100, 6) AS "AP50", round(max(m) FILTER (threshold = 0.75) * 100, 6) AS "AP75" FROM p""",
 )
 def _(t):
-    aps = de.average_precision_area(curves(t, de.IOU_LEVELS), ["category", "threshold"])
+    dets, truths = det_and_truth(t)
+    wide = ma.voc_match_wide(dets, truths, "image_id", "category", "det_id", "truth_id", "score", de.IOU_LEVELS)
+    aps = de.wide_area_ap(wide, "category", ["-score", "det_id"], de.IOU_LEVELS, de.count_positives(truths, ["category"]))
     return de.voc_map(aps).select(r("AP"), r("AP50"), r("AP75"))
 
 
@@ -194,8 +196,9 @@ def _(t):
 
 
 def coco_aps(t: Tables) -> DataFrame:
-    _, truths = coco_inputs(t)
-    return de.coco_ap(coco_flags(t), truths, "image_id", "category", "score", de.AREAS)
+    dets, truths = coco_inputs(t)
+    flags_ = ma.coco_match_wide(dets, truths, "image_id", "category", "det_id", "score", de.IOU_LEVELS, de.AREAS)
+    return de.coco_ap(flags_, truths, "image_id", "category", "score", de.AREAS)
 
 
 @query("coco_ap")

@@ -208,13 +208,11 @@ def _(t):
     SELECT user_id::VARCHAR AS run, arg_max(c, struct_pack(s := s, c := -c)) AS checkpoint, round(max(s), 6) AS score FROM a GROUP BY 1""",
 )
 def _(t):
-    base = _folder(t)
-    per = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("e"))
-    lines = F.transform("e.value", lambda v: F.concat(F.lit("12:00 Validation [x] loss 1.0 score "), v.cast("string"), F.lit(" ")))
-    text = F.concat(F.lit("args ['--world_size', '2']\n"), F.array_join(lines, "\n"))
-    per.select(F.col("user_id").alias("run"), text.alias("value")).repartition("run").write.partitionBy("run").text(f"{base}/logs")
-    log = lg.run_log(t.spark, f"{base}/logs/*/*.txt")
-    best = ba.best_checkpoint(ba.log_group_average(log["scores"], "file", "line_no", "score", "world"), "file")
+    score = F.concat(F.lit("12:00 Validation [x] loss 1.0 score "), F.col("value").cast("string"), F.lit(" "))
+    lines = t.events.select(F.concat(F.lit("run="), "user_id").alias("file"), F.lit(0).alias("block"), F.col("event_id").alias("line"), score.alias("value"))
+    head = lines.groupBy("file").agg(F.lit(0).alias("block"), F.lit(-1).cast("long").alias("line"), F.lit("args ['--world_size', '2']").alias("value"))
+    log = lg.run_log(lines.unionByName(head))
+    best = ba.best_checkpoint(ba.log_group_average(log["scores"], "file", lg.ORDER, "score", "world"), "file")
     return best.select(F.regexp_extract("file", r"run=(\d+)", 1).alias("run"), "checkpoint", r("score"))
 
 

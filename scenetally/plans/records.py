@@ -150,7 +150,7 @@ def _(t):
 )
 def _(t):
     e = t.events.select("user_id", "event_id", "value").withColumn("world", F.lit(4))
-    return ba.log_group_average(e, "user_id", "event_id", "value", "world").select("user_id", "checkpoint", r("score"), "n")
+    return ba.log_group_average(e, "user_id", ["event_id"], "value", "world").select("user_id", "checkpoint", r("score"), "n")
 
 
 @query(
@@ -161,7 +161,7 @@ def _(t):
 )
 def _(t):
     e = t.events.select("user_id", "event_id", "value").withColumn("world", F.lit(4))
-    return ba.best_checkpoint(ba.log_group_average(e, "user_id", "event_id", "value", "world"), "user_id").select("user_id", "checkpoint", r("score"))
+    return ba.best_checkpoint(ba.log_group_average(e, "user_id", ["event_id"], "value", "world"), "user_id").select("user_id", "checkpoint", r("score"))
 
 
 # ---- sampling ---------------------------------------------------------------------------------------------------------

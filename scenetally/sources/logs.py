@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from scenetally.operators.ordered import positions
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): numbers from the byte order of one file, kept by the reader within a split.
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, line, value): block and line give the order inside a file, however the reader splits it."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+
 
-    A log is read in one piece per file, so that lines can be numbered; logs are small next to data.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+ORDER = ["block", "line"]
 
 
 def run_results(spark: SparkSession, pattern: str, kind: str) -> DataFrame:
@@ -40,15 +44,14 @@ def nested_results(cells: DataFrame, run: str, cell: str) -> DataFrame:
     )
 
 
-def run_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """World size per file, checkpoint lines and validation scores with their line numbers."""
-    lines = _lines(spark, path)
+def run_log(lines: DataFrame) -> dict[str, DataFrame]:
+    """World size per file, checkpoint lines and validation scores of log lines."""
     world = F.regexp_extract("value", r"'--world_size', '([0-9]+)'", 1)
-    worlds = lines.where(world != "").groupBy("file").agg(F.min_by(world.cast("int"), "line_no").alias("world"))
+    worlds = lines.where(world != "").groupBy("file").agg(F.min_by(world.cast("int"), F.struct(*ORDER)).alias("world"))
     saved = F.regexp_extract("value", r"Saving fine - tuned model on .* in (.+?) \*\* \*\* \*", 1)
-    checkpoints = positions(lines.where(saved != "").select("file", "line_no", saved.alias("path")), ["file"], ["line_no"], "_pos")
+    checkpoints = positions(lines.where(saved != "").select("file", *ORDER, saved.alias("path")), ["file"], ORDER, "_pos")
     score = F.regexp_extract("value", r"Validation \[.* score ([-+0-9.eE]+)", 1)
-    scores = lines.where(score != "").select("file", "line_no", score.cast("double").alias("score"))
+    scores = lines.where(score != "").select("file", *ORDER, score.cast("double").alias("score"))
     return {
         "worlds": worlds,
         "checkpoints": checkpoints.select("file", (F.col("_pos") - 1).alias("checkpoint"), "path"),
@@ -56,26 +59,25 @@ def run_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def result_log(spark: SparkSession, path: str) -> DataFrame:
-    """Training and inference seconds per step, peak memory and the last metric lines of each log."""
-    lines = _lines(spark, path)
+def result_log(lines: DataFrame) -> DataFrame:
+    """Training and inference seconds per step and peak memory, each from its last line."""
     train = F.regexp_extract("value", r"Overall training.*\(([0-9.]+)", 1)
     infer = F.regexp_extract("value", r"Total inference pure.*\(([0-9.]+)", 1)
     memory = F.regexp_extract("value", r"max[_ ]mem: ([0-9]+)", 1)
 
     def last(column):
-        return F.max_by(column, F.when(column != "", F.col("line_no")))
+        return F.max_by(column, F.when(column != "", F.struct(*ORDER)))
 
     return lines.groupBy("file").agg(
         last(train).cast("double").alias("train_s_per_it"), last(infer).cast("double").alias("inference_s_per_it"), last(memory).cast("long").alias("memory_mb")
     )
 
 
-def result_log_metrics(spark: SparkSession, path: str) -> DataFrame:
+def result_log_metrics(lines: DataFrame) -> DataFrame:
     """(file, task, metric, value): the last block of name and value lines of each task."""
     text = F.regexp_extract("value", r"copypaste: (.*)$", 1)
-    rows = positions(_lines(spark, path).where(text != "").select("file", "line_no", text.alias("t")), ["file"], ["line_no"], "_pos")
-    task = rows.where(F.col("t").startswith("Task: ")).select("file", "_pos", F.substring("t", 7, 1000).alias("task"))
+    rows = positions(lines.where(text != "").select("file", *ORDER, text.alias("t")), ["file"], ORDER, "_pos")
+    task = rows.where(F.col("t").startswith("Task: ")).select("file", "_pos", F.expr("substring(t, 7)").alias("task"))
     newest = task.groupBy("file", "task").agg(F.max("_pos").alias("_pos"))
     names = newest.join(rows.select("file", (F.col("_pos") - 1).alias("_pos"), F.split("t", ",").alias("names")), ["file", "_pos"])
     both = names.join(rows.select("file", (F.col("_pos") - 2).alias("_pos"), F.split("t", ",").alias("values")), ["file", "_pos"])

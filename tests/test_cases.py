@@ -195,7 +195,7 @@ def detections_frame(spark, seed=3, images=30):
 def test_coco_ap_against_loops(spark, many_slices):
     dets, truths, d_rows, g_rows = detections_frame(spark)
     areas = {"all": (0.0, 1e10), "small": (0.0, 300.0)}
-    flags = ma.coco_match(dets, truths, "image", "cls", "det_id", "score", de.IOU_LEVELS, areas)
+    flags = ma.coco_match_wide(dets, truths, "image", "cls", "det_id", "score", de.IOU_LEVELS, areas)
     got = {(r.cls, r.area, round(r.threshold, 2)): (r.ap, r.recall) for r in de.coco_ap(flags, truths, "image", "cls", "score", areas).collect()}
     for cls, (name, rng_) in itertools.product("cd", areas.items()):
         for t in de.IOU_LEVELS:

@@ -94,9 +94,20 @@ def test_result_log(spark, tmp_path):
         "max mem: 4161\nx copypaste: Task: bbox\nx copypaste: AP,AP50\nx copypaste: 1.0,2.0\nmax_mem: 5000\n"
         "x copypaste: Task: bbox\nx copypaste: AP,AP50\nx copypaste: 3.0,4.0\n"
     )
-    row = lg.result_log(spark, str(tmp_path)).first()
+    row = lg.result_log(lg.log_lines(spark, str(tmp_path))).first()
     assert (row.train_s_per_it, row.inference_s_per_it, row.memory_mb) == (0.5, 0.06, 5000)
-    assert {r.metric: r.value for r in lg.result_log_metrics(spark, str(tmp_path)).collect()} == {"AP": 3.0, "AP50": 4.0}
+    assert {r.metric: r.value for r in lg.result_log_metrics(lg.log_lines(spark, str(tmp_path))).collect()} == {"AP": 3.0, "AP50": 4.0}
+
+
+def test_run_log(spark, tmp_path):
+    lines = ["args ['--world_size', '2']"]
+    for i in range(3):
+        lines += [f"** ** * Saving fine - tuned model on r in /p/{i}.bin ** ** *"] + [f"1:00 Validation [{k}] score {i + k}.5 \\n" for k in range(2)]
+    (tmp_path / "log.txt").write_text("\n".join(lines) + "\n")
+    log = lg.run_log(lg.log_lines(spark, str(tmp_path)))
+    best = ba.best_checkpoint(ba.log_group_average(log["scores"], "file", lg.ORDER, "score", "world"), "file")
+    row = best.join(log["checkpoints"], ["file", "checkpoint"]).first()
+    assert (row.path, row.score) == ("/p/2.bin", 3.0)
 
 
 def test_run_results_csv_and_latest(spark, tmp_path):
