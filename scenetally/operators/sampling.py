@@ -17,15 +17,22 @@ def _other_place(pos: Column, count: Column, seed: int, key: str, tag: str) -> C
 
 def mismatch_captions(df: DataFrame, key: str, caption: str, seed: int, share: float = 0.5) -> DataFrame:
     """A share of the records gets another record's caption and label 1."""
-    placed = positions(df, [], [key], "_pos").withColumn("_n", df.agg(F.count("*").alias("n")).scalar())
+    # only keys are placed and drawn; the captions are shuffled once, to the rows that take them
+    placed = positions(df.select(key), [], [key], "_pos")
     flip = hash_unit(seed, F.lit("coin"), key) < share
-    wanted = placed.withColumn("label", flip.cast("int")).withColumn(
-        "_take", F.when(flip, _other_place(F.col("_pos"), F.col("_n"), seed, key, "pick")).otherwise(F.col("_pos"))
+    wanted = placed.withColumn("_n", df.agg(F.count("*").alias("n")).scalar()).withColumn("label", flip.cast("int"))
+    drawn = wanted.where("label = 1").select(
+        key, "label", _other_place(F.col("_pos"), F.col("_n"), seed, key, "pick").alias("_take")
     )
-    source = placed.select(F.col("_pos").alias("_take"), F.col(caption).alias("_caption"))
-    return wanted.join(source, "_take").select(
-        *[c for c in df.columns if c != caption], F.col("_caption").alias(caption), "label"
+    donors = placed.select(F.col("_pos").alias("_take"), F.col(key).alias("_from"))
+    takes = drawn.join(donors, "_take").select(key, "label", "_from").unionByName(
+        wanted.where("label = 0").select(key, "label", F.col(key).alias("_from"))
     )
+    out = takes.join(df.select(F.col(key).alias("_from"), caption), "_from")
+    rest = [c for c in df.columns if c not in (key, caption)]
+    if rest:
+        out = out.join(df.select(key, *rest), key)
+    return out.select(*df.columns, "label")
 
 
 def mask_tokens(
@@ -187,14 +194,15 @@ def shuffled(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
 
 def random_fallback(df: DataFrame, key: str, ok: str, seed: int) -> DataFrame:
     """Failed rows replaced by a drawn good row; origin says whose row it is."""
-    good = positions(df.where(F.col(ok)), [], [key], "_pos")
+    good = positions(df.where(F.col(ok)).select(key), [], [key], "_pos")
     count = df.where(F.col(ok)).agg(F.count("*").alias("n")).scalar()
     payload = [c for c in df.columns if c != key]
     own = df.where(F.col(ok)).withColumn("origin", F.col(key))
     lost = df.where(~F.col(ok)).select(key).withColumn("_n", count)
     lost = lost.select(key, (hash_pick(F.col("_n"), seed, key) + 1).alias("_pos"))
-    donor = good.withColumnRenamed(key, "origin")
-    return own.select(key, *payload, "origin").unionByName(lost.join(donor, "_pos").select(key, *payload, "origin"))
+    drawn = lost.join(good.withColumnRenamed(key, "origin"), "_pos").select(key, "origin")
+    filled = drawn.join(df.where(F.col(ok)).withColumnRenamed(key, "origin"), "origin")
+    return own.select(key, *payload, "origin").unionByName(filled.select(key, *payload, "origin"))
 
 
 def epoch_replay(df: DataFrame, order: list[str], iterations: int) -> DataFrame:

@@ -366,11 +366,11 @@ def _(t):
     "top_matches",
     f"""WITH {EMB}, s AS (SELECT a.vec_id, b.vec_id AS item, round(list_dot_product(a.v, b.v), 9) AS score FROM e a, e b),
     k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, item) AS rank FROM s)
-    SELECT vec_id, rank::INT AS rank, item, round(score, 6) AS score FROM k WHERE rank <= 10""",
+    SELECT vec_id, rank::INT AS rank, item, score FROM k WHERE rank <= 10""",
 )
 def _(t):
     m = ve.top_matches(t.embeddings, t.embeddings, "vec_id", "vec_id", "embedding", 10)
-    return m.select("vec_id", "rank", "item", r("score"))
+    return m.select("vec_id", "rank", "item", "score")
 
 
 @query(

@@ -135,7 +135,7 @@ def _(t):
 
 @query(
     "coco_export_rows",
-    f"""WITH {D} SELECT row_number() OVER (ORDER BY image_id, det_id) AS id, image_id, category AS category_id, round((x2 - x1) * (y2 - y1), 3) AS area, x2 - x1 AS w, x1 - 0.5 AS kx FROM boxes""",
+    f"""WITH {D} SELECT row_number() OVER (ORDER BY image_id, det_id, category, x1, y1, x2, y2, score) AS id, image_id, category AS category_id, round((x2 - x1) * (y2 - y1), 3) AS area, x2 - x1 AS w, x1 - 0.5 AS kx FROM boxes""",
 )
 def _(t):
     rows = wr.coco_rows(annotated(t), "image_id", "annotations")

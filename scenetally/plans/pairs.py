@@ -55,7 +55,7 @@ def _(t):
 
 @query(
     "top_excess_pairs",
-    f"""WITH {EXCESS} SELECT hi, lo, n, round(round(excess, 10), 8) AS excess FROM (
+    f"""WITH {EXCESS} SELECT hi, lo, n, round(excess, 10) AS excess FROM (
     SELECT * FROM excess WHERE hi <> lo AND hi <> 'Brand#1' AND lo <> 'Brand#1' ORDER BY abs(round(excess, 10)) DESC, hi, lo LIMIT 100)
     WHERE hi <> lo || 's' AND lo <> hi || 's' AND replace(hi, ' ', '') <> replace(lo, ' ', '')""",
 )
@@ -63,19 +63,19 @@ def _(t):
     rounded = excess_frame(t).withColumn("excess", F.round("excess", 10))
     top = co.top_pairs(rounded, "excess", 100, background="Brand#1")
     # the plural filter follows the cut, so fewer rows may be left
-    return top.where(co.not_plural_pair("hi", "lo")).select("hi", "lo", "n", r("excess", 8))
+    return top.where(co.not_plural_pair("hi", "lo")).select("hi", "lo", "n", r("excess", 10))
 
 
 @query(
     "top_lift_pairs_named",
     f"""WITH {EXCESS}, names AS (SELECT p_brand AS k, min(p_name) AS nm FROM part GROUP BY 1), tops AS (
-    SELECT hi, lo, n, round(round(lift, 10), 8) AS lift FROM excess WHERE hi <> lo ORDER BY abs(round(lift, 10)) DESC, hi, lo LIMIT 50)
+    SELECT hi, lo, n, round(lift, 10) AS lift FROM excess WHERE hi <> lo ORDER BY abs(round(lift, 10)) DESC, hi, lo LIMIT 50)
     SELECT t.*, x.nm AS hi_name, y.nm AS lo_name FROM tops t LEFT JOIN names x ON hi = x.k LEFT JOIN names y ON lo = y.k""",
 )
 def _(t):
     names = t.part.groupBy(F.col("p_brand").alias("k")).agg(F.min("p_name").alias("nm"))
     top = co.top_pairs(excess_frame(t).withColumn("lift", F.round("lift", 10)), "lift", 50)
-    return co.class_names(top, names, "k", "nm").select("hi", "lo", "n", r("lift", 8), "hi_name", "lo_name")
+    return co.class_names(top, names, "k", "nm").select("hi", "lo", "n", r("lift", 10), "hi_name", "lo_name")
 
 
 # ---- words -------------------------------------------------------------------------------------------------------

@@ -63,7 +63,7 @@ def detections(t: Tables) -> DataFrame:
     x1, y1 = q * 2, F.round(d * 300)
     return t.lineitem.select(
         F.col("l_orderkey").alias("image_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("det_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("det_id"),
         F.col("l_returnflag").alias("category"),
         F.col("l_linestatus").alias("side"),
         x1.alias("x1"),
@@ -75,7 +75,7 @@ def detections(t: Tables) -> DataFrame:
 
 
 DETECTIONS = """boxes AS (SELECT l_orderkey AS image_id,
-  l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS det_id,
+  l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || round(l_extendedprice * 100)::BIGINT AS det_id,
   l_returnflag AS category, l_linestatus AS side,
   l_quantity * 2 AS x1, round(l_discount * 300) AS y1,
   l_quantity * 2 + 40 + round(l_tax * 500) AS x2, round(l_discount * 300) + 30 + l_linenumber * 4 AS y2,

@@ -51,7 +51,7 @@ def run_log(lines: DataFrame) -> dict[str, DataFrame]:
     saved = F.regexp_extract("value", r"Saving fine - tuned model on .* in (.+?) \*\* \*\* \*", 1)
     checkpoints = positions(lines.where(saved != "").select("file", *ORDER, saved.alias("path")), ["file"], ORDER, "_pos")
     score = F.regexp_extract("value", r"Validation \[.* score ([-+0-9.eE]+)", 1)
-    scores = lines.where(score != "").select("file", *ORDER, score.cast("double").alias("score"))
+    scores = lines.where(score != "").select("file", *ORDER, score.try_cast("double").alias("score"))
     return {
         "worlds": worlds,
         "checkpoints": checkpoints.select("file", (F.col("_pos") - 1).alias("checkpoint"), "path"),
