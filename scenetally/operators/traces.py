@@ -98,7 +98,7 @@ MARKER_KINDS = [
 def marker_kind(text: Column) -> Column:
     out = F.when(
         F.contains(text, F.lit("mod")) & F.contains(text, F.lit("op")) & F.contains(text, F.lit("args")) & F.contains(text, F.lit("type")),
-        "pyprof",
+        "call",
     )
     for name, marks in MARKER_KINDS:
         for mark in marks:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenetally.operators.vocabulary import WORD, explode_words, words
-from scenetally.plans.registry import Tables
+from scenetally.plans.registry import Tables, spread
 
 
 def baskets(t: Tables) -> DataFrame:
@@ -22,7 +22,7 @@ BASKETS = "baskets AS (SELECT l_orderkey AS record, p_brand AS item FROM lineite
 
 
 def doc_words(t: Tables) -> DataFrame:
-    return explode_words(t.documents.select("doc_id", "text"), "doc_id", "text")
+    return explode_words(spread(t.documents.select("doc_id", "text")), "doc_id", "text")
 
 
 DOC_WORDS = f"""doc_lists AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM documents),
@@ -102,7 +102,7 @@ def iou_sql(a: str, b: str, off: str = "1") -> str:
 
 def replies(t: Tables) -> DataFrame:
     """Each turn with the next turn of the conversation as its reference."""
-    c = t.conversations.select("conv_id", "turn", words(F.col("text")).alias("tokens"))
+    c = spread(t.conversations.select("conv_id", "turn", "text")).select("conv_id", "turn", words(F.col("text")).alias("tokens"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("tokens").alias("ref_tokens"))
     return c.join(nxt, ["conv_id", "turn"]).select(
         F.concat_ws("-", "conv_id", "turn").alias("item"), F.col("tokens").alias("cand"), F.col("ref_tokens").alias("ref")
