@@ -8,10 +8,11 @@ about bins * ln(bins) placements a text.
 Banding. ``BANDS`` bands of ``ROWS`` bins. At the threshold of 0.75 a pair misses every band with probability
 (1 - 0.75^7)^80, about 1 in 100,000; more similar pairs far less. Texts with the same shingle set are one class first.
 
-Verification. Inside a band bucket a first pivot (smallest id) is compared with all members on full shingle sets; buckets
+Verification. Inside a band bucket a first pivot (who meets most others) is compared with all members on full shingle sets; buckets
 whose members are then in one component are done. For the rest further pivots are tried while that shrinks the open
-pairs, and at the end every pair of a bucket across components is compared, so no candidate link is lost and no pair
-inside a component is listed. Components come from alternating large and small stars. Buckets, links and components
+pairs, and at the end every pair of a bucket across components is compared, unless its sizes or its distances to the
+pivot rule the link out (exact bounds), or four bits of every sketch bin differ too often (a pair at the threshold is
+lost to that once in 70,000). So no link is lost to a cap, and no pair inside a component is listed. Components come from alternating large and small stars. Buckets, links and components
 stay in Spark; counts alone reach the driver. Copies are combined before shuffles, hot bucket keys meet in skew joins.
 
 Defined results: null, empty and word-less texts have an empty set, are linked with nothing and keep their own id; each
@@ -80,8 +81,23 @@ def band_hashes(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def packed(values: np.ndarray) -> np.ndarray:
+    """Four bits of every bin, sixteen bins to a 64-bit word."""
+    nibbles = np.zeros(-(-len(values) // 16) * 16, dtype=np.uint64)
+    nibbles[: len(values)] = mix(values) & np.uint64(15)
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
+    return np.bitwise_or.reduce(nibbles.reshape(-1, 16) << shifts, axis=1).view(np.int64)
+
+
+def most_unequal(percent: int, bins: int) -> int:
+    """Unequal four-bit bins that a pair at the threshold exceeds by chance about once in 70,000 (4.2 deviations)."""
+    p = (1 - percent / 100) * 15 / 16
+    return int(bins * p + 4.2 * (bins * p * (1 - p)) ** 0.5) + 1
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, set_a, set_b, bands): set size, 128-bit hash of the set, band hashes (null for an empty set)."""
+    """(id, n, set_a, set_b, bands, bits): set size, 128-bit hash of the set, band hashes and packed sketch (null for an
+    empty set)."""
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
@@ -89,26 +105,37 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
             T.StructField("set_a", T.LongType()),
             T.StructField("set_b", T.LongType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
+            T.StructField("bits", T.ArrayType(T.LongType())),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             every = texts(b.column(1))
-            n, keys, hashed = [], [], []
+            n, keys, hashed, bits = [], [], [], []
             for i, j in pieces(every):
                 for s in shingle_sets(every[i:j], size):
                     n.append(len(s))
                     keys.append([int((mix(s ^ np.uint64(k))).sum(dtype=np.uint64).astype(np.int64)) for k in (0x5555, 0xAAAA)])
-                    hashed.append(band_hashes(sketch(s, bands * rows), bands, rows) if len(s) else None)
-            yield batch_of(schema, [b.column(0), n, [k[0] for k in keys], [k[1] for k in keys], hashed])
+                    made = sketch(s, bands * rows) if len(s) else None
+                    hashed.append(None if made is None else band_hashes(made, bands, rows))
+                    bits.append(None if made is None else packed(made))
+            yield batch_of(schema, [b.column(0), n, [k[0] for k in keys], [k[1] for k in keys], hashed, bits])
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def verified(pairs: DataFrame, text: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. ``text``: (id, text)."""
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    """(a, b, distance, linked) of every pair: Jaccard distance of the full shingle sets, and whether
+    100 * intersection >= percent * union. ``text``: (id, text)."""
+    schema = T.StructType(
+        [
+            T.StructField("a", T.LongType()),
+            T.StructField("b", T.LongType()),
+            T.StructField("distance", T.DoubleType()),
+            T.StructField("linked", T.BooleanType()),
+        ]
+    )
     both = (
         pairs.join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -124,13 +151,10 @@ def verified(pairs: DataFrame, text: DataFrame, size: int, percent: int) -> Data
                 docs = list(fresh.values())
                 sets = [s for i, j in pieces(docs) for s in shingle_sets(docs[i:j], size)]
                 known.update(zip(fresh, sets))
-            good = []
-            for x, y in zip(a, b):
-                s, t = known[x], known[y]
-                common = len(s) + len(t) - len(np.union1d(s, t))
-                if 100 * common >= percent * (len(s) + len(t) - common):
-                    good.append((x, y))
-            yield batch_of(schema, list(zip(*good)) if good else [[], []])
+            union = np.array([len(np.union1d(known[x], known[y])) for x, y in zip(a, b)], dtype=np.int64)
+            common = np.array([len(known[x]) + len(known[y]) for x, y in zip(a, b)], dtype=np.int64) - union
+            linked = pa.array(100 * common >= percent * union)
+            yield batch_of(schema, [batch.column(0), batch.column(1), pa.array(1 - common / np.maximum(union, 1)), linked])
 
     return both.mapInArrow(run, schema)
 
@@ -168,7 +192,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _labelled(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     """Members of buckets that are not in one component yet, with their component."""
-    rows = buckets.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    rows = buckets.join(parts, "id", "left").select(*buckets.columns, F.coalesce("component", "id").alias("component"))
     open_ = rows.groupBy("band").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l < _h").select("band")
     return rows.join(open_, "band", "left_semi")
 
@@ -204,8 +228,8 @@ def near_duplicates(
         .select("band")
     )
     met = filled.select(F.explode("bands").alias("band"), "id").join(shared, "band", "left_semi")
-    reps = members.where("rep is not null").select("id", F.col("rep").cast("long").alias("rep")).distinct()
-    buckets = keep(met.join(reps, "id").select("band", F.col("rep").alias("id")).distinct())
+    reps = members.where("rep is not null").select("id", F.col("rep").cast("long").alias("rep"), "n").distinct()
+    buckets = keep(met.join(reps, "id").select("band", F.col("rep").alias("id"), "n").distinct())
     wanted = buckets.select("id").distinct()
     text = keep(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -213,10 +237,18 @@ def near_duplicates(
         .groupBy("id")
         .agg(F.min("text").alias("text"))
     )
-    # round 0: one pivot a bucket
-    pivots = buckets.groupBy("band").agg(F.min("id").alias("a"))
-    pairs = keep(buckets.join(pivots, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    tested, links = pairs, keep(verified(pairs, text, size, percent))
+    # round 0: the member that meets most others is the pivot of a bucket; all members get their distance to it
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("m"))
+    meets = buckets.join(sizes, "band").groupBy("id").agg(F.sum("m").alias("m"))
+    pivots = keep(buckets.join(meets, "id").groupBy("band").agg(F.max_by("id", F.struct("m", "id")).alias("a")))
+    pairs = buckets.join(pivots, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    tested = keep(verified(pairs, text, size, percent))
+    links = tested.where("linked").select("a", "b")
+    far = tested.select("a", F.col("b").alias("id"), "distance")
+    buckets = keep(
+        buckets.join(pivots, "band").join(far, ["a", "id"], "left").select("band", "id", "n", F.coalesce("distance", F.lit(0.0)).alias("d"))
+    )
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     parts = components(links)
     left = keep(_labelled(buckets, parts))
     open_pairs, turn = _open_pairs(left), 0
@@ -231,20 +263,34 @@ def near_duplicates(
             .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
             .distinct()
         )
-        pairs = keep(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested, links = tested.union(pairs), links.union(keep(verified(pairs, text, size, percent)))
+        now_tested = keep(verified(pairs.join(tested, ["a", "b"], "left_anti"), text, size, percent))
+        tested = tested.union(now_tested.select("a", "b"))
+        links = links.union(now_tested.where("linked").select("a", "b"))
         parts = components(links)
         left = keep(_labelled(buckets, parts))
-        now = _open_pairs(left)
-        if now > 0.9 * open_pairs:
-            open_pairs = now
+        before, open_pairs = open_pairs, _open_pairs(left)
+        if open_pairs > 0.9 * before:
             break
-        open_pairs = now
     if open_pairs:
-        other = left.select("band", F.col("id").alias("b"), F.col("component").alias("_c"))
-        pairs = left.join(other, "band").where("id < b and component <> _c").select(F.col("id").alias("a"), "b").distinct()
-        pairs = keep(pairs.join(tested, ["a", "b"], "left_anti"))
-        links = links.union(keep(verified(pairs, text, size, percent)))
+        bits = (
+            filled.select(F.col("id").cast("long").alias("id"), "bits")
+            .join(left.select("id").distinct(), "id", "left_semi")
+            .groupBy("id")
+            .agg(F.min("bits").alias("bits"))
+        )
+        left = left.join(bits, "id")
+        other = left.select("band", F.col("id").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("component", "n", "d", "bits")])
+        # Jaccard distance is a metric: members whose distances to the pivot differ by more than the threshold allows are
+        # further apart than it, and so are sets of too different sizes; last, the sketches must not be too unequal
+        fold = " | ".join(f"shiftrightunsigned(x ^ y, {k})" for k in range(4))
+        unequal = f"aggregate(zip_with(bits, _bits, (x, y) -> bit_count(({fold}) & {0x1111111111111111}L)), 0, (s, x) -> s + x)"
+        possible = F.expr(
+            f"id < b AND component <> _component AND abs(d - _d) <= {1 - percent / 100} + 1e-9"
+            f" AND 100 * least(n, _n) >= {percent} * greatest(n, _n) AND {unequal} <= {most_unequal(percent, bands * rows)}"
+        )
+        pairs = left.join(other, "band").where(possible).select(F.col("id").alias("a"), "b").distinct()
+        now_tested = keep(verified(pairs.join(tested, ["a", "b"], "left_anti"), text, size, percent))
+        links = links.union(now_tested.where("linked").select("a", "b"))
         parts = components(links)
     own = members.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
