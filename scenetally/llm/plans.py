@@ -79,7 +79,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
       CAST(sum(n) AS BIGINT) AS formatted_chars
     FROM sized GROUP BY conv_id
-    """.replace("\\", "\"),
+    """,
 )
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"

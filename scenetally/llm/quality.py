@@ -23,9 +23,9 @@ from scenetally.llm.common import keep
 SPACE = r"[\\x20\\x09-\\x0D]"
 RATES = ("symbol_rate", "line_rate", "repeat_rate", "long_words", "short_words")
 LEAST_GROUP = 100
-UPPER, REACH = 0.9, 4.0
+UPPER, REACH = 0.75, 5.0
 # what a rate may always differ from the quantile: it keeps groups without spread from rejecting single odd marks
-SLACK = {"symbol_rate": 0.05, "line_rate": 0.1, "repeat_rate": 0.1, "long_words": 2.0, "short_words": 0.5}
+SLACK = {"symbol_rate": 0.05, "line_rate": 0.4, "repeat_rate": 0.3, "long_words": 1.5, "short_words": 0.5}
 
 
 def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
