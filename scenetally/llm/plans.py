@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenetally.llm import bpe, chat, decontamination, near_duplicates, personal_data, quality, repeats, toxicity, warc
+from scenetally.llm import bpe, chat, decontamination, licenses, near_duplicates, personal_data, quality, repeats, toxicity, warc
 from scenetally.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,6 +166,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_licenses")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(read(spark, folder, "documents"))
+
+
 @query("op10_bpe")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), vocabulary())

@@ -1,6 +1,6 @@
 """Quality rules with thresholds that adapt to language and source, with DataFrame operations only.
 
-Figures of every whole text are counted in its row (no shuffle). Four rates are then sketched by (language, source) with
+Figures of every whole text are counted in its row (no shuffle). Their rates are then sketched by (language, source) with
 mergeable KLL sketches; sketches of a language's sources are merged, and those of all languages, for groups of too few
 documents. The fence of a rate is its upper quantile plus a multiple of the distance from the median to it; a document
 beyond the fence of its own group is dropped. So a rate that is usual in a source rejects nothing there, and clean texts
@@ -104,15 +104,22 @@ def thresholds(rates: DataFrame, least_group: int = LEAST_GROUP, upper: float =
     own = keep(passed.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r).alias(r) for r in RATES]))
     merge = [F.kll_merge_agg_double(r).alias(f"_{r}") for r in RATES]
     languages = own.groupBy("lang").agg(F.sum("n").alias("_n"), *merge).withColumnRenamed("lang", "_lang")
-    every = own.agg(*[F.kll_merge_agg_double(r).alias(f"__{r}") for r in RATES])
-    met = own.join(languages, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(every)  # one row
+    every = own.agg(*[F.kll_merge_agg_double(r).alias(r) for r in RATES])
+    met = own.join(languages, F.col("lang").eqNullSafe(F.col("_lang")), "left")
 
-    def fence(rate: str):
-        sketch = F.when(F.col("n") >= least_group, F.col(rate)).when(F.col("_n") >= least_group, F.col(f"_{rate}")).otherwise(F.col(f"__{rate}"))
+    def fence(sketch, rate: str):
         high, middle = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (upper, 0.5))
-        return (high + reach * (high - middle) + SLACK[rate]).alias(f"{rate}_fence")
+        return high + reach * (high - middle) + SLACK[rate]
 
-    return met.select("lang", "source", *[fence(r) for r in RATES])
+    overall = every.select(*[fence(F.col(r), r).alias(r) for r in RATES]).first()  # five numbers
+
+    def chosen(rate: str):
+        grouped = F.when(F.col("n") >= least_group, fence(F.col(rate), rate)).when(
+            F.col("_n") >= least_group, fence(F.col(f"_{rate}"), rate)
+        )
+        return grouped.otherwise(F.lit(overall[rate]).cast("double")).alias(f"{rate}_fence")
+
+    return met.select("lang", "source", *[chosen(r) for r in RATES])
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
