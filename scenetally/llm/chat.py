@@ -64,27 +64,29 @@ def branches(nodes: DataFrame, n_best: int = 1) -> tuple[DataFrame, DataFrame]:
         known.select("tree", "node", F.col("_node").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))
     )
     jumps, before = [], None
+    ended, waiting = state.where("up is null"), state.where("up is not null")
     while True:
-        waiting = state.where("up is not null")
         open_ = waiting.count()
         if open_ == 0 or open_ == before:  # what no longer gets shorter runs in a circle
             break
         jumps.append(waiting.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), "up"))
         before = open_
-        above = state.select(
+        above = ended.union(waiting).select(
             F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("up").alias("_up"),
             F.col("steps").alias("_steps"), F.col("total").alias("_total"),
         )
-        state = keep(
-            state.join(above, same_tree & (F.col("up") == F.col("_node")), "left").select(
+        # only nodes that have not met their root take part
+        further = keep(
+            waiting.join(above, same_tree & (F.col("up") == F.col("_node"))).select(
                 "tree",
                 "node",
                 F.col("_up").alias("up"),
-                (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-                (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
+                (F.col("steps") + F.col("_steps")).alias("steps"),
+                (F.col("total") + F.col("_total")).alias("total"),
             )
         )
-    rooted = state.where("up is null").select("tree", "node", F.col("steps").alias("depth"), (F.col("total") / F.col("steps")).alias("branch_score"))
+        ended, waiting = ended.union(further.where("up is null")), further.where("up is not null")
+    rooted = ended.select("tree", "node", F.col("steps").alias("depth"), (F.col("total") / F.col("steps")).alias("branch_score"))
     inner = own.select(F.col("tree").alias("_tree"), F.col("parent").alias("_node")).where("_node is not null").distinct()
     leaves = rooted.join(inner, same_tree & (F.col("node") == F.col("_node")), "left_anti")
     from pyspark.sql import Window
