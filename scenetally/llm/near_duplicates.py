@@ -9,9 +9,8 @@ Banding. ``BANDS`` bands of ``ROWS`` bins. At the threshold of 0.75 a pair misse
 (1 - 0.75^7)^80, about 1 in 100,000; more similar pairs far less. Texts with the same shingle set are one class first.
 
 Verification. Inside a band bucket a first pivot (who meets most others) is compared with all members on full shingle sets; buckets
-whose members are then in one component are done. For the rest further pivots are tried while that shrinks the open
-pairs, and at the end every pair of a bucket across components is compared, unless its sizes or its distances to the
-pivot rule the link out (exact bounds), or four bits of every sketch bin differ too often (a pair at the threshold is
+whose members are then in one component are done. In the rest every pair of a bucket across components is compared,
+unless its sizes or its distances to the pivot rule the link out (exact bounds), or four bits of every sketch bin differ too often (a pair at the threshold is
 lost to that once in 70,000). So no link is lost to a cap, and no pair inside a component is listed. Components come from alternating large and small stars. Buckets, links and components
 stay in Spark; counts alone reach the driver. Copies are combined before shuffles, hot bucket keys meet in skew joins.
 
@@ -160,34 +159,28 @@ def verified(pairs: DataFrame, text: DataFrame, size: int, percent: int) -> Data
 
 
 def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(r)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): smallest reachable id of every id in links (a, b), but for the smallest ids themselves."""
-    edges = keep(
-        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    )
+    """(id, component): smallest reachable id of every id in links (two columns), but for the smallest ids themselves."""
+    ends = links.toDF("u", "v")
+    edges = keep(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = _mark(edges)
     while before[0]:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(least, "a")
-            .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .where("a <> b")
-            .distinct()
-        )
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        arms = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.explode(arms).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = keep(small)
         after = _mark(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 def _labelled(buckets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -197,13 +190,6 @@ def _labelled(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(open_, "band", "left_semi")
 
 
-def _open_pairs(rows: DataFrame) -> int:
-    per = rows.groupBy("band", "component").count().groupBy("band").agg(
-        F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("same")
-    )
-    return int(per.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2)).first()[0] or 0)
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -251,27 +237,7 @@ def near_duplicates(
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     parts = components(links)
     left = keep(_labelled(buckets, parts))
-    open_pairs, turn = _open_pairs(left), 0
-    limit = 4 * left.count()
-    while open_pairs > limit and turn < 6:  # more pivots only save work: what is open after them is compared below
-        turn += 1
-        order = F.xxhash64("id", F.lit(turn))
-        pivots = left.groupBy("band").agg(F.min_by(F.struct("id", "component"), order).alias("p"))
-        pairs = (
-            left.join(pivots, "band")
-            .where("component <> p.component")
-            .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-            .distinct()
-        )
-        now_tested = keep(verified(pairs.join(tested, ["a", "b"], "left_anti"), text, size, percent))
-        tested = tested.union(now_tested.select("a", "b"))
-        links = links.union(now_tested.where("linked").select("a", "b"))
-        parts = components(links)
-        left = keep(_labelled(buckets, parts))
-        before, open_pairs = open_pairs, _open_pairs(left)
-        if open_pairs > 0.9 * before:
-            break
-    if open_pairs:
+    if left.head(1):
         bits = (
             filled.select(F.col("id").cast("long").alias("id"), "bits")
             .join(left.select("id").distinct(), "id", "left_semi")
@@ -290,8 +256,8 @@ def near_duplicates(
         )
         pairs = left.join(other, "band").where(possible).select(F.col("id").alias("a"), "b").distinct()
         now_tested = keep(verified(pairs.join(tested, ["a", "b"], "left_anti"), text, size, percent))
-        links = links.union(now_tested.where("linked").select("a", "b"))
-        parts = components(links)
+        # a component is linked to its smallest id, so only new links are added to that
+        parts = components(parts.union(now_tested.where("linked").select("a", "b")))
     own = members.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return own.select(
