@@ -76,8 +76,7 @@ class PairIndexBpe:
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
-        self.library = Tokenizer.from_str(content.decode())
-        self.split_words = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        self.pattern, self.content, self.library = pattern, content, None
         names = dict(vocab) | self.special
         self.token = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
@@ -101,6 +100,9 @@ class PairIndexBpe:
         """Words of text without special tokens."""
         if not text.isascii() and BEYOND.search(text) and _unassigned().search(text):
             # code points of a Unicode version that Python does not have: classes and cases of the library's version
+            if self.library is None:
+                self.library = Tokenizer.from_str(self.content.decode())
+                self.split_words = pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
             normal = self.library.normalizer.normalize_str(text)
             return [w for w, _ in self.split_words.pre_tokenize_str(normal)]
         return self.words.findall(self.normalise(text))
@@ -260,10 +262,30 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     return df.select(*[f.name for f in kept]).mapInArrow(run, schema)
 
 
+def encode_and_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded) in one pass, so a task needs one worker with the vocabulary."""
+    shared = _shared(df, path)
+    schema = T.StructType(
+        [
+            T.StructField(id_col, df.schema[id_col].dataType),
+            T.StructField("ids", T.BinaryType()),
+            T.StructField("decoded", T.StringType()),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(shared)
+        for b in batches:
+            ids = model.encode(["" if x is None else x for x in b.column(1).to_pylist()])
+            decoded = pa.array([model.decode(x) for x in ids], type=pa.binary())
+            yield batch_of(schema, [b.column(0), ids, decoded.cast(pa.string())])
+
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: number of tokens, digest of the ids, digest of the decoded text."""
-    back = decode(encode(df, path, id_col, text_col), path)
-    return back.select(
+    return encode_and_decode(df, path, id_col, text_col).select(
         id_col,
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
