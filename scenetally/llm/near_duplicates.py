@@ -239,20 +239,23 @@ def near_duplicates(
     left = keep(_labelled(buckets, parts))
     if left.head(1):
         bits = (
-            filled.select(F.col("id").cast("long").alias("id"), "bits")
+            filled.select(F.col("id").cast("long").alias("id"), F.struct("bits", "bands").alias("s"))
             .join(left.select("id").distinct(), "id", "left_semi")
             .groupBy("id")
-            .agg(F.min("bits").alias("bits"))
+            .agg(F.min("s").alias("s"))
+            .select("id", "s.bits", "s.bands")
         )
         left = left.join(bits, "id")
-        other = left.select("band", F.col("id").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("component", "n", "d", "bits")])
+        other = left.select("band", F.col("id").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("component", "n", "d", "bits", "bands")])
         # Jaccard distance is a metric: members whose distances to the pivot differ by more than the threshold allows are
-        # further apart than it, and so are sets of too different sizes; last, the sketches must not be too unequal
+        # further apart than it, and so are sets of too different sizes; then the sketches must not be too unequal; last, a
+        # pair is listed in the first of its common bands only
         fold = " | ".join(f"shiftrightunsigned(x ^ y, {k})" for k in range(4))
         unequal = f"aggregate(zip_with(bits, _bits, (x, y) -> bit_count(({fold}) & {0x1111111111111111}L)), 0, (s, x) -> s + x)"
         possible = F.expr(
             f"id < b AND component <> _component AND abs(d - _d) <= {1 - percent / 100} + 1e-9"
             f" AND 100 * least(n, _n) >= {percent} * greatest(n, _n) AND {unequal} <= {most_unequal(percent, bands * rows)}"
+            " AND array_min(array_intersect(bands, _bands)) = band"
         )
         pairs = left.join(other, "band").where(possible).select(F.col("id").alias("a"), "b").distinct()
         now_tested = keep(verified(pairs.join(tested, ["a", "b"], "left_anti"), text, size, percent))
