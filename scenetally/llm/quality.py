@@ -109,7 +109,8 @@ def thresholds(rates: DataFrame, least_group: int = LEAST_GROUP, upper: float =
 
     def fence(sketch, rate: str):
         high, middle = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (upper, 0.5))
-        return high + reach * (high - middle) + SLACK[rate]
+        # a sketch of no values has no quantile
+        return F.when(F.kll_sketch_get_n_double(sketch) > 0, high + reach * (high - middle) + SLACK[rate])
 
     overall = every.select(*[fence(F.col(r), r).alias(r) for r in RATES]).first()  # five numbers
 
