@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scenetally.functions import arrays
 from scenetally.operators.ordered import positions, running
 
-WORD = "[a-zß-ÿ]+"
+WORD = r"[\p{L}\p{M}\p{N}]+"
 
 
 def words(text: Column) -> Column:

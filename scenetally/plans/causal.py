@@ -57,7 +57,7 @@ def _(t):
 def _(t):
     cond = co.conditional_probability(co.set_cooccurrence(baskets(t), "record", "item"))
     classes = t.part.select(F.col("p_brand").alias("item")).distinct()
-    return ve.dependent_prior(classes, cond, "Brand#3", 25).select("item", r("prior", 8))
+    return ve.dependent_prior(classes, cond, "Brand#3", classes.count()).select("item", r("prior", 8))
 
 
 ATT = f"""WITH {EMB}, logits AS (SELECT e.vec_id, e.label AS own, d.label AS cls, exp(list_dot_product(e.v, d.mv) / 8.0) AS x FROM e, dict d),
@@ -392,12 +392,12 @@ def _(t):
 # ---- answers and choices -----------------------------------------------------------------------------------------
 
 ANSWERS = """ans AS (SELECT user_id, event_type AS answer, count(*) AS n, CASE count(*) WHEN 1 THEN 0.3 WHEN 2 THEN 0.6 WHEN 3 THEN 0.9 ELSE 1.0 END::DOUBLE AS score
-  FROM events WHERE value > 120 GROUP BY ALL)"""
+  FROM events GROUP BY ALL)"""
 
 
 @query("soft_answer_score", f"WITH {ANSWERS} SELECT user_id, answer, n, score FROM ans")
 def _(t):
-    return ra.answer_scores(t.events.where("value > 120").withColumnRenamed("event_type", "answer"), "user_id", "answer")
+    return ra.answer_scores(t.events.withColumnRenamed("event_type", "answer"), "user_id", "answer")
 
 
 @query(
@@ -408,7 +408,7 @@ def _(t):
 def _(t):
     ev = t.events.withColumnRenamed("event_type", "answer")
     pred = ev.groupBy("user_id").agg(F.max_by("answer", F.struct("value", "event_id")).alias("answer"))
-    return ra.vqa_accuracy(pred, ra.answer_scores(ev.where("value > 120"), "user_id", "answer"), "user_id", "answer").select("n", r("accuracy", 8))
+    return ra.vqa_accuracy(pred, ra.answer_scores(ev, "user_id", "answer"), "user_id", "answer").select("n", r("accuracy", 8))
 
 
 CHOICES = """c1 AS (SELECT l_orderkey, arg_max(l_linenumber, struct_pack(s := l_extendedprice, c := -l_linenumber)) AS choice FROM lineitem GROUP BY 1),

@@ -180,8 +180,9 @@ def _(t):
 
 @query("mask_tokens")
 def _(t):
-    common = vo.cumulative_cutoff(vo.word_counts(vo.explode_words(t.documents, "doc_id", "text")), 2000.0)
-    words = common.agg(F.array_sort(F.collect_list("word")).alias("w")).scalar()
+    from scenetally.plans.pairs import noun_table
+
+    words = noun_table(t).agg(F.array_sort(F.collect_list("word")).alias("w")).scalar()
     listed = t.documents.select("doc_id", vo.words(F.col("text")).alias("tokens")).withColumn("_v", words)
     masked = listed.select("doc_id", sa.mask_tokens(F.col("tokens"), "doc_id", 3, F.col("_v"), F.col("_v")).alias("m"))
     return masked.select(
@@ -491,7 +492,7 @@ def _(t):
 def _(t):
     lines = t.lineitem.join(t.part.select("p_partkey", "p_brand"), F.expr("l_partkey = p_partkey"))
     arrival = F.concat_ws("-", F.date_format("l_shipdate", "yyyyMMdd"), F.lpad("l_orderkey", 12, "0"))
-    return an.first_unused_examples(lines.select("p_brand", "l_orderkey", arrival.alias("arrival")), "p_brand", "l_orderkey", "arrival", 25)
+    return an.first_unused_examples(lines.select("p_brand", "l_orderkey", arrival.alias("arrival")), "p_brand", "l_orderkey", "arrival", t.part.select("p_brand").distinct().count())
 
 
 # ---- traces -------------------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenetally.operators.vocabulary import WORD, words
 from scenetally.plans.registry import Tables, query, r
 from scenetally.streaming import streams as st
 
@@ -28,12 +29,16 @@ def _stream(t: Tables, table: str) -> DataFrame:
     return st.record_stream(t.spark, f"{t.folder}/{table}*.parquet", static.schema)
 
 
-@query("stream_hourly_counts")
+@query(
+    "stream_hourly_counts",
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, hour(ts)::INT AS hour, count(*) AS n FROM events GROUP BY ALL",
+)
 def _(t):
-    """Hours the watermark has closed."""
+    """Every hour with its newest count, also those the watermark has not closed."""
     base = _folder(t)
-    st.drain(st.hourly_counts(_stream(t, "events"), "ts"), f"{base}/out", f"{base}/checkpoint")
-    return t.spark.read.parquet(f"{base}/out")
+    st.drain_updates(st.hourly_counts(_stream(t, "events"), "ts"), f"{base}/out", f"{base}/checkpoint", ["hour"])
+    out = st.latest_updates(t.spark, f"{base}/out", ["hour"])
+    return out.select(F.date_format("hour", "yyyy-MM-dd").alias("day"), F.hour("hour").alias("hour"), "n")
 
 
 @query(
@@ -50,13 +55,13 @@ def _(t):
 
 @query(
     "stream_pair_counts",
-    """WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '\\b[a-z]{2}\\b')) AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS w FROM s)
-    SELECT a.w AS hi, b.w AS lo, count(*) AS n FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.w >= b.w GROUP BY ALL""",
+    f"""WITH s AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS l FROM benchmark), e AS (SELECT item_id, unnest(l) AS w FROM s)
+    SELECT a.w AS hi, b.w AS lo, count(*) AS n FROM e a JOIN e b ON a.item_id = b.item_id AND a.w >= b.w GROUP BY ALL""",
 )
 def _(t):
-    """Two-letter words of every document."""
+    """All words of every item."""
     base = _folder(t)
-    docs = _stream(t, "documents").select(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-zA-Z0-9_])[a-z]{2}(?![a-zA-Z0-9_])"), F.lit(0)).alias("items"))
+    docs = _stream(t, "benchmark").select(words(F.col("text")).alias("items"))
     st.drain_updates(st.pair_counts(docs, "items"), f"{base}/out", f"{base}/checkpoint", ["hi", "lo"])
     return st.latest_updates(t.spark, f"{base}/out", ["hi", "lo"])
 
