@@ -290,6 +290,7 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
 
     def judged(rows: list[tuple]) -> pa.RecordBatch | None:
         out: list[tuple] = []
+        rows = [r for i, r in enumerate(rows) if not i or r[:6] != rows[i - 1][:6]]  # identical rows of the input
         key = {}
         group = np.array([key.setdefault(r[:2], len(key)) for r in rows])
         place = np.array([r[5] for r in rows], dtype=np.int64)
