@@ -84,10 +84,11 @@ class PairIndexBpe:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool = np.zeros(0, dtype=np.uint32)
-        self.begin = np.zeros(0, dtype=np.int64)
-        self.length = np.zeros(0, dtype=np.int64)
+        # special tokens are known from the start, under their string behind a NUL
+        self.known: dict[str, int] = {"\0" + s: k for k, s in enumerate(self.special)}
+        self.pool = np.array(list(self.special.values()), dtype=np.uint32)
+        self.begin = np.arange(len(self.special), dtype=np.int64)
+        self.length = np.ones(len(self.special), dtype=np.int64)
 
     # text to words
 
@@ -188,21 +189,21 @@ class PairIndexBpe:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > KEEP_WORDS:
             self.clear()
-        split = [self.pieces(d) for d in docs]
-        fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in self.known))
+        known, fresh, places = self.known, [], []
+        for d in docs:  # the words of one text at a time; what stays of them is four bytes each
+            words = self.pieces(d)
+            for w in words:
+                if w not in known:
+                    known[w] = len(known)
+                    fresh.append(w)
+            places.append(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
         if fresh:
-            plain = [w for w in fresh if w[0] != "\0" or w[1:] not in self.special]
-            ids, count = self.merge([w.encode() for w in plain])
-            marks = [w for w in fresh if w[0] == "\0" and w[1:] in self.special]
-            ids = np.concatenate([ids, np.array([self.special[w[1:]] for w in marks], dtype=np.uint32)])
-            count = np.concatenate([count, np.ones(len(marks), dtype=np.int64)])
-            self.known.update(zip(plain + marks, range(len(self.known), len(self.known) + len(fresh))))
+            ids, count = self.merge([w.encode() for w in fresh])
             self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(count) - count])
             self.length = np.concatenate([self.length, count])
             self.pool = np.concatenate([self.pool, ids])
         out = []
-        for ws in split:
-            at = np.fromiter(map(self.known.__getitem__, ws), dtype=np.int64, count=len(ws))
+        for at in places:
             size = self.length[at]
             total = int(size.sum())
             place = np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(total)
