@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 PIECE_BYTES = 1 << 20
 BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
