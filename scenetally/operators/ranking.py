@@ -93,12 +93,17 @@ def class_then_macro(df: DataFrame, cls: str, values: list[str]) -> DataFrame:
 
 def retrieval_recall(ranks: DataFrame, rank: str, ks: tuple[int, ...] = (1, 5, 10), unranked: int = 1000) -> DataFrame:
     """R@k in percent, floor(median)+1 and mean+1 of the 0-based rank; a missing rank counts as ``unranked``."""
-    zero = F.coalesce(F.col(rank) - 1, F.lit(unranked))
-    n = F.count("*")
-    return ranks.agg(
-        *[(F.count_if(zero < k) * 100.0 / n).alias(f"r{k}") for k in ks],
-        (F.floor(F.median(zero)) + 1).alias("median_rank"),
-        (F.avg(zero) + 1).alias("mean_rank"),
+    zero = F.coalesce(F.col(rank) - 1, F.lit(unranked)).cast("long")
+    counts = ranks.groupBy(zero.alias("_z")).agg(F.count("*").alias("_n"))
+    # the middle by a running count of the ranks: no buffer holds all of them
+    upto = running(counts, [], ["_z"], {"_upto": ("sum", "_n")})
+    placed = upto.withColumn("_all", upto.agg(F.max("_upto").alias("m")).scalar())
+    z, n = F.col("_z"), F.coalesce(F.sum("_n"), F.lit(0))
+    low, high = F.min(F.when(2 * F.col("_upto") >= F.col("_all"), z)), F.min(F.when(2 * F.col("_upto") > F.col("_all"), z))
+    return placed.agg(
+        *[F.try_divide(F.sum(F.when(z < k, F.col("_n")).otherwise(0)) * 100.0, n).alias(f"r{k}") for k in ks],
+        (F.floor((low + high) / 2) + 1).alias("median_rank"),
+        (F.try_divide(F.sum(z * F.col("_n")), n) + 1).alias("mean_rank"),
         n.alias("n"),
     )
 

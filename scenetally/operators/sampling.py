@@ -214,3 +214,18 @@ def epoch_replay(df: DataFrame, order: list[str], iterations: int) -> DataFrame:
     return spread.withColumn("iteration", F.col("epoch") * F.col("_n") + F.col("_pos") - 1).where(
         F.col("iteration") < iterations
     ).drop("_n", "_pos")
+
+
+def selected_frames(df: DataFrame, film: str, frame: str, strategy: str, k: int, seed: int = 0) -> DataFrame:
+    """k frames per film: the 'first', the 'last', 'random' ones fixed by the seed, or 'all' of them.
+
+    Frame numbers are unique in a film. Spark keeps the best k of every part before the shuffle, so a long film is no
+    hot group; a film of fewer frames gives all it has.
+    """
+    if strategy == "all":
+        return df
+    orders = {"first": [F.col(frame)], "last": [F.col(frame).desc()], "random": [hash_number(seed, film, frame), F.col(frame)]}
+    if strategy not in orders:
+        raise ValueError(f"unknown frame strategy {strategy!r}")
+    place = F.row_number().over(Window.partitionBy(film).orderBy(*orders[strategy]))
+    return df.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")

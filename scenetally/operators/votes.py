@@ -157,11 +157,9 @@ def known_labels(labels: DataFrame, x: str, y: str, response: str, compat: bool
     return candidate_x.unionByName(candidate_y)
 
 
-def gather_assignments(votes: DataFrame, pair: str, order: list[str], fields: list[str], part_rows: int = 1000) -> DataFrame:
-    """Answers per pair as parallel lists in submission order; a pair with more answers goes on in the next part."""
-    placed = positions(votes, [pair], order, "_pos").withColumn("part", F.floor((F.col("_pos") - 1) / part_rows))
-    rows = placed.groupBy(pair, "part").agg(F.array_sort(F.collect_list(F.struct("_pos", *fields))).alias("_l"))
-    return rows.select(pair, "part", *[F.col(f"_l.{f}").alias(f) for f in fields])
+def gather_assignments(votes: DataFrame, pair: str, order: list[str], fields: list[str]) -> DataFrame:
+    """Answers per pair in submission order, one row each with its 1-based position, so no list grows with the answers."""
+    return positions(votes, [pair], order, "position").select(pair, "position", *fields)
 
 
 def submissions_by_hour(df: DataFrame, at: str) -> DataFrame:

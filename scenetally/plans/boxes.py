@@ -262,7 +262,18 @@ def _(t):
     return out.select("image_id", "det_id", "truth_id", r("iou", 8), "label")
 
 
-@query("keypoint_similarity")
+VARIANCES = ", ".join(f"{(2 * s / 10.0) ** 2!r}::DOUBLE" for s in ma.KEYPOINT_SPREADS)
+
+
+@query(
+    "keypoint_similarity",
+    f"""WITH {D}, k AS (SELECT d.det_id, g.det_id AS truth_id, d.x1 AS dx, d.y1 AS dy, d.x2 - d.x1 AS dw, d.y2 - d.y1 AS dh,
+    g.x1 AS gx, g.y1 AS gy, g.x2 - g.x1 AS w, g.y2 - g.y1 AS h, unnest(range(17)) AS i FROM dets d JOIN truths g ON d.image_id = g.image_id AND d.category = g.category),
+    p AS (SELECT *, i * 3 < gy AS seen, dx + dw * i / 16 AS px, dy + dh * i / 16 AS py, 2 * w * h * [{VARIANCES}][i + 1] AS v FROM k),
+    e AS (SELECT det_id, truth_id, seen, exp(-((px - gx - w * i / 16) ** 2 + (py - gy - h * i / 16) ** 2) / v) AS near,
+    exp(-((greatest(0, gx - w - px) + greatest(0, px - gx - 2 * w)) ** 2 + (greatest(0, gy - h - py) + greatest(0, py - gy - 2 * h)) ** 2) / v) AS outside FROM p)
+    SELECT det_id, truth_id, round(coalesce(avg(near) FILTER (seen), avg(outside)), 8) AS oks FROM e GROUP BY ALL""",
+)
 def _(t):
     """Lines of an order as a 17-point pose: the points lie on the box diagonal, detections against truths of the image."""
     dets, truths = det_and_truth(t)

@@ -10,6 +10,7 @@ from scenetally.operators import cooccurrence as co
 from scenetally.operators import ranking as ra
 from scenetally.operators import vectors as ve
 from scenetally.operators import votes as vt
+from scenetally.plans.records import h
 from scenetally.plans.registry import Tables, query, r
 from scenetally.plans.views import BALLOTS, BASKETS, ballots, baskets
 
@@ -254,19 +255,24 @@ def _(t):
     )
 
 
-@query("shuffled_average_precision")
+@query(
+    "shuffled_average_precision",
+    f"""WITH {CAUSE_RANKING}, mixed AS (SELECT event_id, effect, label = 'cause' AS hit,
+    row_number() OVER (PARTITION BY event_id, effect ORDER BY {h(7, "event_id", "effect", "candidate")} DESC, candidate) AS pos FROM sc JOIN known USING (effect)),
+    up AS (SELECT *, sum(hit::INT) OVER (PARTITION BY event_id, effect ORDER BY pos) AS hits FROM mixed)
+    SELECT event_id, effect, count(*) AS n_items, sum(hit::INT)::BIGINT AS n_positive, round(avg(hits / pos) FILTER (hit), 8) AS ap_shuffled
+    FROM up GROUP BY ALL HAVING sum(hit::INT) > 0""",
+)
 def _(t):
     return ranking_frame(t).select("event_id", "effect", "n_items", "n_positive", r("ap_shuffled", 8))
 
 
 @query(
     "assignments_per_pair",
-    f"""WITH {BALLOTS}, p AS (SELECT *, (row_number() OVER (PARTITION BY pair ORDER BY ts, event_id) - 1) AS i FROM ballots)
-    SELECT pair, i // 50 AS part, string_agg(user_id::VARCHAR, ',' ORDER BY i) AS workers, string_agg(answer, ',' ORDER BY i) AS answers FROM p GROUP BY ALL""",
+    f"""WITH {BALLOTS} SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY ts, event_id) AS position, user_id, answer FROM ballots""",
 )
 def _(t):
-    g = vt.gather_assignments(ballots(t), "pair", ["ts", "event_id"], ["user_id", "answer"], part_rows=50)
-    return g.select("pair", "part", F.array_join("user_id", ",").alias("workers"), F.array_join("answer", ",").alias("answers"))
+    return vt.gather_assignments(ballots(t), "pair", ["ts", "event_id"], ["user_id", "answer"])
 
 
 @query(

@@ -79,8 +79,8 @@ def _(t):
 def _(t):
     base = _folder(t)
     q = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("conv_id").alias("image_id"), F.md5("text").alias("question"))
-    # question files by split of the conversations, each one JSON document
-    q.groupBy(F.pmod("image_id", F.lit(4)).alias("part")).agg(F.collect_list(F.struct("question_id", "image_id", "question")).alias("questions")).select("questions").write.json(f"{base}/questions")
+    # one JSON document per conversation
+    q.groupBy(F.col("image_id").alias("part")).agg(F.collect_list(F.struct("question_id", "image_id", "question")).alias("questions")).select("questions").write.json(f"{base}/questions")
     targets = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("conv_id").alias("image_id"), F.length("text").cast("long").alias("label"))
     read = t.spark.read.schema("questions array<struct<question_id: long, image_id: long, question: string>>").json(f"{base}/questions")
     return rc.question_answers(read.select(F.inline("questions")), targets).select("question_id", "image_id", "question", "label")
@@ -88,13 +88,16 @@ def _(t):
 
 @query(
     "vcr_rationale_rows",
-    """WITH s AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), c AS (SELECT item_id, w, (item_id % 4)::INT AS lab FROM s)
-    SELECT 'a' || item_id AS annot_id, array_to_string(list_concat(w, ['[SEP]'], [w[lab + 1]]), ' ') AS question, lab AS target FROM c""",
+    """WITH s AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), c AS (SELECT item_id, w, (item_id % 4)::INT AS lab FROM s),
+    p AS (SELECT *, lab * len(w) // 4 + 1 AS lo, (lab + 1) * len(w) // 4 AS hi FROM c)
+    SELECT 'a' || item_id AS annot_id, array_to_string(list_concat(w, ['[SEP]'], w[lo:hi]), ' ') AS question, lab AS target FROM p""",
 )
 def _(t):
     base = _folder(t)
     w = F.split("text", " ")
-    choices = F.array(*[F.array(w[i]) for i in range(4)])
+    # the whole text in four pieces
+    cut = [F.floor(F.size(w) * i / 4).cast("int") for i in range(5)]
+    choices = F.array(*[F.slice(w, cut[i] + 1, cut[i + 1] - cut[i]) for i in range(4)])
     rows = t.benchmark.select(
         F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("img_id"), F.concat(F.lit("a"), F.col("item_id").cast("string")).alias("annot_id"), w.alias("question"),
         choices.alias("answer_choices"), (F.col("item_id") % 4).cast("int").alias("answer_label"), choices.alias("rationale_choices"), (F.col("item_id") % 4).cast("int").alias("rationale_label"),
@@ -157,13 +160,15 @@ def _(t):
 
 @query(
     "crowd_response_lists",
-    """SELECT user_id::VARCHAR AS pair, string_agg(event_type || '''s', '|' ORDER BY event_id) AS answers, count(*)::INT AS n FROM events GROUP BY 1""",
+    """SELECT user_id || '/' || strftime(ts, '%Y-%m-%d %H') AS pair, string_agg(event_type || '''s', '|' ORDER BY event_id) AS answers, count(*)::INT AS n FROM events GROUP BY 1""",
 )
 def _(t):
     base = _folder(t)
-    per = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
+    # answers of one user in one hour, so a list does not grow with the table
+    pair = F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd HH")).alias("pair")
+    per = t.events.groupBy(pair).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
     literal = F.concat(F.lit("["), F.array_join(F.transform("e.event_type", lambda v: F.concat(F.lit("'"), v, F.lit("'s'"))), ", "), F.lit(", None]"))
-    lines = per.select(F.concat_ws("\t", F.col("user_id").cast("string"), literal).alias("value"))
+    lines = per.select(F.concat_ws("\t", "pair", literal).alias("value"))
     lines.write.text(f"{base}/tsv")
     raw = t.spark.read.csv(f"{base}/tsv", sep="\t", schema="pair string, cause_directions string", quote="")
     read = raw.withColumn("answers", rc.literal_list(F.col("cause_directions")))
@@ -191,12 +196,13 @@ def _(t):
 
 @query(
     "run_results_json",
-    "SELECT s_nationkey::VARCHAR AS run, s_name AS metric, s_acctbal AS value FROM supplier",
+    "SELECT (s_suppkey // 25)::VARCHAR AS run, s_name AS metric, s_acctbal AS value FROM supplier",
 )
 def _(t):
     base = _folder(t)
-    per = t.supplier.groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("s_name", "s_acctbal"))).alias("m"))
-    per.select(F.col("s_nationkey").alias("run"), F.to_json("m").alias("value")).repartition("run").write.partitionBy("run").text(f"{base}/runs")
+    # runs of at most 25 suppliers: their number grows with the table, their size does not
+    per = t.supplier.groupBy(F.floor(F.col("s_suppkey") / 25).alias("run")).agg(F.map_from_entries(F.collect_list(F.struct("s_name", "s_acctbal"))).alias("m"))
+    per.select("run", F.to_json("m").alias("value")).repartition("run").write.partitionBy("run").text(f"{base}/runs")
     out = lg.run_results(t.spark, f"{base}/runs/*/*.txt", "json")
     return out.select(F.regexp_replace("run", "^run=", "").alias("run"), "metric", "value")
 

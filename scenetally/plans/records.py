@@ -278,6 +278,24 @@ def _(t):
     return sa.balanced_label_sample(rows, "l_suppkey", "k", "lab", 32, 0.25, 2)
 
 
+FRAME_STRATEGIES = ("first", "last", "random", "all")
+
+
+@query(
+    "frame_selection",
+    f"""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS a,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS z,
+    row_number() OVER (PARTITION BY user_id ORDER BY {h(11, "user_id", "event_id")}, event_id) AS x FROM events)
+    SELECT 'first' AS strategy, user_id, event_id FROM p WHERE a <= 5 UNION ALL SELECT 'last', user_id, event_id FROM p WHERE z <= 5
+    UNION ALL SELECT 'random', user_id, event_id FROM p WHERE x <= 5 UNION ALL SELECT 'all', user_id, event_id FROM p""",
+)
+def _(t):
+    """Events as the frames of a user's film, five of each."""
+    frames = t.events.select("user_id", "event_id")
+    picked = [sa.selected_frames(frames, "user_id", "event_id", s, 5, 11).select(F.lit(s).alias("strategy"), "*") for s in FRAME_STRATEGIES]
+    return picked[0].unionByName(picked[1]).unionByName(picked[2]).unionByName(picked[3])
+
+
 @query("caption_subsample")
 def _(t):
     per = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.md5("text").alias("d")))).alias("c"))
@@ -451,7 +469,16 @@ def _(t):
     )
 
 
-@query("caption_by_image_id")
+# crc32 of an ASCII URL, bit by bit: each byte comes in with the first of its eight shifts
+BITS = "flatten(list_transform(range(1, length(url) + 1), lambda i : [ord(substr(url, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+CRC32 = f"""xor(list_reduce(list_concat([4294967295::BIGINT], {BITS}), lambda c, b : xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295::BIGINT)"""
+
+
+@query(
+    "caption_by_image_id",
+    f"""WITH p AS (SELECT page_id, {CRC32} AS image_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS caption FROM pages)
+    SELECT b.page_id, image_id, a.caption FROM p a JOIN p b USING (image_id)""",
+)
 def _(t):
     from scenetally.sources.records import url_image_id
 

@@ -22,13 +22,17 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+FEW_PARTS = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A plain scan of fewer parts than the cluster has cores, dealt out to all of them before costly text work.
+    """A plain scan of a few parts, dealt out to all cores before costly text work.
 
-    A large table already comes in many parts and is left as it is, so its text is not shuffled.
+    A scan of ``FEW_PARTS`` parts or more is left as it is, however many cores there are: at 128 MB a part, at most 4 GB
+    of text are ever shuffled here. The rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_PARTS) else df
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

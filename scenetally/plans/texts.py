@@ -189,13 +189,14 @@ def _(t):
 
 @query(
     "pair_key_split",
-    """SELECT p_partkey, string_split(p_name, ' ')[1] AS x, string_split(p_name, ' ')[2] AS y, string_split(p_name, ' ')[1] || ' // ' || string_split(p_name, ' ')[2] AS pair FROM part""",
+    """WITH s AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS x, array_to_string(string_split(p_name, ' ')[2:], ' ') AS y FROM part)
+    SELECT p_partkey, x, y, x || ' // ' || y AS pair FROM s""",
 )
 def _(t):
     from scenetally.operators.votes import pair_key, split_pair
 
     w = F.split("p_name", " ")
-    keyed = t.part.select("p_partkey", pair_key(w[0], w[1]).alias("pair"))
+    keyed = t.part.select("p_partkey", pair_key(w[0], F.array_join(F.slice(w, 2, F.size(w)), " ")).alias("pair"))
     x, y = split_pair(F.col("pair"))
     return keyed.select("p_partkey", x.alias("x"), y.alias("y"), "pair")
 
@@ -204,7 +205,7 @@ def _(t):
 def _(t):
     """Words of each turn with every fifth word standing for an object of the turn."""
     objects = F.array(F.lit("person"), F.lit("dog"), F.lit("person"), F.lit("car"), F.lit("tree"))
-    names = F.array(*[F.lit(n) for n in ("Casey", "Riley", "Jessie", "Jackie")])
+    names = F.array(*[F.lit(n) for n in ("Ono", "Talu", "Mire", "Sefa")])
     tokens = F.transform(vo.words(F.col("text")), lambda w, i: F.when(i % 5 == 4, F.concat(F.lit("["), i % 7, F.lit("]"))).otherwise(w))
     listed = t.conversations.select("conv_id", "turn", tokens.alias("tokens"))
     text, index = an.substitute_names(F.col("tokens"), objects, names, F.crc32(F.concat_ws("-", "conv_id", "turn")))
