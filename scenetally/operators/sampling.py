@@ -47,7 +47,7 @@ def mask_tokens(
 
     def outcome(t: Column, i: Column, coin: Column) -> Column:
         chosen, part = coin < rate, coin / rate
-        drawn = F.pmod(quick_number(seed, F.lit("word"), F.col(key), i), F.size(vocabulary)).cast("int")
+        drawn = hash_pick(F.size(vocabulary), seed, F.lit("word"), F.col(key), i).cast("int")
         out = F.when(~chosen, t).when(part < 0.8, F.lit(mask)).when(part < 0.9, F.get(vocabulary, drawn)).otherwise(t)
         is_counted = F.lit(True) if counted is None else F.array_contains(counted, t)
         in_place = ~chosen | (part >= 0.9)
@@ -56,7 +56,7 @@ def mask_tokens(
         )
 
     def at(t: Column, i: Column) -> Column:
-        return let(quick_unit(seed, F.lit("mask"), F.col(key), i), lambda coin: outcome(t, i, coin))
+        return let(hash_unit(seed, F.lit("mask"), F.col(key), i), lambda coin: outcome(t, i, coin))
 
     return F.transform(tokens, at)
 
@@ -65,7 +65,7 @@ def mask_regions(features: Column, key: str, seed: int, rate: float = 0.15, zero
     """Struct array (feature, label, causal): chosen regions are zeroed nine times in ten; -1 marks 'no label'."""
 
     def at(f: Column, i: Column) -> Column:
-        coin = quick_unit(seed, F.lit("region"), F.col(key), i)
+        coin = hash_unit(seed, F.lit("region"), F.col(key), i)
         chosen = coin < rate
         zeroed = chosen & (coin / rate < zero_share)
         return F.struct(

@@ -12,6 +12,7 @@ from scenetally.operators import sampling as sa
 from scenetally.operators import traces as tr
 from scenetally.operators import vectors as ve
 from scenetally.operators import vocabulary as vo
+from scenetally.plans.pairs import CUT, noun_table
 from scenetally.plans.registry import Tables, query, r
 from scenetally.plans.views import DETECTIONS, det_and_truth, detections
 
@@ -178,10 +179,16 @@ def _(t):
     return out.select("doc_id", F.md5("text").alias("digest"), "label")
 
 
-@query("mask_tokens")
+@query(
+    "mask_tokens",
+    f"""WITH {CUT}, v AS (SELECT list(word ORDER BY word) AS v FROM nouns),
+    coins AS (SELECT doc_id, pos, word, {h(3, "'mask'", "doc_id", "pos")} / {UNIT}::DOUBLE AS coin, {h(3, "'word'", "doc_id", "pos")} AS x FROM doc_words),
+    m AS (SELECT doc_id, pos, coin < 0.15::DOUBLE AS chosen, CASE WHEN coin >= 0.15::DOUBLE THEN word WHEN coin / 0.15::DOUBLE < 0.8::DOUBLE THEN '[MASK]'
+    WHEN coin / 0.15::DOUBLE < 0.9::DOUBLE THEN v[x % len(v) + 1] ELSE word END AS token FROM coins, v)
+    SELECT doc_id, md5(coalesce(string_agg(token, ' ' ORDER BY pos), '')) AS digest, count(token)::INT AS n,
+    count_if(chosen)::INT AS n_chosen, count_if(token = '[MASK]')::INT AS n_masked FROM documents LEFT JOIN m USING (doc_id) GROUP BY 1""",
+)
 def _(t):
-    from scenetally.plans.pairs import noun_table
-
     words = noun_table(t).agg(F.array_sort(F.collect_list("word")).alias("w")).scalar()
     listed = t.documents.select("doc_id", vo.words(F.col("text")).alias("tokens")).withColumn("_v", words)
     masked = listed.select("doc_id", sa.mask_tokens(F.col("tokens"), "doc_id", 3, F.col("_v"), F.col("_v")).alias("m"))
@@ -192,7 +199,13 @@ def _(t):
     )
 
 
-@query("mask_regions")
+@query(
+    "mask_regions",
+    f"""WITH e AS (SELECT vec_id // 8 AS image, row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) - 1 AS i FROM embeddings),
+    c AS (SELECT image, {h(3, "'region'", "image", "i")} / {UNIT}::DOUBLE AS coin FROM e)
+    SELECT image, count(*)::INT AS n, count_if(coin < 0.3::DOUBLE)::INT AS n_chosen,
+    count_if(coin < 0.3::DOUBLE AND coin / 0.3::DOUBLE < 0.9::DOUBLE)::INT AS n_zeroed FROM c GROUP BY 1""",
+)
 def _(t):
     images = t.embeddings.groupBy(F.floor(F.col("vec_id") / 8).alias("image")).agg(
         F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("e")
@@ -204,7 +217,20 @@ def _(t):
     )
 
 
-@query("negative_samples")
+@query(
+    "negative_samples",
+    f"""WITH e AS (SELECT conv_id || '-' || turn AS key, conv_id, md5(text) AS caption FROM conversations),
+    ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM e)),
+    near AS (SELECT a.conv_id, list(b.conv_id ORDER BY b.conv_id) AS pool FROM ids a JOIN ids b ON b.conv_id BETWEEN a.conv_id AND a.conv_id + 5 GROUP BY 1),
+    cap AS (SELECT conv_id, arg_min(caption, struct_pack(h := {h(9, "'cap'", "key")}, c := caption)) AS cap FROM e GROUP BY 1),
+    d AS (SELECT key, conv_id, caption, (pos + {h(9, "'text'", "key")} % greatest(n - 1, 1)) % n + 1 AS tp,
+    (pos + {h(9, "'image'", "key")} % greatest(n - 1, 1)) % n + 1 AS ip, pool[{h(9, "'hard'", "key")} % greatest(len(pool) - 1, 1) + 2] AS hard
+    FROM e JOIN ids USING (conv_id) LEFT JOIN near USING (conv_id)),
+    j AS (SELECT key, d.conv_id, caption, i.conv_id AS other, tc.cap AS text, hc.cap AS hard_text FROM d JOIN ids i ON i.pos = ip
+    JOIN ids ti ON ti.pos = tp JOIN cap tc ON tc.conv_id = ti.conv_id LEFT JOIN cap hc ON hc.conv_id = hard)
+    SELECT key, 0 AS kind, conv_id AS image, caption, 1 AS target FROM j UNION ALL SELECT key, 1, conv_id, text, 0 FROM j
+    UNION ALL SELECT key, 2, other, caption, 0 FROM j UNION ALL SELECT key, 3, conv_id, coalesce(hard_text, text), 0 FROM j""",
+)
 def _(t):
     """Turns as captions of their conversation; near conversations are the next ones by id."""
     entries = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("key"), "conv_id", F.md5("text").alias("caption"))
@@ -296,7 +322,12 @@ def _(t):
     return picked[0].unionByName(picked[1]).unionByName(picked[2]).unionByName(picked[3])
 
 
-@query("caption_subsample")
+@query(
+    "caption_subsample",
+    f"""WITH c AS (SELECT conv_id, list(md5(text) ORDER BY turn, md5(text)) AS d, count(*) AS n FROM conversations GROUP BY 1),
+    s AS (SELECT *, {h(1, "'start'", "conv_id")} % greatest(n - 4, 1) + 1 AS s FROM c)
+    SELECT conv_id, array_to_string(CASE WHEN n >= 5 THEN d[s:s + 4] ELSE list_transform(range(1, 6), lambda i : d[{h(1, "'again'", "conv_id", "i")} % n + 1]) END, ',') AS picked FROM s""",
+)
 def _(t):
     per = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.md5("text").alias("d")))).alias("c"))
     return per.select("conv_id", F.array_join(sa.caption_subsample(F.col("c.d"), "conv_id", 5, 1), ",").alias("picked"))
@@ -749,7 +780,11 @@ def _(t):
     return ru.wide_concat([t.supplier.select(F.col("s_suppkey").alias("id"), "s_acctbal"), t.customer.select(F.col("c_custkey").alias("id"), "c_mktsegment")])
 
 
-@query("merged_region_sets")
+@query(
+    "merged_region_sets",
+    """SELECT vec_id // 8 AS image, least(37, 1 + count(*))::INT AS n_regions, round(avg(embedding[1]::DOUBLE), 6) AS head
+    FROM embeddings GROUP BY 1 HAVING count_if(vec_id % 8 < 5) > 0 AND count_if(vec_id % 8 >= 5) > 0""",
+)
 def _(t):
     """Detected and true regions of an image, each set headed by its mean vector."""
     half = (F.col("vec_id") % 8 < 5).alias("detected")
