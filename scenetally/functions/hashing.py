@@ -24,14 +24,5 @@ def hash_pick(n: Column, seed: int | str, *columns: Column | str) -> Column:
     return F.pmod(hash_number(seed, *columns), n)
 
 
-def quick_number(seed: int | str, *columns: Column | str) -> Column:
-    """Number in [0, 2^52) from Spark's own hash: cheaper per value, but only Spark can repeat it."""
-    return F.pmod(F.xxhash64(F.lit(str(seed)), *columns), F.lit(2**52))
-
-
-def quick_unit(seed: int | str, *columns: Column | str) -> Column:
-    return quick_number(seed, *columns) / F.lit(float(2**52))
-
-
 def _text(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
