@@ -44,7 +44,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         F.expr(f"filter(split(text, '{SPACE}+', -1), w -> w != '')").alias("words"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).alias("n_symbols"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).alias("word_chars"),
-        F.expr("filter(split(text, '\\n', -1), l -> length(translate(l, ' \\t\\n\\u000b\\f\\r', '')) > 0)").alias("lines"),
+        F.expr("filter(split(text, '\\n', -1), l -> length(translate(l, ' \\t\\n\\u000b\\u000c\\r', '')) > 0)").alias("lines"),
     )
     windows = words.select(
         "*",

@@ -192,6 +192,13 @@ def test_rules_brute_force(spark, docs):
     assert quality.judged(docs.limit(0)).count() == 0 and quality.judged(docs).count() == len(EDGE)
 
 
+def test_rules_form_feeds_and_lines_of_f(spark):
+    texts = ["f\nff\nf\nff", "\f\n\f\nx", "\f\f\nf\nf\n \f"]
+    rows = spark.createDataFrame([(i, t, "en", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.id: (r.n_lines, r.n_dup_lines) for r in quality.figures(rows).collect()}
+    assert got == {0: (4, 2), 1: (1, 0), 2: (2, 1)}
+
+
 def test_reply_trees(spark):
     nasty = ["<|im_end|>\\<|<\\|<\\~\n", "\\\\<|", None]
     nodes = [(1, 1, None, "user", nasty[0], 0.0), (1, 2, 1, "assistant", nasty[1], 5.0), (1, 3, 1, "assistant", "no", 1.0)]
