@@ -6,9 +6,11 @@ corpus that name no licence: full-batch gradient steps with an L1 shrinkage, so
 stay in Spark; what is summed per (family, place), at most families * PLACES numbers, comes to the driver and goes back as
 literal arrays, so scoring is a lookup inside the row, without join or shuffle.
 
-Calibration. Scores of a held-out part of the training table give the cut of each family: half way between the highest
-score of a paragraph of another class and the lowest of its own. Below its cut a paragraph is of unknown class. A family
-that passes is confirmed if enough of a template's word triples occur in the paragraph.
+Calibration. Scores of notices and paragraphs that no gradient step has seen give the cut of each family: half way between
+the highest score of a paragraph of another class and the lowest of its own. Below its cut a paragraph is of unknown class.
+A family that passes is confirmed by the best of its templates, which are all its notices: enough of the word triples and
+all name words of the template occur in the paragraph; SPDX lines and notices of fewer than five words must be its last
+words.
 
 Defined results: null and empty texts have no paragraphs; repeated paragraphs count each; without rows for training the
 templates alone are used; other columns are ignored.
@@ -18,6 +20,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +32,7 @@ PLACES = 4096
 UNKNOWN_ROWS = 3000
 CONFIRM = 0.6
 
-# Short notices of the families, written for training; the first of each is its template for confirmation.
+# Short notices of the families, written for training.
 NOTICES = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -40,6 +44,7 @@ NOTICES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is shared under a Creative Commons Attribution-NonCommercial licence, CC BY-NC 4.0.",
         "Released under CC BY-NC 4.0, for non-commercial use only.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "gpl-3.0": [
@@ -56,6 +61,37 @@ NOTICES = {
     ],
 }
 
+# Notices in other wordings: held out from the gradient steps, they give the cuts.
+HELD_OUT = {
+    "apache-2.0": [
+        "You may use this project under the Apache License, Version 2.0.",
+        "Available under the terms of the Apache License, Version 2.0 (Apache-2.0).",
+        "This software is released under the Apache 2.0 license.",
+    ],
+    "cc-by-nc": [
+        "This document is available under the Creative Commons Attribution-NonCommercial 4.0 licence.",
+        "Shared under the CC BY-NC 4.0 licence; commercial use is not permitted.",
+        "You may use this text under CC BY-NC 4.0.",
+    ],
+    "gpl-3.0": [
+        "You can redistribute it and/or modify it under the terms of the GNU General Public License, version 3.",
+        "Released under the GNU General Public License v3.0.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ],
+    "mit": [
+        "This project is licensed under the terms of the MIT License.",
+        "Distributed under the MIT License.",
+        "The source code is available under the MIT License.",
+    ],
+}
+# A template's words among these must all occur in a paragraph it confirms.
+NAMES = {
+    "apache-2.0": {"apache", "2"},
+    "cc-by-nc": {"cc", "by", "nc", "creative", "commons", "attribution", "noncommercial"},
+    "gpl-3.0": {"gnu", "gpl", "general", "public", "3", "v3"},
+    "mit": {"mit"},
+}
+
 
 def words_of(paragraph: Column) -> Column:
     return F.filter(F.split(F.lower(paragraph), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
@@ -90,18 +126,18 @@ def scored(rows: DataFrame, model: dict) -> DataFrame:
 def training_table(docs: DataFrame, text_col: str = "text", unknown_rows: int = UNKNOWN_ROWS) -> DataFrame:
     """(paragraph, label, held_out): notices by family, and sampled paragraphs that name no licence (label -1)."""
     spark = docs.sparkSession
-    rows = [(f"{p}", k) for k, f in enumerate(sorted(NOTICES)) for p in NOTICES[f]]
-    values = ", ".join(f"('{p}', {k})" for p, k in rows)
-    notices = spark.sql(f"SELECT * FROM VALUES {values} AS t(paragraph, label)")
+    rows = [(p, k, held) for k, f in enumerate(sorted(NOTICES)) for held, of in ((False, NOTICES), (True, HELD_OUT)) for p in of[f]]
+    values = ", ".join(f"('{p}', {k}, {held})" for p, k, held in rows)
+    notices = spark.sql(f"SELECT * FROM VALUES {values} AS t(paragraph, label, held_out)")
     # the sample is of documents, so no text is exploded for nothing; it is bounded by its share of the row count
     share = min(1.0, unknown_rows / 4 / max(1, docs.count()))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     chosen = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     lines = chosen.select(F.explode(F.split(text, "\n", -1)).alias("paragraph")).where("length(paragraph) > 0")
-    named = "lower(paragraph) rlike 'licen[cs]|copyright|spdx|gnu|apache|creative commons'"
+    named = "lower(paragraph) rlike 'licen[cs]|copyright|spdx|gnu|gpl|apache|creative commons|cc[ -]by'"
     plain = lines.where(f"NOT ({named})").orderBy(F.xxhash64("paragraph")).limit(unknown_rows).withColumn("label", F.lit(-1))
     held = F.pmod(F.xxhash64("paragraph", F.lit(5)), F.lit(4)) == 0
-    return notices.withColumn("held_out", F.lit(False)).union(plain.withColumn("held_out", held))
+    return notices.union(plain.withColumn("held_out", held))
 
 
 def train(table: DataFrame, steps: int = 25, rate: float = 1.0, l1: float = 2e-4) -> dict:
@@ -131,7 +167,7 @@ def train(table: DataFrame, steps: int = 25, rate: float = 1.0, l1: float = 2e-4
                 else:
                     moved = weights[k][g.place] - 8 * rate * g[f"g_{k}"]
                     weights[k][g.place] = math.copysign(max(0.0, abs(moved) - l1), moved)
-    cuts = scored(rows, model).agg(
+    cuts = scored(rows.where("held_out"), model).agg(
         *[F.min(F.when(F.col("label") == k, F.col(f"s_{k}"))).alias(f"own_{k}") for k in range(len(families))],
         *[F.max(F.when(F.col("label") != k, F.col(f"s_{k}"))).alias(f"other_{k}") for k in range(len(families))],
     ).first()
@@ -149,6 +185,17 @@ def _triples(words: str) -> str:
     )
 
 
+def _confirms(family: str, template: str) -> Column:
+    """Whether the template confirms a paragraph with columns words and _triples."""
+    words = re.findall(r"[^\W_]+", template.lower())
+    if words[0] == "spdx" or len(words) < 5:
+        return F.slice("words", -len(words), len(words)) == F.array(*map(F.lit, words))
+    triples = F.array(*[F.lit(t) for t in dict.fromkeys(" ".join(words[i : i + 3]) for i in range(len(words) - 2))])
+    names = F.array(*[F.lit(w) for w in sorted(NAMES[family] & set(words))])
+    share = F.size(F.array_intersect(F.col("_triples"), triples)) / F.size(triples)
+    return (share >= CONFIRM) & (F.size(F.array_except(names, F.col("words"))) == 0)
+
+
 def classified(rows: DataFrame, model: dict) -> DataFrame:
     """Adds family (null: unknown) and confirmed to rows with a column paragraph."""
     families = model["families"]
@@ -156,13 +203,11 @@ def classified(rows: DataFrame, model: dict) -> DataFrame:
     margins = [F.struct((F.col(f"s_{k}") - F.lit(c)).alias("m"), F.lit(f).alias("family"), F.lit(k).alias("k")) for k, (f, c) in enumerate(zip(families, model["cut"]))]
     out = out.withColumn("_best", F.greatest(*margins)).withColumn("family", F.when(F.col("_best.m") > 0, F.col("_best.family")))
     out = out.withColumn("_triples", F.when(F.col("family").isNotNull(), F.expr(_triples("words"))))
-    share = F.lit(None).cast("double")
+    confirmed = F.lit(False)
     for f in families:
-        words = re.findall(r"[^\W_]+", NOTICES[f][0].lower())
-        triples = F.array(*[F.lit(" ".join(words[i : i + 3])) for i in range(len(words) - 2)])
-        found = F.size(F.array_intersect(F.col("_triples"), triples)) / F.size(triples)
-        share = F.when(F.col("family") == f, found).otherwise(share)
-    return out.withColumn("confirmed", F.coalesce(share >= CONFIRM, F.lit(False))).drop("_best", "_triples")
+        any_of = reduce(or_, [_confirms(f, t) for t in NOTICES[f] + HELD_OUT[f]])
+        confirmed = F.when(F.col("family") == f, any_of).otherwise(confirmed)
+    return out.withColumn("confirmed", F.coalesce(confirmed, F.lit(False))).drop("_best", "_triples")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -240,6 +240,29 @@ def test_license_families(spark, docs):
     assert not any(got[i].families for i in range(300))
 
 
+def test_license_wordings(spark):
+    """Every notice of every family is confirmed, other licences and plain lines are not, and cuts come from held-out rows."""
+    rng = random.Random(7)
+    plain = [" ".join(f"u{rng.randrange(400)}" for _ in range(12)) for _ in range(300)]
+    fresh = {
+        "apache-2.0": "Code is licensed under the Apache License, Version 2.0, see the file LICENSE.",
+        "mit": "(c) 2019 A. Body. Released under the MIT License.",
+        "gpl-3.0": "You may redistribute and/or modify it under the terms of the GNU General Public License, version 3.",
+        "cc-by-nc": "All texts are shared under CC BY-NC 4.0, for non-commercial use only.",
+    }
+    wanted = [(f, t) for f in licenses.NOTICES for t in [*licenses.NOTICES[f], *licenses.HELD_OUT[f], fresh[f]]]
+    others = ["This software is distributed under the terms of the BSD License.", "Distributed under the GNU GPL, version 2.", "SPDX-License-Identifier: MIT-0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"]
+    rows = [*enumerate(plain), *((1000 + i, t) for i, (_, t) in enumerate(wanted)), *((2000 + i, t) for i, t in enumerate(others))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    training = licenses.training_table(table)
+    held = {r.label for r in training.where("held_out").select("label").distinct().collect()}
+    assert held == {-1, 0, 1, 2, 3}
+    got = {r.doc_id: (r.families, r.confirmed) for r in licenses.scan(table).collect()}
+    assert [(t, got[1000 + i]) for i, (f, t) in enumerate(wanted) if got[1000 + i] != (f, f)] == []
+    assert [(t, got[2000 + i]) for i, t in enumerate(others) if got[2000 + i][1]] == []
+    assert not any(got[i][0] for i in range(300))
+
+
 def test_pipeline_keeps_stage_rules(spark):
     prepare(spark)
     docs, folder = spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER
