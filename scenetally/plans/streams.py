@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenetally.operators.vocabulary import WORD, words
+from scenetally.plans.pairs import CUT, noun_table
 from scenetally.plans.registry import Tables, query, r
 from scenetally.streaming import streams as st
 
@@ -66,6 +67,21 @@ def _(t):
     return st.latest_updates(t.spark, f"{base}/out", ["hi", "lo"])
 
 
+@query(
+    "stream_noun_pair_counts",
+    f"""WITH {CUT}, s AS (SELECT DISTINCT doc_id, word FROM doc_words SEMI JOIN nouns USING (word))
+    SELECT a.word AS hi, b.word AS lo, count(*) AS n FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.word >= b.word GROUP BY ALL""",
+)
+def _(t):
+    """The noun words of every document."""
+    base = _folder(t)
+    # one row: the frequent words that make up 30 % of the tokens are few
+    nouns = noun_table(t).agg(F.collect_set("word").alias("nouns"))
+    docs = _stream(t, "documents").select(F.array_distinct(words(F.col("text"))).alias("found")).crossJoin(F.broadcast(nouns))
+    st.drain_updates(st.pair_counts(docs.select(F.array_intersect("found", "nouns").alias("items")), "items"), f"{base}/out", f"{base}/checkpoint", ["hi", "lo"])
+    return st.latest_updates(t.spark, f"{base}/out", ["hi", "lo"])
+
+
 @query(
     "stream_metric_history",
     """WITH w AS (SELECT event_type AS series, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events)
