@@ -248,7 +248,7 @@ def _(t):
     """SELECT round(avg((list_last(string_split(regexp_replace(lower(text), '[^a-zß-ÿ ]', '', 'g'), ' ')) IN ('the', 'of', 'and', 'in', 'de', 'la', 'und'))::INT), 8) AS rate FROM documents""",
 )
 def _(t):
-    bare = t.documents.select(F.regexp_replace(F.lower("text"), "[^a-zß-ÿ ]", "").alias("text"))
+    bare = t.documents.select(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\p{N} ]", "").alias("text"))
     return vo.bad_ending_rate(bare, "text", ["the", "of", "and", "in", "de", "la", "und"]).select(r("rate", 8))
 
 

@@ -393,3 +393,11 @@ def test_truncate_pad(spark):
     df = spark.createDataFrame([([1, 2, 3],), ([],)], "a array<int>")
     out = df.select(arrays.truncate_pad("a", 2, 0).alias("x"), arrays.truncate_pad("a", 4, 0).alias("y"), arrays.pad_mask("a", 4).alias("m")).collect()
     assert (out[0].x, out[0].y, out[0].m) == ([1, 2], [1, 2, 3, 0], [1, 1, 1, 0]) and out[1].y == [0, 0, 0, 0]
+
+
+def test_bad_ending_keeps_digits_and_scripts(spark, tmp_path):
+    import __spark_entry__ as entry_module
+
+    texts = ["page of5", "see theœ", "end of в", "to the"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert entry_module.queries()["bad_ending_rate"](spark, str(tmp_path)).first().rate == 0.25
