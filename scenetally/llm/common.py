@@ -135,8 +135,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table written to the shared folder; compressed and with known sizes, unlike a checkpoint."""
+def keep_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """keep(), and the folder of the table."""
     folder = shared_folder(df.sparkSession, "table")
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table written to the shared folder; compressed and with known sizes, unlike a checkpoint."""
+    return keep_at(df)[0]
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a table of keep_at() that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenetally.llm import bpe, chat, decontamination, licenses, near_duplicates, personal_data, quality, repeats, toxicity, warc
+from scenetally.llm import (
+    bpe,
+    centroids,
+    chat,
+    collocations,
+    decontamination,
+    licenses,
+    near_duplicates,
+    personal_data,
+    quality,
+    repeats,
+    secrets,
+    toxicity,
+    warc,
+)
 from scenetally.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +188,92 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_bpe")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), vocabulary())
+
+
+def _rounds(rounds: int = 5) -> str:
+    """SQL of the integer vectors, the starting centroids, and each round's assignment and update."""
+    parts = [
+        """
+    WITH v AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), x) AS id, vec_id, x FROM (
+        SELECT vec_id, [CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x FROM embeddings
+        WHERE len(embedding) = 64 AND len([e FOR e IN embedding IF e IS NOT NULL AND isfinite(e)]) = 64)),
+    c0 AS MATERIALIZED (SELECT CAST(id - 1 AS INTEGER) AS c, x AS y FROM v WHERE id <= 40)"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""
+    a{r} AS MATERIALIZED (
+      SELECT id, min(struct_pack(d := d, c := c)) AS m FROM (
+        SELECT id, c, list_sum([(x[i] - y[i]) * (x[i] - y[i]) FOR i IN range(1, 65)]) AS d FROM v, c{r}) GROUP BY id)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""
+    c{r + 1} AS MATERIALIZED (
+      SELECT c, coalesce(z, y) AS y FROM c{r} LEFT JOIN (
+        SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS z FROM (
+          SELECT m.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM a{r} JOIN v USING (id), range(1, 65) t(i) GROUP BY 1, 2)
+        GROUP BY c) USING (c))"""
+            )
+    parts.append(
+        f"""
+    done AS (SELECT vec_id, m.c AS cluster, CAST(m.d AS BIGINT) AS distance FROM a{rounds} JOIN v USING (id))"""
+    )
+    return ",".join(parts)
+
+
+@query(
+    "op11_drift_clusters",
+    _rounds()
+    + """
+    SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+      CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256
+    FROM done JOIN c5 ON c = cluster
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.report(centroids.clustered(read(spark, folder, "embeddings")))
+
+
+@query("op12_zstd_novelty")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return secrets.report(secrets.spans(docs, secrets.identifier_dictionary(docs)))
+
+
+@query(
+    "op13_stripes",
+    r"""
+    WITH pieces AS (
+      SELECT lang, [x FOR x IN regexp_split_to_array(p, '[\x20\x09]+') IF x <> ''] AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+    sizes AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM pieces GROUP BY 1),
+    f AS (
+      SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS s, count(*) AS a
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) t(k) WHERE len(w) >= k)
+      GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+    p AS (SELECT *, string_split(s, ' ') AS w FROM f WHERE k >= 2),
+    longer AS (
+      SELECT lang, s, max(a) AS m FROM (
+        SELECT lang, array_to_string(w[1 : k - 1], ' ') AS s, a FROM p
+        UNION ALL SELECT lang, array_to_string(w[2 : k], ' '), a FROM p) GROUP BY 1, 2),
+    kept AS (SELECT p.* FROM p LEFT JOIN longer USING (lang, s) WHERE m IS NULL OR 100 * m < 100 * p.a),
+    cuts AS (
+      SELECT lang, s, a, j, array_to_string(w[1 : j], ' ') AS head, array_to_string(w[j + 1 : k], ' ') AS rest
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)),
+    scored AS (
+      SELECT c.lang, c.s, c.a, min(struct_pack(score := (1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.a AS HUGEINT) * y.a),
+        j := j, l := x.a, r := y.a, n := n)) AS m
+      FROM cuts c JOIN f x ON x.lang = c.lang AND x.s = head JOIN f y ON y.lang = c.lang AND y.s = rest
+      JOIN sizes z ON z.lang = c.lang GROUP BY 1, 2, 3),
+    numbered AS (
+      SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY m.score DESC, a DESC, encode(s)) AS rank, s AS phrase, a, m
+      FROM scored)
+    SELECT lang, rank, phrase, a, m.l AS l, m.r AS r, CAST(m.n AS BIGINT) AS n, CAST(m.score AS BIGINT) AS score
+    FROM numbered WHERE rank <= 2000
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.ranked(collocations.collocations(collocations.stripes(read(spark, folder, "documents"))))
