@@ -61,25 +61,27 @@ def test_equals_plain_counts(spark, least, bits):
     prepare(spark)
     rows = table(least)
     df = spark.createDataFrame([(i, t, lang, "p", "x", 1) for i, (lang, t) in enumerate(rows)], SCHEMA).repartition(4)
-    merged = collocations.stripes(df, least=least, filter_bits=bits)
-    got = collocations.ranked(collocations.collocations(merged, least), 50).collect()
+    found = collocations.stripes(df, least=least, filter_bits=bits)
+    got = collocations.ranked(collocations.collocations(found), 50).collect()
     want = plain(rows, least, 50)
     assert sorted(tuple(r) for r in got) == want and len(want) > 10
 
 
-def test_flushes_and_forgetting_change_nothing(spark, monkeypatch):
+def test_flushes_change_nothing(spark):
+    """Counters that are sent on after every batch and merged by Spark."""
     rows = table(9)
-    batch = collocations.pa.RecordBatch.from_pydict({"l": ["und" if r[0] is None else r[0] for r in rows], "t": [r[1] for r in rows]})
-    seen = []
-    for known in (300_000, 3):
-        monkeypatch.setattr(collocations, "KNOWN_WORDS", known)
-        v, keys = collocations.Vocabulary(), Counter()
-        for _, docs in collocations._by_language(batch):
-            words, near = collocations.split(docs)
-            assert len(words) == len(near) and not (len(near) and near[-1])
-            keys.update(v.hashes[v.numbers(words)].tolist())
-        seen.append(keys)
-    assert seen[0] == seen[1]
+    df = spark.createDataFrame([(i, t, lang, "p", "x", 1) for i, (lang, t) in enumerate(rows)], SCHEMA).repartition(2)
+    before = collocations.HELD, collocations.KNOWN_WORDS, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        collocations.HELD, collocations.KNOWN_WORDS = 10, 5
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        parts = collocations.word_counts(df.selectExpr("coalesce(lang, 'und')", "text"))
+        assert parts.count() > 400
+        got = collocations.ranked(collocations.collocations(collocations.stripes(df, least=5)), 50).collect()
+    finally:
+        collocations.HELD, collocations.KNOWN_WORDS = before[:2]
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before[2])
+    assert sorted(tuple(r) for r in got) == plain(rows, 5, 50)
 
 
 def test_empty_table(spark):
