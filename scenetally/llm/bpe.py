@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from scenetally.llm.common import batch_of
+from scenetally.llm.common import batch_of, frugal
 
 FILE_BYTES = 64 << 20
-KEEP_WORDS = 400_000
+KEEP_WORDS, KEEP_BYTES = 150_000, 4 << 20
 BEYOND = re.compile("[԰-\U0010ffff]")  # every code point below is assigned
 
 
@@ -89,6 +89,7 @@ class PairIndexBpe:
         self.pool = np.array(list(self.special.values()), dtype=np.uint32)
         self.begin = np.arange(len(self.special), dtype=np.int64)
         self.length = np.ones(len(self.special), dtype=np.int64)
+        self.held = 0
 
     # text to words
 
@@ -187,7 +188,7 @@ class PairIndexBpe:
 
     def encode(self, docs: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > KEEP_WORDS:
+        if len(self.known) > KEEP_WORDS or self.held > KEEP_BYTES:
             self.clear()
         known, fresh, places = self.known, [], []
         for d in docs:  # the words of one text at a time; what stays of them is four bytes each
@@ -198,7 +199,9 @@ class PairIndexBpe:
                     fresh.append(w)
             places.append(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
         if fresh:
-            ids, count = self.merge([w.encode() for w in fresh])
+            coded = [w.encode() for w in fresh]
+            self.held += sum(map(len, coded))
+            ids, count = self.merge(coded)
             self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(count) - count])
             self.length = np.concatenate([self.length, count])
             self.pool = np.concatenate([self.pool, ids])
@@ -243,8 +246,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         model = _model(shared)
         for b in batches:
             yield batch_of(schema, [b.column(0), model.encode(["" if x is None else x for x in b.column(1).to_pylist()])])
+        model.clear()
 
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(frugal(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -260,7 +264,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
             decoded = pa.array([model.decode(x or b"") for x in b.column(at).to_pylist()], type=pa.binary())
             yield batch_of(schema, [*b.columns, decoded.cast(pa.string())])
 
-    return df.select(*[f.name for f in kept]).mapInArrow(run, schema)
+    return df.select(*[f.name for f in kept]).mapInArrow(frugal(run), schema)
 
 
 def encode_and_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,8 +284,9 @@ def encode_and_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col
             ids = model.encode(["" if x is None else x for x in b.column(1).to_pylist()])
             decoded = pa.array([model.decode(x) for x in ids], type=pa.binary())
             yield batch_of(schema, [b.column(0), ids, decoded.cast(pa.string())])
+        model.clear()  # the words of a task go with it, the vocabulary stays
 
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(frugal(run), schema)
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

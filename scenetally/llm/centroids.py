@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenetally.llm.common import batch_of, discard, keep_at
+from scenetally.llm.common import batch_of, discard, frugal, keep_at
 
 LARGEST = 1 << 26
 PIECES = 16
@@ -143,7 +143,7 @@ def _moments(state: DataFrame, k: int, dims: int):
         if len(used):
             yield batch_of(schema, [used, n[used], radius[used], totals[used].tolist()])
 
-    parts = state.select("x", "cluster", "upper").mapInArrow(run, schema)
+    parts = state.select("x", "cluster", "upper").mapInArrow(frugal(run), schema)
     places = parts.select("cluster", "n", "radius", F.posexplode("totals").alias("place", "total"))
     rows = places.groupBy("cluster", "place").agg(
         F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n"), F.max("radius").alias("radius")
@@ -205,7 +205,7 @@ def clustered(
                 else:
                     yield batch_of(carried, [b.column(0), b.column(1), cluster.astype(np.int32), upper, lower])
 
-        made = (kept if state is None else state).mapInArrow(step, assigned if round_ == rounds else carried)
+        made = (kept if state is None else state).mapInArrow(frugal(step), assigned if round_ == rounds else carried)
         before = folder
         state, folder = keep_at(made)
         if before:

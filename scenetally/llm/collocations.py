@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from scenetally.llm.common import LOWER, NOT_SPACE, Words, batch_of, keep, mix, texts
+from scenetally.llm.common import LOWER, NOT_SPACE, Words, batch_of, frugal, keep, mix, texts
 
 LONGEST = 5
 FILTER_BITS = 1 << 25
@@ -125,7 +125,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return docs.mapInArrow(run, WORDS)
+    return docs.mapInArrow(frugal(run), WORDS)
 
 
 class _Held:
@@ -221,7 +221,7 @@ def stripe_counts(docs: DataFrame, words_filter, pairs_filter=None) -> DataFrame
                 yield from out()
         yield from out()
 
-    return docs.mapInArrow(run, STRIPES)
+    return docs.mapInArrow(frugal(run), STRIPES)
 
 
 def filter_of(hashes: DataFrame, most_bits: int = FILTER_BITS):

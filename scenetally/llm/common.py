@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PIECE_BYTES = 1 << 20
@@ -57,6 +59,41 @@ def batch_of(schema: T.StructType, columns: Iterable) -> pa.RecordBatch:
     )
 
 
+def frugal(run: Callable) -> Callable:
+    """The same batch function, whose worker gives freed memory back to the system when its task ends.
+
+    Workers outlive their tasks; without this each keeps the most it ever used beside the heap of the executor.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return task
+
+
+def chosen(hashed: Column, wanted: int, total: int) -> Column:
+    """A sample of about ``wanted`` of ``total`` rows by a 64-bit hash; some hashes are chosen however large the total."""
+    if wanted >= total:
+        return F.lit(True)
+    least = max(1, (wanted << 63) // total)
+    return F.shiftrightunsigned(hashed, 1) < F.lit(least).cast("long")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # word bytes after lower-casing A-Z: digits, a-z and every byte of a character beyond ASCII
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])

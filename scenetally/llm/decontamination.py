@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenetally.llm.common import ALNUM, LOWER, batch_of, pieces, texts
+from scenetally.llm.common import ALNUM, LOWER, batch_of, frugal, pieces, texts
 from scenetally.session import pin
 
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -242,10 +242,10 @@ def search(
     for block in _blocks(items, item_id_col, item_text_col, block_bytes, window):
         if number and number % 4 == 0:
             out = pin(out)  # a few blocks' tables in a worker at a time
-        out = out.mapInArrow(step(context.broadcast(block)), schema)
+        out = out.mapInArrow(frugal(step(context.broadcast(block))), schema)
         number += 1
     if not number:  # nothing to find, yet words are counted
-        out = out.mapInArrow(step(context.broadcast(Block([], window))), schema)
+        out = out.mapInArrow(frugal(step(context.broadcast(Block([], window)))), schema)
     return out
 
 
@@ -268,7 +268,7 @@ def clean(
     for number, block in enumerate(_blocks(items, "item_id", "text", block_bytes, window)):
         if number and number % 4 == 0:
             out = pin(out)
-        out = out.mapInArrow(step(context.broadcast(block)), schema)
+        out = out.mapInArrow(frugal(step(context.broadcast(block))), schema)
     return out
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenetally.llm.common import LOWER, NOT_SPACE, Words, batch_of, keep, mix, ngrams, pieces, texts
+from scenetally.llm.common import LOWER, NOT_SPACE, Words, batch_of, frugal, keep, mix, ngrams, pieces, texts, unused
 
 BANDS, ROWS = 80, 7
 _LOW = np.uint64((1 << 40) - 1)
@@ -94,9 +94,15 @@ def most_unequal(percent: int, bins: int) -> int:
     return int(bins * p + 4.2 * (bins * p * (1 - p)) ** 0.5) + 1
 
 
+def _text_key(text_col: str):
+    """128-bit hash of a text; null is like empty, which is kept anyway."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.struct(F.xxhash64(text, F.lit(1)).alias("a"), F.xxhash64(text, F.lit(2)).alias("b"))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, set_a, set_b, bands, bits): set size, 128-bit hash of the set, band hashes and packed sketch (null for an
-    empty set)."""
+    """(id, n, set_a, set_b, bands, bits, key): set size, 128-bit hash of the set, band hashes and packed sketch (null for
+    an empty set), and the hash of the text."""
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
@@ -105,6 +111,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
             T.StructField("set_b", T.LongType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
             T.StructField("bits", T.ArrayType(T.LongType())),
+            T.StructField("key", T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])),
         ]
     )
 
@@ -119,9 +126,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
                     made = sketch(s, bands * rows) if len(s) else None
                     hashed.append(None if made is None else band_hashes(made, bands, rows))
                     bits.append(None if made is None else packed(made))
-            yield batch_of(schema, [b.column(0), n, [k[0] for k in keys], [k[1] for k in keys], hashed, bits])
+            yield batch_of(schema, [b.column(0), n, [k[0] for k in keys], [k[1] for k in keys], hashed, bits, b.column(2)])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string"), _text_key(text_col)).mapInArrow(frugal(run), schema)
 
 
 def verified(pairs: DataFrame, text: DataFrame, size: int, percent: int) -> DataFrame:
@@ -155,7 +162,7 @@ def verified(pairs: DataFrame, text: DataFrame, size: int, percent: int) -> Data
             linked = pa.array(100 * common >= percent * union)
             yield batch_of(schema, [batch.column(0), batch.column(1), pa.array(1 - common / np.maximum(union, 1)), linked])
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(frugal(run), schema)
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -190,7 +197,7 @@ def _labelled(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(open_, "band", "left_semi")
 
 
-def near_duplicates(
+def judged(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -199,11 +206,11 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row; ids are integers."""
+    """(id, n_shingles, component_id, kept, key) of every row; ids are integers, the key is the hash of the row's text."""
     made = keep(sketches(docs, id_col, text_col, size, bands, rows))
-    narrow = made.select("id", "n", "set_a", "set_b")
+    narrow = made.select("id", "n", "set_a", "set_b", "key")
     classes = narrow.where("n > 0 and id is not null").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"))
-    members = keep(narrow.join(classes, ["n", "set_a", "set_b"], "left").select("id", "n", "rep"))
+    members = keep(narrow.join(classes, ["n", "set_a", "set_b"], "left").select("id", "n", "rep", "key"))
     filled = made.where("bands is not null and id is not null")
     # two classes in a bucket differ in the first half of their set hash
     shared = (
@@ -268,4 +275,18 @@ def near_duplicates(
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+        "key",
     )
+
+
+def near_duplicates(docs: DataFrame, *args, **names) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row; see judged()."""
+    return judged(docs, *args, **names).drop("key")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows that are kept, with all columns. A row goes for its own text: what else has its id does not matter."""
+    gone, key = unused(docs, "_gone"), unused(docs, "_key")
+    found = judged(docs, id_col, text_col, **settings).where("not kept").select(F.col(id_col).alias(gone), F.col("key").alias(key))
+    same = (F.col(id_col) == F.col(gone)) & (_text_key(text_col) == F.col(key))
+    return docs.join(found.distinct(), same, "left_anti")

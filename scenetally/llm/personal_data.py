@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenetally.llm.common import batch_of
+from scenetally.llm.common import batch_of, chosen, frugal
 
 KINDS = ("email", "ip", "card", "phone")
 # outside, then begin and inside of each kind
 STATES = 1 + 2 * len(KINDS)
 TRAIN_DOCS, TRAIN_RUNS = 6000, 6000
+PART = 64  # a longer run is fitted in parts of so many tokens
 CELLS = 100_000
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -83,8 +84,8 @@ def base_spans(text: str) -> list[Span]:
 
 def shape(token: str) -> str:
     """Digits by count (up to five and more), letters by case, other marks as they are; repeats are joined."""
-    token = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0][0].isupper() else "x", token[:200])
-    return re.sub(r"\d+", lambda m: "ddddd"[: len(m[0])], token)[:40]
+    token = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0][0].isupper() else "x", token)
+    return re.sub(r"\d+", lambda m: "ddddd"[: len(m[0])], token)
 
 
 def coarse(token: str) -> str:
@@ -166,8 +167,8 @@ def fit(runs: list[list[tuple[str, str]]], labels: list[list[int]], steps: int =
     """Maximum likelihood by AdaGrad on forward-backward gradients over all runs at once."""
     shapes = {s: i for i, s in enumerate(sorted({s for r in runs for s, _ in r}), 1)}
     kinds = {k: i for i, k in enumerate(sorted({k for r in runs for _, k in r}), 2)}
-    keep = [i for i, r in enumerate(runs) if len(r) <= 64]
-    runs, labels = [runs[i] for i in keep], [labels[i] for i in keep]
+    labels = [y[k : k + PART] for y in labels for k in range(0, len(y), PART)]
+    runs = [r[k : k + PART] for r in runs for k in range(0, len(r), PART)]
     at, mask = padded(runs, shapes, kinds)
     n, length = mask.shape
     gold = np.zeros((n, length), dtype=np.int64)
@@ -290,7 +291,7 @@ def labelled_runs(docs: DataFrame, text_col: str) -> DataFrame:
                         labels.append([phone, *y[2:]])
             yield batch_of(schema, [tokens, labels])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(frugal(run), schema)
 
 
 def train(labelled: DataFrame, train_runs: int = TRAIN_RUNS):
@@ -305,15 +306,14 @@ def train(labelled: DataFrame, train_runs: int = TRAIN_RUNS):
             yield batch_of(schema, [[pickle.dumps(fit(runs, [y for _, y in rows]))]])
 
     small = labelled.orderBy(F.xxhash64("tokens", "labels")).limit(train_runs)
-    made = small.repartition(1).mapInArrow(run, schema).collect()
+    made = small.repartition(1).mapInArrow(frugal(run), schema).collect()
     return pickle.loads(made[0].model) if made else None
 
 
 def sampled_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS):
     """The field trained on a sample of about ``train_docs`` documents, chosen by a hash of the id."""
-    share = min(1.0, train_docs / max(1, docs.count()))
-    chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))
-    return train(labelled_runs(docs.where(chosen), text_col))
+    sample = docs.where(chosen(F.xxhash64(F.col(id_col), F.lit(3)), train_docs, docs.count()))
+    return train(labelled_runs(sample, text_col))
 
 
 SPANS = T.ArrayType(
@@ -338,7 +338,7 @@ def spans(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
             base, every = find([x or "" for x in b.column(1).to_pylist()], shared.value)
             yield batch_of(schema, [b.column(0), named(base), named(every)])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(frugal(run), schema)
 
 
 def masked(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
@@ -365,7 +365,7 @@ def masked(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
             columns[at] = [hide(t, f) for t, f in zip(texts, every)]
             yield batch_of(schema, columns)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

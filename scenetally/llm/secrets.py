@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenetally.llm.common import batch_of, texts
+from scenetally.llm.common import batch_of, frugal, texts
 
 KINDS = ("assign", "access", "hex", "novel")
 LEAST = 12
@@ -189,7 +189,7 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text", size: int = D
             if counts:
                 yield batch_of(schema, [list(counts), list(counts.values())])
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(frugal(run), schema).groupBy("word").agg(F.sum("n").alias("n"))
     often = counted.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "word").limit(size // 5).collect()
     out, used = [], 0
     for r in often:  # at most size // 5 words of five bytes or more with the blank
@@ -222,7 +222,7 @@ def spans(docs: DataFrame, words: bytes, id_col: str = "doc_id", text_col: str =
             found = [find(t, novelty) for t in texts(b.column(1))]
             yield batch_of(schema, [b.column(0), [named(x) for x, _ in found], [named(x) for _, x in found]])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(frugal(run), schema)
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

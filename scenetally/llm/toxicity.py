@@ -3,8 +3,9 @@
 Features are present-or-absent: single words, pairs of neighbours, and pairs with one or two words between them, hashed
 to ``2**BITS`` places. Per-coordinate learning rates and the L1 term leave a sparse table of weights, which is what is
 broadcast; it can't exceed ``2**BITS`` entries of 12 bytes. Training takes a sample of labelled rows whose size is
-bounded by ``train_rows`` (by a hash of the id, the same on every run); features are built in Spark, the bounded sample
-is fitted in one task, so an executor's loss only repeats that task. Scoring reads every whole text and shuffles none.
+bounded by ``train_rows`` (by a hash of the id, the same on every run) and by ``TRAIN_BYTES`` of features (in the order of
+their hash, which Spark sorts); features are built in Spark, the bounded sample is fitted in one task, so an executor's
+loss only repeats that task. Scoring reads every whole text and shuffles none.
 
 Defined results: null or empty text has only the bias; a label that is null is no label; repeated labelled rows count
 each; without a row of either class every score is 0.5 (no evidence); other columns are ignored.
@@ -13,7 +14,6 @@ each; without a row of either class every score is 0.5 (no evidence); other colu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenetally.llm.common import ALNUM, LOWER, Words, batch_of, ngrams, pieces, texts
+from scenetally.llm.common import ALNUM, LOWER, Words, batch_of, chosen, frugal, ngrams, pieces, texts
 
 BITS = 20
 TRAIN_ROWS = 20_000
+TRAIN_BYTES = 128 << 20
 SHAPES = ((0,), (0, 1), (0, 2), (0, 3))
 
 
@@ -90,10 +91,7 @@ def train(
     usable = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")
     )
-    total = usable.count()
-    share = min(1.0, train_rows / max(1, total))
-    spread = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 20))
-    usable = usable.where(spread < int(share * (1 << 20)))
+    usable = usable.where(chosen(F.xxhash64("_id", F.lit(11)), train_rows, usable.count()))
     joined = usable.join(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), "_id")
     made = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("at", T.BinaryType())])
 
@@ -108,18 +106,21 @@ def train(
     )
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [
-            (np.frombuffer(at, dtype=np.int32), label)
-            for b in batches
-            for label, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-        ]
+        rows, used = [], 0
+        for b in batches:
+            for label, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if used + len(at) <= TRAIN_BYTES:
+                    rows.append((np.frombuffer(at, dtype=np.int32), label))
+                    used += len(at)
         if len({label for _, label in rows}) == 2:
-            rows.sort(key=lambda r: (crc32(r[0].tobytes()), len(r[0]), r[1]))  # an order of no meaning
             w, bias = ftrl(rows, 1 << BITS)
             used = np.flatnonzero(w)
             yield batch_of(weights, [np.append(used, -1).astype(np.int32), np.append(w[used], bias)])
 
-    rows = joined.select("_label", "_text").mapInArrow(build, made).repartition(1).mapInArrow(fit, weights).collect()
+    built = joined.select("_label", "_text").mapInArrow(frugal(build), made)
+    # an order of no meaning, the same on every run
+    ordered = built.repartition(1).sortWithinPartitions(F.xxhash64("at"), "at", "label")
+    rows = ordered.mapInArrow(frugal(fit), weights).collect()
     table = {r.place: r.weight for r in rows}
     bias = table.pop(-1, 0.0)
     return np.array(list(table), dtype=np.int32), np.array(list(table.values())), bias
@@ -161,7 +162,7 @@ def score(
     """(id, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(out, T.DoubleType())])
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(_scorer(shared, 1, schema, [0]), schema)
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(frugal(_scorer(shared, 1, schema, [0])), schema)
 
 
 def with_score(docs: DataFrame, model, out: str = "score", text_col: str = "text") -> DataFrame:
@@ -169,4 +170,4 @@ def with_score(docs: DataFrame, model, out: str = "score", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     every = list(range(len(docs.columns)))
-    return docs.mapInArrow(_scorer(shared, docs.columns.index(text_col), schema, every), schema)
+    return docs.mapInArrow(frugal(_scorer(shared, docs.columns.index(text_col), schema, every)), schema)

@@ -261,13 +261,3 @@ def test_license_wordings(spark):
     assert [(t, got[1000 + i]) for i, (f, t) in enumerate(wanted) if got[1000 + i] != (f, f)] == []
     assert [(t, got[2000 + i]) for i, t in enumerate(others) if got[2000 + i][1]] == []
     assert not any(got[i][0] for i in range(300))
-
-
-def test_pipeline_keeps_stage_rules(spark):
-    prepare(spark)
-    docs, folder = spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, folder)
-        assert out.columns == docs.columns and out.count() <= docs.count(), name
-    end = corpus_pipeline.run(spark, folder)
-    assert 0 < end.count() < docs.count() and end.select("doc_id").distinct().count() == end.count()
