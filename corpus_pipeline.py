@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenetally.llm import bpe, decontamination, near_duplicates, personal_data, toxicity
-from scenetally.llm.common import prepare, read, shared_folder
+from scenetally.llm.common import discard, prepare, read, shared_folder, unused
 from scenetally.llm.plans import vocabulary
 
 THRESHOLD = 0.7
@@ -18,14 +18,13 @@ THRESHOLD = 0.7
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold stay."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, "_score").where(F.col("_score") < THRESHOLD).drop("_score")
+    score = unused(docs, "_score")
+    return toxicity.with_score(docs, model, score).where(F.col(score) < THRESHOLD).drop(score)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays, so do those without words."""
-    found = near_duplicates.near_duplicates(docs)
-    dropped = found.where("not kept").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    return near_duplicates.without_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +35,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data in the text is replaced by its kind."""
     hidden = personal_data.masked(docs, personal_data.sampled_model(docs))
+    if "n_chars" not in docs.columns:
+        return hidden
     return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -52,15 +53,17 @@ STAGES = [
     ("bpe", encoded),
 ]
 
-# SQL can't express the learned stages; tests/llm compares the stages with brute force
+# SQL can't express the learned stages; tests/llm compares each stage with plain loops over its own input
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         folder = shared_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return docs
