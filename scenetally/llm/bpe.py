@@ -218,18 +218,6 @@ class PairIndexBpe:
         return b" ".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_loaded: dict[bytes, PairIndexBpe] = {}
-
-
-def _model(shared) -> PairIndexBpe:
-    """The model of the worker process, kept between its tasks."""
-    content = shared.value
-    if content not in _loaded:
-        _loaded.clear()
-        _loaded[content] = PairIndexBpe(content)
-    return _loaded[content]
-
-
 def _shared(df: DataFrame, path: str):
     if os.path.getsize(path) > FILE_BYTES:
         raise ValueError(f"{path} is larger than {FILE_BYTES} bytes, too large to broadcast")
@@ -243,10 +231,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared)
+        model = PairIndexBpe(shared.value)  # gone with the task: idle workers take turns, each would keep one
         for b in batches:
             yield batch_of(schema, [b.column(0), model.encode(["" if x is None else x for x in b.column(1).to_pylist()])])
-        model.clear()
 
     return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(frugal(run), schema)
 
@@ -259,7 +246,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     at = [f.name for f in kept].index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared)
+        model = PairIndexBpe(shared.value)  # gone with the task: idle workers take turns, each would keep one
         for b in batches:
             decoded = pa.array([model.decode(x or b"") for x in b.column(at).to_pylist()], type=pa.binary())
             yield batch_of(schema, [*b.columns, decoded.cast(pa.string())])
@@ -279,12 +266,11 @@ def encode_and_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared)
+        model = PairIndexBpe(shared.value)  # gone with the task: idle workers take turns, each would keep one
         for b in batches:
             ids = model.encode(["" if x is None else x for x in b.column(1).to_pylist()])
             decoded = pa.array([model.decode(x) for x in ids], type=pa.binary())
             yield batch_of(schema, [b.column(0), ids, decoded.cast(pa.string())])
-        model.clear()  # the words of a task go with it, the vocabulary stays
 
     return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(frugal(run), schema)
 
