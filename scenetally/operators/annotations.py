@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenetally.functions.boxes import Box
+from scenetally.session import pin
 
 BOX_KINDS = {"int": "long", "str": "string", None: "string"}
 
@@ -199,28 +198,28 @@ def verify_results(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.where(~good)
 
 
-def first_unused_examples(df: DataFrame, cls: str, image: str, arrival: str, n_classes: int) -> DataFrame:
-    """One image per class in arrival order, no image twice.
+def first_unused_examples(df: DataFrame, cls: str, image: str, arrival: str, n_classes: int | None = None) -> DataFrame:
+    """One image per class in arrival order, no image twice; rows without class or image are no examples.
 
-    A class can lose at most n_classes - 1 candidates to others, so its first n_classes candidates settle it; that leaves
-    at most n_classes squared rows for the greedy pass, whatever the table size.
+    A class can lose at most n_classes - 1 candidates to others, so its first n_classes candidates settle it. A candidate
+    that comes first both among those left of its class and among those left of its image is taken by the greedy order
+    whatever the others do. So each round takes all such candidates at once and drops what they rule out; the earliest
+    candidate is always one of them, so the rounds end, mostly after a few.
     """
-    import pandas as pd
-    from pyspark.sql import Window
-
-    once = df.groupBy(cls, image).agg(F.min(arrival).alias("_at"))
+    once = df.where(F.col(cls).isNotNull() & F.col(image).isNotNull()).groupBy(cls, image).agg(F.min(arrival).alias("_at"))
+    if n_classes is None:
+        n_classes = once.select(cls).distinct().count()
     w = Window.partitionBy(cls).orderBy("_at", image)
-    few = once.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_classes).drop("_r")
-    c_type, i_type = df.schema[cls].dataType.simpleString(), df.schema[image].dataType.simpleString()
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, used, out = set(), set(), []
-        for row in pdf.sort_values(["at", cls, image]).itertuples(index=False):
-            c, i = getattr(row, cls), getattr(row, image)
-            if c not in seen and i not in used:
-                seen.add(c)
-                used.add(i)
-                out.append((c, i))
-        return pd.DataFrame(out, columns=[cls, image])
-
-    return few.select(cls, image, F.col("_at").alias("at")).groupBy(F.lit(0).alias("all")).applyInPandas(greedy, f"{cls} {c_type}, {image} {i_type}")
+    place = F.struct("_at", cls, image)
+    left = pin(once.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_classes).select(place.alias("_place")))
+    taken = None
+    while True:
+        by_class = left.groupBy(f"_place.{cls}").agg(F.min("_place").alias("_place"))
+        by_image = left.groupBy(f"_place.{image}").agg(F.min("_place").alias("_place"))
+        now = pin(by_class.select("_place").join(by_image.select("_place"), "_place").select("_place.*"))
+        if now.isEmpty():
+            break
+        taken = now if taken is None else taken.unionByName(now)
+        rest = left.select("_place.*").join(now.select(cls), cls, "left_anti").join(now.select(image), image, "left_anti")
+        left = pin(rest.select(place.alias("_place")))
+    return (now if taken is None else taken).select(cls, image)

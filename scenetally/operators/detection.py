@@ -123,10 +123,13 @@ def valid_truths(truths: DataFrame, cls: str, areas: dict[str, tuple[float, floa
 
 def coco_ap(
     flags: DataFrame, truths: DataFrame, image: str, cls: str, score: str,
-    areas: dict[str, tuple[float, float]], thresholds: list[float] | None = None,
+    areas: dict[str, tuple[float, float]], thresholds: list[float] | None = None, limits: list[int] = (1, 10),
 ) -> DataFrame:
     """AP and final recall per (class, area, threshold), precision read at recall 0, .01 .. 1; wide flags in.
 
+    Also recall_m for each of ``limits``, the recall of the first m detections of an image and class: detections are matched
+    in score order, so what the first m take does not depend on the later ones, and one matching serves all limits.
+
     A recall level i/100 belongs to the first row that reaches it, which is a true positive, so the k-th of n true
     positives reads 100k div n - 100(k-1) div n levels; level 0 reads the best precision of the curve.
     """
@@ -145,13 +148,23 @@ def coco_ap(
     got = counted.groupBy(cls).agg(
         F.array(*[(share(i, j) + F.max(f"env_{i}")) / len(RECALL_LEVELS) for i, (_, j, _t) in enumerate(cells)]).alias("ap"),
         F.array(*[F.max(f"cum_{i}") for i in range(len(cells))]).alias("found"),
+        *[
+            F.array(*[F.sum(F.when(F.col("place") <= m, F.col(f"tp_{i}"))) for i in range(len(cells))]).alias(f"found_{m}")
+            for m in limits
+        ],
     )
     names = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(j).alias("j"), F.lit(float(t)).alias("threshold")) for a, j, t in cells])
-    rows = positives.join(got, cls, "left").select(cls, "n_pos", "ap", "found", F.posexplode(names).alias("i", "c"))
+    rows = positives.join(got, cls, "left").select(
+        cls, "n_pos", "ap", "found", *[f"found_{m}" for m in limits], F.posexplode(names).alias("i", "c")
+    )
     n = F.col("n_pos")[F.col("c.j")]
+
+    def recall(found: str) -> Column:
+        return F.coalesce(F.try_divide(F.get(found, F.col("i")), n), F.lit(0.0))
+
     return rows.select(
         cls, "c.area", "c.threshold", n.alias("n_pos"), F.coalesce(F.get("ap", F.col("i")), F.lit(0.0)).alias("ap"),
-        F.coalesce(F.try_divide(F.get("found", F.col("i")), n), F.lit(0.0)).alias("recall"),
+        recall("found").alias("recall"), *[recall(f"found_{m}").alias(f"recall_{m}") for m in limits],
     ).where("n_pos > 0")
 
 
@@ -169,7 +182,11 @@ def coco_summary(aps: DataFrame) -> DataFrame:
         mean(F.col("area") == "small").alias("APs"),
         mean(F.col("area") == "medium").alias("APm"),
         mean(F.col("area") == "large").alias("APl"),
+        *[mean(whole, c).alias(f"AR{c.removeprefix('recall_')}") for c in aps.columns if c.startswith("recall_")],
         mean(whole, "recall").alias("AR"),
+        mean(F.col("area") == "small", "recall").alias("ARs"),
+        mean(F.col("area") == "medium", "recall").alias("ARm"),
+        mean(F.col("area") == "large", "recall").alias("ARl"),
     )
     return one.unpivot([], one.columns, "metric", "value")
 

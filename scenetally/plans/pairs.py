@@ -149,7 +149,7 @@ def _(t):
 
 @query(
     "whole_word_tokens",
-    r"""WITH l AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '(tion|ing)\b', ' #\1', 'g'), '#?[a-zß-ÿ]+') AS ws FROM documents),
+    rf"""WITH l AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '(tion|ing)\b', ' #\1', 'g'), '#?{vo.WORD}') AS ws FROM documents),
     e AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM l),
     x AS (SELECT doc_id, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM e)
     SELECT word, count(*) AS n FROM x WHERE NOT starts_with(word, '#') AND NOT starts_with(coalesce(nxt, ''), '#') GROUP BY word""",
@@ -245,7 +245,7 @@ def _(t):
 
 @query(
     "bad_ending_rate",
-    """SELECT round(avg((list_last(string_split(regexp_replace(lower(text), '[^a-zß-ÿ ]', '', 'g'), ' ')) IN ('the', 'of', 'and', 'in', 'de', 'la', 'und'))::INT), 8) AS rate FROM documents""",
+    r"""SELECT round(avg((list_last(string_split(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N} ]', '', 'g'), ' ')) IN ('the', 'of', 'and', 'in', 'de', 'la', 'und'))::INT), 8) AS rate FROM documents""",
 )
 def _(t):
     bare = t.documents.select(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\p{N} ]", "").alias("text"))

@@ -546,11 +546,22 @@ def _(t):
 
 @query(
     "first_unused_examples",
+    """WITH RECURSIVE once AS (SELECT p_brand, l_orderkey, min(strftime(l_shipdate, '%Y%m%d') || '-' || lpad(l_orderkey::VARCHAR, 12, '0')) AS arrival
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+    few AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY arrival, l_orderkey) <= (SELECT count(DISTINCT p_brand) FROM part)),
+    lined AS (SELECT list(struct_pack(b := p_brand, o := l_orderkey) ORDER BY arrival, p_brand, l_orderkey) AS cands FROM few),
+    walk AS (SELECT 0 AS i, cands, []::VARCHAR[] AS bs, []::BIGINT[] AS os FROM lined
+      UNION ALL SELECT i + 1, cands,
+        CASE WHEN list_contains(bs, cands[i + 1].b) OR list_contains(os, cands[i + 1].o) THEN bs ELSE list_append(bs, cands[i + 1].b) END,
+        CASE WHEN list_contains(bs, cands[i + 1].b) OR list_contains(os, cands[i + 1].o) THEN os ELSE list_append(os, cands[i + 1].o) END
+      FROM walk WHERE i < len(cands)),
+    last AS (SELECT bs, os FROM walk WHERE i = len(cands))
+    SELECT unnest(bs) AS p_brand, unnest(os) AS l_orderkey FROM last""",
 )
 def _(t):
     lines = t.lineitem.join(t.part.select("p_partkey", "p_brand"), F.expr("l_partkey = p_partkey"))
     arrival = F.concat_ws("-", F.date_format("l_shipdate", "yyyyMMdd"), F.lpad("l_orderkey", 12, "0"))
-    return an.first_unused_examples(lines.select("p_brand", "l_orderkey", arrival.alias("arrival")), "p_brand", "l_orderkey", "arrival", t.part.select("p_brand").distinct().count())
+    return an.first_unused_examples(lines.select("p_brand", "l_orderkey", arrival.alias("arrival")), "p_brand", "l_orderkey", "arrival")
 
 
 # ---- traces -------------------------------------------------------------------------------------------------------------

@@ -100,19 +100,29 @@ def _(t):
     return st.latest_updates(t.spark, f"{base}/out", ["series"]).select("series", "iteration", "latest", "median", r("window_mean", 9))
 
 
-@query("stream_bucket_batches")
+@query(
+    "stream_bucket_batches",
+    """WITH o AS (SELECT CASE WHEN o_totalprice > 250000 THEN 'tall' ELSE 'wide' END AS bucket, ('0x' || substr(md5('0|' || o_orderkey), 1, 13))::BIGINT % 4 AS lane, o_orderkey AS id FROM orders),
+    l AS (SELECT bucket, lane, count(*) AS lane_rows, sum(id)::BIGINT AS lane_ids FROM o GROUP BY ALL),
+    b AS (SELECT *, unnest(range((lane_rows + 31) // 32)) AS batch FROM l)
+    SELECT bucket, lane, batch, least(32, lane_rows - 32 * batch) AS n, lane_rows - 32 * batch >= 32 AS full, lane_rows, lane_rows AS lane_distinct, lane_ids FROM b""",
+)
 def _(t):
-    """Orders in two buckets by price, sent on in batches of 32."""
+    """Orders in two buckets by price, sent on in batches of 32; the last of a lane may hold fewer."""
     base = _folder(t)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = t.spark.conf.get(provider)
     t.spark.conf.set(provider, st.STATE_STORE)
     try:
         bucket = F.when(F.col("o_totalprice") > 250000, "tall").otherwise("wide")
-        st.drain(st.bucket_batches(_stream(t, "orders"), bucket, "o_orderkey", 32, lanes=4), f"{base}/out", f"{base}/checkpoint")
+        st.drain_idle(st.bucket_batches(_stream(t, "orders"), bucket, "o_orderkey", 32, lanes=4, linger_ms=0), f"{base}/out", f"{base}/checkpoint")
     finally:
         t.spark.conf.set(provider, before)
-    return t.spark.read.parquet(f"{base}/out")
+    sent = t.spark.read.parquet(f"{base}/out")
+    lanes = sent.groupBy("bucket", "lane").agg(
+        F.count("*").alias("lane_rows"), F.count_distinct("id").alias("lane_distinct"), F.sum("id").alias("lane_ids")
+    )
+    return sent.groupBy("bucket", "lane", "batch", "full").agg(F.count("*").alias("n")).join(lanes, ["bucket", "lane"])
 
 
 @query(

@@ -196,6 +196,7 @@ def test_coco_ap_against_loops(spark, many_slices):
     dets, truths, d_rows, g_rows = detections_frame(spark)
     areas = {"all": (0.0, 1e10), "small": (0.0, 300.0)}
     flags = ma.coco_match_wide(dets, truths, "image", "cls", "det_id", "score", de.IOU_LEVELS, areas)
+    few = {(r.cls, r.area, round(r.threshold, 2)): (r.recall_1, r.recall_2) for r in de.coco_ap(flags, truths, "image", "cls", "score", areas, limits=[1, 2]).collect()}
     got = {(r.cls, r.area, round(r.threshold, 2)): (r.ap, r.recall) for r in de.coco_ap(flags, truths, "image", "cls", "score", areas).collect()}
     for cls, (name, rng_) in itertools.product("cd", areas.items()):
         for t in de.IOU_LEVELS:
@@ -221,6 +222,18 @@ def test_coco_ap_against_loops(spark, many_slices):
             at = np.searchsorted(recall, de.RECALL_LEVELS, side="left")
             ap = np.mean([precision[i] if i < len(precision) else 0.0 for i in at])
             assert got[(cls, name, t)] == pytest.approx((ap, recall[-1] if len(recall) else 0.0), abs=1e-9), (cls, name, t)
+            # the limits again by a match of the first detections alone
+            for m, value in zip((1, 2), few[(cls, name, t)]):
+                found = 0
+                for image in range(30):
+                    d = sorted([r for r in d_rows if r[0] == image and r[1] == cls], key=lambda r: (-r[7], r[2]))[:m]
+                    g = sorted([r for r in g_rows if r[0] == image and r[1] == cls], key=lambda r: r[2])
+                    db, gb = np.array([r[3:7] for r in d]).reshape(-1, 4), np.array([r[3:7] for r in g]).reshape(-1, 4)
+                    crowd = np.array([r[8] for r in g], bool)
+                    size = (db[:, 2] - db[:, 0]) * (db[:, 3] - db[:, 1])
+                    hit, skip = coco_reference(ma.iou_matrix(db, gb, crowd), size, crowd, np.array([r[7] for r in g]), [t], [rng_])
+                    found += int((hit & ~skip).sum())
+                assert value == pytest.approx(found / n_pos, abs=1e-9)
 
 
 def test_voc_duplicates_difficult_and_missing_class(spark, many_slices):
@@ -373,6 +386,37 @@ def test_first_unused_against_loop(spark):
     assert got == want
 
 
+def test_first_unused_rounds(spark):
+    """A class that loses all its first candidates, chains, ties, nulls and repeats; many random tables."""
+    lost = [("z", i, 10) for i in range(4)] + [(c, i, 1 + i) for i, c in enumerate("abcd")] + [("z", 9, 99)]
+    chain = [("d", 0, 1), ("c", 0, 2), ("c", 1, 3), ("b", 1, 4), ("b", 2, 5), ("a", 2, 6), ("a", 3, 7)]
+    tables = [lost, chain, [("a", 1, 1), ("b", 1, 1), ("a", 2, 1), ("b", 2, 1)], [(None, 1, 0), ("a", None, 0), ("a", 1, 5)], []]
+    for seed in range(6):
+        rng = random.Random(seed)
+        tables.append([(rng.choice("abcdefgh"), rng.randint(0, 12), rng.randint(0, 20)) for _ in range(80)])
+    for rows in tables:
+        df = spark.createDataFrame(rows, "cls string, image int, at int")
+        got = {r.cls: r.image for r in ann.first_unused_examples(df, "cls", "image", "at").collect()}
+        want, used = {}, set()
+        for at, c, i in sorted((at, c, i) for c, i, at in rows if c is not None and i is not None):
+            if c not in want and i not in used:
+                want[c] = i
+                used.add(i)
+        assert got == want
+
+
+def test_whole_words_of_other_scripts(spark, tmp_path):
+    """The SQL and the query agree on digits, marks and letters beyond Latin 1."""
+    import __spark_entry__ as entry_module
+    from compare import compare, duck
+
+    texts = ["mail5 œuvre acting 字字 вода", "Ständing ração123 nation5 tion", "of5 the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").toPandas()
+    docs.to_parquet(f"{tmp_path}/documents.parquet")
+    for name in ("whole_word_tokens", "bad_ending_rate"):
+        assert compare(entry_module.queries()[name](spark, str(tmp_path)), duck(str(tmp_path)), entry_module.oracle_sql()[name]) is None
+
+
 def test_field_selector_errors(spark):
     for bad in ("=3", "a", "a:float=1"):
         with pytest.raises(ValueError):

@@ -178,3 +178,25 @@ def test_bucket_batches_are_full(spark, tmp_path):
     rows = spark.read.parquet(out)
     assert {r["n"] for r in rows.groupBy("bucket", "batch").agg(F.count("*").alias("n")).collect()} == {4}
     assert rows.select("id").distinct().count() == rows.count() == 8 + 16
+
+
+def test_bucket_batches_flush(spark, tmp_path):
+    """Every row comes out: full batches, and the rest of each lane when the stream ends, also over a restart."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, st.STATE_STORE)
+    try:
+        folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+        for start, stop in ((0, 10), (10, 25)):
+            feed(spark, folder, start, stop, 1)
+            batches = st.bucket_batches(st.record_stream(spark, folder, SCHEMA), "name", "event_id", 4, lanes=2, linger_ms=0)
+            st.drain_idle(batches, out, check)
+            assert sorted(r.id for r in spark.read.parquet(out).collect()) == [i for i in sorted(range(stop)) for _ in range(spark.read.schema(SCHEMA).parquet(folder).where(f"event_id = {i}").count())]
+    finally:
+        spark.conf.set(provider, before)
+    sizes = spark.read.parquet(out).groupBy("bucket", "lane", "batch", "full").agg(F.count("*").alias("n")).collect()
+    assert all(r["n"] == 4 if r["full"] else r["n"] < 4 for r in sizes) and any(not r["full"] for r in sizes)
+    numbers = {}
+    for r in sizes:
+        numbers.setdefault((r["bucket"], r["lane"]), []).append(r["batch"])
+    assert all(sorted(v) == list(range(len(v))) for v in numbers.values())
