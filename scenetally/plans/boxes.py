@@ -200,38 +200,41 @@ def coco_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
 # the greedy match, a detection of every image, category, area range and level at a time: in-range truths go first, then the
 # larger overlap, then the later truth; crowds can be taken again
 COCO = f"""RECURSIVE {D},
-cells AS (SELECT * FROM (VALUES {", ".join(f"('{a}', {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for a, (lo, hi) in de.AREAS.items())}) AS v(area, lo, hi),
+bx AS MATERIALIZED (SELECT image_id, det_id, ascii(category) AS category, ascii(side) AS side, x1, y1, x2, y2, score, (x2 - x1) * (y2 - y1) AS size FROM boxes),
+cells AS (SELECT row_number() OVER () AS cell, * FROM (VALUES {", ".join(f"({k}, {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for k, (lo, hi) in enumerate(de.AREAS.values(), 1))}) AS v(area, lo, hi),
   (SELECT unnest([{", ".join(f"{x!r}::DOUBLE" for x in de.IOU_LEVELS)}]) AS threshold)),
-tr AS (SELECT *, (x2 - x1) * (y2 - y1) AS size, y1 >= 29 AS crowd FROM truths),
-dp AS (SELECT *, (x2 - x1) * (y2 - y1) AS size, row_number() OVER (PARTITION BY image_id, category ORDER BY score DESC, det_id) AS place FROM dets),
-met AS (SELECT d.det_id, list(struct_pack(id := g.det_id, size := g.size, crowd := g.crowd,
-    iou := CASE WHEN g.crowd THEN greatest(0, least(d.x2, g.x2) - greatest(d.x1, g.x1)) * greatest(0, least(d.y2, g.y2) - greatest(d.y1, g.y1)) / d.size ELSE {iou_sql('d', 'g', '0')} END)) AS c
-  FROM dp d JOIN tr g ON d.image_id = g.image_id AND d.category = g.category WHERE d.place <= 100 GROUP BY 1),
-dc AS (SELECT dp.*, c FROM dp LEFT JOIN met USING (det_id) WHERE place <= 100),
+groups AS (SELECT image_id, category, row_number() OVER () AS gid FROM (SELECT DISTINCT image_id, category FROM bx WHERE side = ascii('O'))),
+tr AS (SELECT *, y1 >= 29 AS crowd, row_number() OVER (ORDER BY det_id) AS truth_no FROM bx WHERE side = ascii('F')),
+dp AS (SELECT *, row_number() OVER (PARTITION BY image_id, category ORDER BY score DESC, det_id) AS place FROM bx WHERE side = ascii('O')),
+dc AS (SELECT gid, place, any_value(d.size) AS size, list(struct_pack(id := g.truth_no, size := g.size, crowd := g.crowd,
+    iou := CASE WHEN g.crowd THEN greatest(0, least(d.x2, g.x2) - greatest(d.x1, g.x1)) * greatest(0, least(d.y2, g.y2) - greatest(d.y1, g.y1)) / d.size ELSE {iou_sql('d', 'g', '0')} END))
+    FILTER (g.truth_no IS NOT NULL) AS c
+  FROM dp d JOIN groups USING (image_id, category) LEFT JOIN tr g ON d.image_id = g.image_id AND d.category = g.category WHERE place <= 100 GROUP BY 1, 2),
 walk AS (
-  SELECT image_id, category, area, lo, hi, threshold, 0::BIGINT AS place, []::VARCHAR[] AS taken, NULL::VARCHAR AS det_id, 0::DOUBLE AS score, false AS hit, false AS skip
-  FROM (SELECT DISTINCT image_id, category FROM dc), cells
+  SELECT gid, cell, lo, hi, threshold, 0::BIGINT AS place, []::BIGINT[] AS taken, false AS hit, false AS skip FROM groups, cells
   UNION ALL
-  SELECT image_id, category, area, lo, hi, threshold, place, CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b.id) END, det_id, score, b IS NOT NULL,
+  SELECT gid, cell, lo, hi, threshold, place, CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b.id) END, b IS NOT NULL,
     CASE WHEN b IS NULL THEN size < lo OR size > hi ELSE NOT b.counts END
-  FROM (SELECT w.image_id, w.category, w.area, w.lo, w.hi, w.threshold, d.place, w.taken, d.det_id, d.score, d.size,
+  FROM (SELECT w.gid, w.cell, w.lo, w.hi, w.threshold, d.place, w.taken, d.size,
       list_sort([struct_pack(counts := NOT (x.crowd OR x.size < w.lo OR x.size > w.hi), iou := x.iou, id := x.id) FOR x IN coalesce(d.c, [])
         IF x.iou >= least(w.threshold, 1 - 1e-10) AND (x.crowd OR NOT list_contains(w.taken, x.id))], 'DESC')[1] AS b
-    FROM walk w JOIN dc d ON d.image_id = w.image_id AND d.category = w.category AND d.place = w.place + 1)),
-flags AS (SELECT image_id, category, area, threshold, det_id, score, place, (hit AND NOT skip)::INT AS tp, (NOT hit AND NOT skip)::INT AS fp FROM walk WHERE det_id IS NOT NULL)"""
+    FROM walk w JOIN dc d ON d.gid = w.gid AND d.place = w.place + 1)),
+flags AS MATERIALIZED (SELECT image_id, category, area, w.threshold, det_id, score, place, (hit AND NOT skip)::INT AS tp, (NOT hit AND NOT skip)::INT AS fp
+  FROM walk w JOIN groups USING (gid) JOIN cells USING (cell) JOIN dp USING (image_id, category, place))"""
 
 COCO_AP = f"""{COCO}, npos AS (SELECT category, c.area, c.threshold, count(*) FILTER (NOT crowd AND size >= lo AND size <= hi) AS n_pos FROM tr, cells c GROUP BY ALL),
 cum AS (SELECT *, sum(tp) OVER w AS ct, sum(fp) OVER w AS cf FROM flags WINDOW w AS (PARTITION BY category, area, threshold ORDER BY score DESC, image_id, place ROWS UNBOUNDED PRECEDING)),
 env AS (SELECT *, max(CASE WHEN ct + cf > 0 THEN ct / (ct + cf) ELSE 0 END) OVER (PARTITION BY category, area, threshold ORDER BY score DESC, image_id, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM cum),
-lev AS (SELECT unnest(range(101)) AS l),
 tps AS (SELECT category, area, threshold, n_pos, ct, e FROM env JOIN npos USING (category, area, threshold) WHERE tp = 1 AND n_pos > 0),
-at_level AS (SELECT category, area, threshold, l, max(e) AS p FROM tps JOIN lev ON ct * 100 >= l * n_pos GROUP BY ALL),
 tops AS (SELECT category, area, threshold, max(e) AS top, max(ct) AS found, sum(tp) FILTER (place <= 1) AS found_1, sum(tp) FILTER (place <= 10) AS found_10 FROM env GROUP BY ALL),
-read AS (SELECT category, area, threshold, sum(p) FILTER (l > 0) AS s FROM at_level GROUP BY ALL),
+read AS (SELECT category, area, threshold, sum(e * (100 * ct // n_pos - 100 * (ct - 1) // n_pos)) AS s FROM tps GROUP BY ALL),
 aps AS (SELECT category, area, threshold, n_pos, (coalesce(s, 0) + coalesce(top, 0)) / 101 AS ap, coalesce(found, 0) / n_pos AS recall,
     coalesce(found_1, 0) / n_pos AS recall_1, coalesce(found_10, 0) / n_pos AS recall_10
   FROM npos LEFT JOIN tops USING (category, area, threshold) LEFT JOIN read USING (category, area, threshold) WHERE n_pos > 0),
-cat AS (SELECT category, avg(ap) * 100 AS ap FROM aps WHERE area = 'all' GROUP BY 1)"""
+cat AS (SELECT category, avg(ap) * 100 AS ap FROM aps WHERE area = 1 GROUP BY 1)"""
+
+
+AREA_NAME = f"{list(de.AREAS)!r}[area]"
 
 
 def coco_flags(t: Tables) -> DataFrame:
@@ -239,7 +242,7 @@ def coco_flags(t: Tables) -> DataFrame:
     return ma.coco_match(dets, truths, "image_id", "category", "det_id", "score", de.IOU_LEVELS, de.AREAS)
 
 
-@query("coco_truth_match", f"WITH {COCO} SELECT image_id, category, area, threshold, det_id, tp, fp FROM flags")
+@query("coco_truth_match", f"WITH {COCO} SELECT image_id, chr(category) AS category, {AREA_NAME} AS area, threshold, det_id, tp, fp FROM flags")
 def _(t):
     return coco_flags(t).select("image_id", "category", "area", "threshold", "det_id", "tp", "fp")
 
@@ -252,7 +255,7 @@ def coco_aps(t: Tables) -> DataFrame:
 
 @query(
     "coco_ap",
-    f"""WITH {COCO_AP} SELECT category, area, threshold, n_pos, round(ap, 6) AS ap, round(recall, 6) AS recall,
+    f"""WITH {COCO_AP} SELECT chr(category) AS category, {AREA_NAME} AS area, threshold, n_pos, round(ap, 6) AS ap, round(recall, 6) AS recall,
     round(recall_1, 6) AS recall_1, round(recall_10, 6) AS recall_10 FROM aps""",
 )
 def _(t):
@@ -260,12 +263,12 @@ def _(t):
 
 
 METRICS = {
-    "AP": "avg(ap) FILTER (area = 'all')", "AP50": "avg(ap) FILTER (area = 'all' AND threshold = 0.5)",
-    "AP75": "avg(ap) FILTER (area = 'all' AND threshold = 0.75)", "APs": "avg(ap) FILTER (area = 'small')",
-    "APm": "avg(ap) FILTER (area = 'medium')", "APl": "avg(ap) FILTER (area = 'large')",
-    "AR1": "avg(recall_1) FILTER (area = 'all')", "AR10": "avg(recall_10) FILTER (area = 'all')",
-    "AR": "avg(recall) FILTER (area = 'all')", "ARs": "avg(recall) FILTER (area = 'small')",
-    "ARm": "avg(recall) FILTER (area = 'medium')", "ARl": "avg(recall) FILTER (area = 'large')",
+    "AP": "avg(ap) FILTER (area = 1)", "AP50": "avg(ap) FILTER (area = 1 AND threshold = 0.5)",
+    "AP75": "avg(ap) FILTER (area = 1 AND threshold = 0.75)", "APs": "avg(ap) FILTER (area = 2)",
+    "APm": "avg(ap) FILTER (area = 3)", "APl": "avg(ap) FILTER (area = 4)",
+    "AR1": "avg(recall_1) FILTER (area = 1)", "AR10": "avg(recall_10) FILTER (area = 1)",
+    "AR": "avg(recall) FILTER (area = 1)", "ARs": "avg(recall) FILTER (area = 2)",
+    "ARm": "avg(recall) FILTER (area = 3)", "ARl": "avg(recall) FILTER (area = 4)",
 }
 
 
@@ -274,14 +277,14 @@ def _(t):
     return de.coco_summary(coco_aps(t)).select("metric", r("value"))
 
 
-@query("category_ap", f"WITH {COCO_AP} SELECT category, round(ap, 6) AS ap FROM cat")
+@query("category_ap", f"WITH {COCO_AP} SELECT chr(category) AS category, round(ap, 6) AS ap FROM cat")
 def _(t):
     return de.category_ap(coco_aps(t), "category").select("category", r("ap"))
 
 
 @query(
     "frequency_group_ap",
-    f"""WITH {COCO_AP}, freq AS (SELECT category, count(DISTINCT image_id) AS n FROM truths GROUP BY 1),
+    f"""WITH {COCO_AP}, freq AS (SELECT category, count(DISTINCT image_id) AS n FROM tr GROUP BY 1),
     g AS (SELECT CASE WHEN n <= 10 THEN 'r' WHEN n <= 100 THEN 'c' ELSE 'f' END AS frequency, ap FROM freq JOIN cat USING (category))
     SELECT frequency, round(avg(ap), 6) AS ap, count(*) AS n FROM g GROUP BY 1""",
 )
