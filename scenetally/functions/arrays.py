@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,18 +88,13 @@ def ngrams_up_to(tokens: Column | str, n: int, distinct: bool = False) -> Column
     return let(tokens, lambda t: F.flatten(F.array(*[tagged(t, k) for k in range(1, n + 1)])))
 
 
-def unordered_pairs(items: Column | str, with_self: bool = True) -> Column:
-    """Canonical pairs (hi >= lo) of the distinct items."""
-    first = 0 if with_self else 1
+def exploded_pairs(df: DataFrame, items: str, first: str = "lo", second: str = "hi", with_self: bool = True) -> DataFrame:
+    """Rows (first, second) for every two places of an array, the later one second.
 
-    def pairs(arr: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                arr,
-                lambda lo, i: F.transform(
-                    F.slice(arr, i + 1 + first, F.size(arr)), lambda hi: F.struct(hi.alias("hi"), lo.alias("lo"))
-                ),
-            )
-        )
-
-    return let(F.array_sort(F.array_distinct(_c(items))), pairs)
+    Made in two steps, a member beside the rest of its array, then the rest row by row, so the largest value is one array
+    and a record of many items never holds all its pairs at once.
+    """
+    skip = 1 if with_self else 2
+    members = df.select(F.col(items).alias("_all"), F.posexplode(items).alias("_at", first))
+    rest = F.slice("_all", F.col("_at") + skip, F.size("_all"))
+    return members.select(first, F.explode(rest).alias(second))

@@ -6,6 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def polygon_area(ring: Column) -> Column:
+    """Area inside a ring of any number of vertices, given as a flat list x, y, x, y, ...; fewer than three give 0."""
+    n = F.floor(F.size(ring) / 2).cast("int")
+
+    def corner(i: Column) -> Column:
+        j = (i + 1) % n
+        return F.get(ring, 2 * i) * F.get(ring, 2 * j + 1) - F.get(ring, 2 * j) * F.get(ring, 2 * i + 1)
+
+    twice = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + corner(i))
+    return F.when(n >= 3, F.abs(twice) / 2).otherwise(0.0)
+
+
+def mask_area(rings: Column) -> Column:
+    """Area of all rings; null or empty is 0."""
+    return F.coalesce(F.aggregate(rings, F.lit(0.0), lambda s, ring: s + polygon_area(ring)), F.lit(0.0))
+
+
 class Box:
     """Four corner columns, usable inside select, join conditions and higher-order lambdas."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenetally.functions.boxes import Box
+from scenetally.functions.boxes import Box, mask_area
 from scenetally.session import pin
 
 BOX_KINDS = {"int": "long", "str": "string", None: "string"}
@@ -36,6 +36,11 @@ def valid_annotation(annotations: Column, min_objects: int = 1, min_keypoints: i
     return ok
 
 
+def has_mask(annotations: Column, least: float = 1.0) -> Column:
+    """Some annotation whose polygons enclose at least so much."""
+    return F.exists(annotations, lambda a: mask_area(a["segmentation"]) >= least)
+
+
 def keep_instance(general: list[Column], specific: list[Column]) -> Column:
     """All general predicates and, where any are given, at least one specific one."""
     out = F.lit(True)

@@ -1,7 +1,7 @@
 """Co-occurrence of classes and words, marginals, conditionals and excess probability.
 
-Items come from a closed list (object classes, counted nouns), so a record's distinct items are bounded by that list and
-pair expansion streams into a map-side partial count: only (hi, lo, n) partials are shuffled.
+A record's distinct items are one array; its pairs are made a member at a time and stream into a map-side partial count:
+only (hi, lo, n) partials are shuffled.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from scenetally.functions import arrays
 def set_cooccurrence(df: DataFrame, record: str, item: str) -> DataFrame:
     """Records holding both items, for every unordered pair incl. (i, i), whose count is the item's marginal."""
     sets = df.where(F.col(item).isNotNull()).groupBy(record).agg(F.collect_set(item).alias("_items"))
-    pairs = sets.select(F.explode(arrays.unordered_pairs("_items")).alias("p"))
-    return pairs.groupBy(F.col("p.hi").alias("hi"), F.col("p.lo").alias("lo")).agg(F.count("*").alias("n"))
+    pairs = arrays.exploded_pairs(sets.select(F.array_sort("_items").alias("_items")), "_items")
+    return pairs.groupBy("hi", "lo").agg(F.count("*").alias("n"))
 
 
 def bag_cooccurrence(df: DataFrame, record: str, item: str, self_pairs: str = "bag") -> DataFrame:
@@ -29,26 +29,11 @@ def bag_cooccurrence(df: DataFrame, record: str, item: str, self_pairs: str = "b
     bags = counts.groupBy(record).agg(
         F.array_sort(F.collect_list(F.struct(F.col(item).alias("w"), F.col("_n").alias("n")))).alias("_bag")
     )
-    def weigh(a: Column, b: Column, same: Column) -> Column:
-        alone = a["n"] * (a["n"] + 1) / 2 if self_pairs == "bag" else a["n"]
-        return F.when(same, alone.cast("long")).otherwise(a["n"] * b["n"])
-
-    def pairs(bag: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                bag,
-                lambda a, i: F.transform(
-                    F.slice(bag, i + 1, F.size(bag)),
-                    lambda b, j: F.struct(b["w"].alias("hi"), a["w"].alias("lo"), weigh(a, b, j == 0).alias("n")),
-                ),
-            )
-        )
-
-    return (
-        bags.select(F.explode(arrays.let("_bag", pairs)).alias("p"))
-        .groupBy(F.col("p.hi").alias("hi"), F.col("p.lo").alias("lo"))
-        .agg(F.sum("p.n").alias("n"))
-    )
+    pairs = arrays.exploded_pairs(bags, "_bag", "a", "b")
+    a, b = F.col("a.n"), F.col("b.n")
+    alone = (a * (a + 1) / 2 if self_pairs == "bag" else a).cast("long")
+    weighed = pairs.select(F.col("b.w").alias("hi"), F.col("a.w").alias("lo"), F.when(F.col("a.w") == F.col("b.w"), alone).otherwise(a * b).alias("n"))
+    return weighed.groupBy("hi", "lo").agg(F.sum("n").alias("n"))
 
 
 def cross_cooccurrence(words: DataFrame, classes: DataFrame, record: str, word: str, cls: str) -> DataFrame:

@@ -61,6 +61,9 @@ def class_average_table(classes: DataFrame, scores: DataFrame, cls: str, column:
 # ---- blocked scoring ---------------------------------------------------------------------------------------------
 
 
+BLOCKS_PER_TASK = 4
+
+
 def _block_count(df: DataFrame, rows: int) -> int:
     return max(1, -(-df.count() // rows))
 
@@ -84,9 +87,15 @@ def score_grid(
     n_left, n_right = _block_count(left, rows), _block_count(right, rows)
     a = _packed(left, left_key, vector, n_left, "l", list(extra))
     b = _packed(right, right_key, vector, n_right, "r")
-    # each left block meets all right blocks through an equi-join on the right block number
-    a = a.withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))))
-    return a.join(b, "r_block")
+    # each left block meets all right blocks through an equi-join on the right block number and a salt of the left block;
+    # there are as many salts as groups of left blocks, so a small right side does not bring all cells into a few tasks
+    salts = -(-n_left // BLOCKS_PER_TASK)
+
+    def upto(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    a = a.withColumn("_salt", F.pmod("l_block", F.lit(salts))).withColumn("r_block", upto(n_right))
+    return a.join(b.withColumn("_salt", upto(salts)), ["r_block", "_salt"]).drop("_salt")
 
 
 def _matrix(flat: np.ndarray, n: int) -> np.ndarray:

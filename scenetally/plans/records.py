@@ -367,14 +367,21 @@ ANN = f"{D}, a AS (SELECT *, (side = 'O' AND x1 >= 90)::INT AS crowd, (x1 > 40):
 @query(
     "annotation_predicates",
     f"""WITH {ANN} SELECT image_id, bool_or(crowd = 0) AS non_crowd, sum(kp) >= 4 AS enough_points, count(*) >= 3 AND bool_or(x2 - x1 > 1 AND y2 - y1 > 1) AS valid,
-    bool_or(crowd = 0) AND (sum(kp) >= 4 OR count(*) >= 6) AS keep FROM a GROUP BY 1""",
+    bool_or(crowd = 0) AND (sum(kp) >= 4 OR count(*) >= 6) AS keep, bool_or(crowd = 0 AND (x2 - x1) * (y2 - y1) * 0.875 >= 3000) AS masked FROM a GROUP BY 1""",
 )
 def _(t):
+    """The mask of an annotation is its box without one corner, that of a crowd has no vertices."""
     ann = F.col("annotations")
+
+    def masked(a):
+        ring = F.array(a["x1"], a["y1"], a["x2"], a["y1"], a["x2"], a["y2"], (a["x1"] + a["x2"]) / 2, a["y2"], a["x1"], (a["y1"] + a["y2"]) / 2)
+        return a.withField("segmentation", F.when(a["iscrowd"] == 0, F.array(ring)))
+
     non_crowd, points = an.has_non_crowd(ann), an.enough_keypoints(ann, 4)
     return annotated(t).select(
         "image_id", non_crowd.alias("non_crowd"), points.alias("enough_points"), an.valid_annotation(ann, 3).alias("valid"),
         an.keep_instance([non_crowd], [points, F.size(ann) >= 6]).alias("keep"),
+        an.has_mask(F.transform(ann, masked), 3000).alias("masked"),
     )
 
 

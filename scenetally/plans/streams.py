@@ -54,6 +54,26 @@ def _(t):
     return out.select("event_type", "slot", r("avg_value"), "n")
 
 
+@query(
+    "stream_resumed_average",
+    "SELECT event_type, user_id % 10 AS slot, round(avg(value), 6) AS avg_value, count(*) AS n, true AS stopped_between FROM events GROUP BY ALL",
+)
+def _(t):
+    """Eight files taken two at a time, stopped after the first batch or two, then resumed: no row is lost or counted twice."""
+    base = _folder(t)
+    t.events.select("event_type", "user_id", "value").repartition(8).write.parquet(f"{base}/in")
+    stream = st.record_stream(t.spark, f"{base}/in", t.spark.read.parquet(f"{base}/in").schema, files_per_trigger=2)
+    averages = st.running_class_average(stream.withColumn("slot", F.col("user_id") % 10), "event_type", "slot", "value")
+    keys = ["event_type", "slot"]
+    st.drain_updates(averages, f"{base}/out", f"{base}/checkpoint", keys, batches=1)
+    first = st.latest_updates(t.spark, f"{base}/out", keys).agg(F.sum("n").alias("n"))
+    rows_then = first.first().n
+    st.drain_updates(averages, f"{base}/out", f"{base}/checkpoint", keys)
+    out = st.latest_updates(t.spark, f"{base}/out", keys)
+    whole = out.agg(F.sum("n")).scalar()
+    return out.select("event_type", "slot", r("avg_value"), "n", (F.lit(rows_then) < whole).alias("stopped_between"))
+
+
 @query(
     "stream_pair_counts",
     f"""WITH s AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS l FROM benchmark), e AS (SELECT item_id, unnest(l) AS w FROM s)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scenetally.functions import answers as an
 from scenetally.functions import arrays
-from scenetally.functions.boxes import Box
+from scenetally.functions.boxes import Box, mask_area, polygon_area
 from scenetally.operators import annotations as ann
 from scenetally.operators import captions as ca
 from scenetally.operators import cooccurrence as co
@@ -20,6 +20,7 @@ from scenetally.operators import matching as ma
 from scenetally.operators import ranking as ra
 from scenetally.operators import sampling as sa
 from scenetally.operators import traces as tr
+from scenetally.operators import vectors as ve
 from scenetally.operators import vocabulary as vo
 from scenetally.operators import votes as vt
 
@@ -445,3 +446,37 @@ def test_bad_ending_keeps_digits_and_scripts(spark, tmp_path):
     texts = ["page of5", "see theœ", "end of в", "to the"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert entry_module.queries()["bad_ending_rate"](spark, str(tmp_path)).first().rate == 0.25
+
+
+def test_polygon_areas(spark):
+    rings = [[0.0, 0.0, 4.0, 0.0, 4.0, 3.0], [0.0, 0.0, 0.0, 2.0, 2.0, 2.0, 2.0, 0.0], [1.0, 1.0, 2.0, 2.0], [], [0.0, 0.0, 4.0, 0.0, 4.0, 4.0, 2.0, 1.0, 0.0, 4.0]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rings)], "i int, ring array<double>")
+    assert [r.a for r in df.select("i", polygon_area(F.col("ring")).alias("a")).orderBy("i").collect()] == [6.0, 4.0, 0.0, 0.0, 10.0]
+    masks = spark.createDataFrame([(0, [rings[0], rings[1]]), (1, []), (2, None)], "i int, rings array<array<double>>")
+    assert [r.a for r in masks.select("i", mask_area(F.col("rings")).alias("a")).orderBy("i").collect()] == [10.0, 0.0, 0.0]
+
+
+def test_pairs_of_a_long_record(spark):
+    df = spark.range(1500).select(F.lit(1).alias("record"), F.col("id").alias("item")).union(spark.createDataFrame([(2, 5), (2, 5), (2, None)], "record int, item long"))
+    found = co.set_cooccurrence(df, "record", "item")
+    assert found.count() == 1500 * 1501 // 2 and found.where("hi = 5 and lo = 5").first().n == 2
+    bags = co.bag_cooccurrence(df.where("record = 2 or item < 40"), "record", "item")
+    assert {(r.hi, r.lo): r.n for r in bags.where("hi <= 6 and lo = 5").collect()} == {(5, 5): 1 + 3, (6, 5): 1}
+
+
+def test_small_right_side_uses_many_keys(spark):
+    """One block of items meets many blocks of queries under as many keys as there are groups of query blocks."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(400, 4))
+    left = spark.createDataFrame([(i, v.tolist(), i % 7) for i, v in enumerate(vectors)], "q long, v array<double>, target long")
+    right = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(9, 4)))], "k long, v array<double>")
+    grid = ve.score_grid(left, right, "q", "k", "v", 10)
+    assert grid.count() == 40 and "_salt" not in grid.columns
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+    items = np.array([r.v for r in right.orderBy("k").collect()])
+    scores = np.round(vectors @ items.T, 9)
+    got = {r.q: r["rank"] for r in ve.rank_of_target(left, right, "q", "k", "v", "target", 10).collect()}
+    for i in range(400):
+        mine = scores[i, i % 7]
+        assert got[i] == 1 + sum(s > mine or (s == mine and k < i % 7) for k, s in enumerate(scores[i]) if k != i % 7)
