@@ -43,6 +43,23 @@ def cross_cooccurrence(words: DataFrame, classes: DataFrame, record: str, word:
     return w.join(c, record).groupBy(word, cls).agg(F.sum("_n").alias("n"))
 
 
+def bag_marginals(df: DataFrame, record: str, item: str) -> DataFrame:
+    """(item, n_item): the self pairs of ``bag_cooccurrence`` without the other pairs."""
+    counts = df.where(F.col(item).isNotNull()).groupBy(record, item).agg(F.count("*").alias("_n"))
+    return counts.groupBy(F.col(item).alias("item")).agg(F.sum((F.col("_n") * (F.col("_n") + 1) / 2).cast("long")).alias("n_item"))
+
+
+def cross_conditionals(cross: DataFrame, words: DataFrame, classes: DataFrame, word: str, cls: str) -> DataFrame:
+    """Both conditionals of every (word, class) of ``cross_cooccurrence``: over the word's and over the class's marginal.
+
+    The marginals are the diagonals (item, n_item) of the two pair tables.
+    """
+    w = words.select(F.col("item").alias(word), F.col("n_item").alias("_w"))
+    c = classes.select(F.col("item").alias(cls), F.col("n_item").alias("_c"))
+    joined = cross.join(w, word).join(c, cls)
+    return joined.select(word, cls, "n", F.try_divide("n", "_w").alias("p_cls_given_word"), F.try_divide("n", "_c").alias("p_word_given_cls"))
+
+
 def marginals(pairs: DataFrame) -> DataFrame:
     return pairs.where("hi = lo").select(F.col("hi").alias("item"), F.col("n").alias("n_item"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from scenetally.operators import batching as ba
+from scenetally.operators import cooccurrence as co
+from scenetally.plans.pairs import PAIR_COUNTS, baskets
 from scenetally.plans.registry import Tables, query, r
 from scenetally.plans.records import D, annotated
 from scenetally.plans.streams import _folder
@@ -264,6 +266,31 @@ def _(t):
     return t.spark.read.schema("question_id long, answer string").json(f"{base}/json")
 
 
+@query(
+    "top_predictions_json",
+    """WITH s AS (SELECT user_id, event_type || '-' || hour(ts) AS answer, round(avg(value), 6) AS score FROM events GROUP BY ALL),
+    p AS (SELECT *, exp(score - max(score) OVER (PARTITION BY user_id)) AS e FROM s),
+    q AS (SELECT *, e / sum(e) OVER (PARTITION BY user_id) AS probability, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, answer) AS rank FROM p)
+    SELECT user_id AS question_id, rank, answer, round(probability, 6) AS probability FROM q WHERE rank <= 8""",
+)
+def _(t):
+    """A user is a question, an event type and hour an answer, its mean value the score."""
+    base = _folder(t)
+    answer = F.concat_ws("-", "event_type", F.hour("ts"))
+    scores = t.events.groupBy("user_id", answer.alias("answer")).agg(F.round(F.avg("value"), 6).alias("score"))
+    wr.top_predictions_json(scores, "user_id", "answer", "score", f"{base}/json")
+    lines = t.spark.read.schema("question_id long, answers array<struct<rank: long, answer: string, probability: double>>").json(f"{base}/json")
+    return lines.select("question_id", F.explode("answers").alias("a")).select("question_id", "a.rank", "a.answer", F.round("a.probability", 6).alias("probability"))
+
+
+@query("matrix_round_trip", f"WITH {PAIR_COUNTS} SELECT hi, lo, n FROM pairs")
+def _(t):
+    """The pair matrix of order baskets, written in long form and read back."""
+    base = _folder(t)
+    wr.matrix_write(co.set_cooccurrence(baskets(t), "record", "item"), f"{base}/matrix")
+    return t.spark.read.parquet(f"{base}/matrix")
+
+
 @query("catalogued_dataset", "SELECT count(*) AS n, 'order brands' AS title FROM part")
 def _(t):
     rc.register(t.spark, "scenetally_parts", t.part, title="order brands")

@@ -147,6 +147,23 @@ def _(t):
     return co.cross_cooccurrence(counted, classes, "doc_id", "word", "cls")
 
 
+@query(
+    "cross_modal_conditionals",
+    f"""WITH {CUT}, c AS (SELECT doc_id, word, count(*) AS n FROM doc_words SEMI JOIN nouns USING (word) GROUP BY ALL),
+    k AS (SELECT DISTINCT doc_id, source AS cls FROM documents WHERE source IS NOT NULL),
+    x AS (SELECT word, cls, sum(n)::BIGINT AS n FROM c JOIN k USING (doc_id) GROUP BY ALL),
+    mw AS (SELECT word, sum(n * (n + 1) // 2) AS m FROM c GROUP BY 1), mc AS (SELECT cls, count(*) AS m FROM k GROUP BY 1)
+    SELECT word, cls, n, round(n / mw.m, 8) AS p_cls_given_word, round(n / mc.m, 8) AS p_word_given_cls FROM x JOIN mw USING (word) JOIN mc USING (cls)""",
+)
+def _(t):
+    words_ = doc_words(t).join(noun_table(t).select("word"), "word", "left_semi")
+    classes = t.documents.select("doc_id", F.col("source").alias("cls"))
+    cross = co.cross_cooccurrence(words_, classes, "doc_id", "word", "cls")
+    class_counts = co.marginals(co.set_cooccurrence(classes, "doc_id", "cls"))
+    out = co.cross_conditionals(cross, co.bag_marginals(words_, "doc_id", "word"), class_counts, "word", "cls")
+    return out.select("word", "cls", "n", r("p_cls_given_word", 8), r("p_word_given_cls", 8))
+
+
 @query(
     "whole_word_tokens",
     rf"""WITH l AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '(tion|ing)\b', ' #\1', 'g'), '#?{vo.WORD}') AS ws FROM documents),

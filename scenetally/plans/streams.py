@@ -87,6 +87,9 @@ def _(t):
     return st.latest_updates(t.spark, f"{base}/out", ["hi", "lo"])
 
 
+MOST_NOUNS = 100_000
+
+
 @query(
     "stream_noun_pair_counts",
     f"""WITH {CUT}, s AS (SELECT DISTINCT doc_id, word FROM doc_words SEMI JOIN nouns USING (word))
@@ -95,8 +98,9 @@ def _(t):
 def _(t):
     """The noun words of every document."""
     base = _folder(t)
-    # one row: the frequent words that make up 30 % of the tokens are few
-    nouns = noun_table(t).agg(F.collect_set("word").alias("nouns"))
+    # one row: the frequent words that make up 30 % of the tokens are few, which is checked before they are broadcast
+    found = F.collect_set("word")
+    nouns = noun_table(t).agg(F.when(F.count("*") <= MOST_NOUNS, found).otherwise(F.raise_error(F.lit(f"more than {MOST_NOUNS} noun words"))).alias("nouns"))
     docs = _stream(t, "documents").select(F.array_distinct(words(F.col("text"))).alias("found")).crossJoin(F.broadcast(nouns))
     st.drain_updates(st.pair_counts(docs.select(F.array_intersect("found", "nouns").alias("items")), "items"), f"{base}/out", f"{base}/checkpoint", ["hi", "lo"])
     return st.latest_updates(t.spark, f"{base}/out", ["hi", "lo"])

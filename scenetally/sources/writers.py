@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenetally.functions.boxes import Box
@@ -75,6 +75,18 @@ def predictions_json(df: DataFrame, question: str, path: str, fields: list[str])
     df.select(F.col(question).alias("question_id"), *fields).write.mode("overwrite").json(path)
 
 
+def top_predictions_json(df: DataFrame, question: str, answer: str, score: str, path: str, k: int = 8) -> None:
+    """One JSON line per question: its k answers of largest score in order, with their softmax share over all its answers."""
+    peak = df.groupBy(question).agg(F.max(score).alias("_top"))
+    weighed = df.join(peak, question).withColumn("_e", F.exp(F.col(score) - F.col("_top")))
+    whole = weighed.groupBy(question).agg(F.sum("_e").alias("_sum"))
+    order = Window.partitionBy(question).orderBy(F.desc(score), answer)
+    best = weighed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).join(whole, question)
+    entry = F.struct(F.col("_r").alias("rank"), F.col(answer).alias("answer"), (F.col("_e") / F.col("_sum")).alias("probability"))
+    lines = best.groupBy(F.col(question).alias("question_id")).agg(F.array_sort(F.collect_list(entry)).alias("answers"))
+    lines.write.mode("overwrite").json(path)
+
+
 def caption_references(df: DataFrame, image: str, split: str, sentences: str) -> DataFrame:
     """Non-training images: one row per sentence, tokens joined by a space, running id."""
     rows = df.where(F.col(split) != "train").select(image, F.posexplode(sentences).alias("_i", "_tokens"))
