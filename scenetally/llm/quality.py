@@ -1,11 +1,18 @@
 """Quality rules with thresholds that adapt to language and source, with DataFrame operations only.
 
-Figures of every whole text are counted in its row (no shuffle). Their rates are then sketched by (language, source) with
-mergeable KLL sketches; sketches of a language's sources are merged, and those of all languages, for groups of too few
-documents. The fence of a rate is its upper quantile plus a multiple of the distance from the median to it; a document
-beyond the fence of its own group is dropped. So a rate that is usual in a source rejects nothing there, and clean texts
-stay. The thresholds are few and narrow; documents meet them in a join on (language, source) that carries no text, and a
-hot source is split by the adaptive skew join.
+Figures of every whole text are counted in its row (no shuffle). Four rates of it fall into logarithmic buckets of one
+hundredth (a relative error of one percent): symbols, repeated lines and repeated words, smoothed by ``ONE`` mark in a short
+text, and the mean word length. The sketch of a rate is the count of documents by (language, source, bucket): sketches merge
+by addition, so neither the order of rows nor a repeated task can change a threshold. The sketch of a source is mixed
+with that of its language, which counts as ``PRIOR`` documents more, and the language's likewise with that of all
+documents: a small group leans on its language, a large one speaks for itself, without a size at which the rule changes.
+
+The fence of a rate is its upper quantile times (upper quantile / median) to the power ``REACH``, and at least ``LEAST``
+times the quantile, so that a group without spread does not reject a single odd mark; mean word length has a lower
+fence of the same form too. A document beyond a fence of its own group is dropped. So a rate that is usual in a source
+rejects nothing there, and clean texts stay. The thresholds are few and narrow; documents meet them in a join on
+(language, source) that carries no text, and a hot source is split by the adaptive skew join. A sketch holds at most some
+thousand buckets, whatever the number of documents.
 
 Words are compared in three-word windows by a 64-bit hash inside one text.
 
@@ -15,17 +22,20 @@ and null source are groups of their own; repeated rows are judged each; other co
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenetally.llm.common import keep
 
 SPACE = r"[\\x20\\x09-\\x0D]"
-RATES = ("symbol_rate", "line_rate", "repeat_rate", "long_words", "short_words")
-LEAST_GROUP = 100
-UPPER, REACH = 0.75, 5.0
-# what a rate may always differ from the quantile: it keeps groups without spread from rejecting single odd marks
-SLACK = {"symbol_rate": 0.05, "line_rate": 0.4, "repeat_rate": 0.3, "long_words": 1.5, "short_words": 0.5}
+RATES = ("symbol_rate", "line_rate", "repeat_rate", "word_length")
+ONE = {"symbol_rate": 50, "line_rate": 10, "repeat_rate": 50}  # words or lines that one mark more is spread over
+LEAST = {"symbol_rate": 2.0, "line_rate": 2.0, "repeat_rate": 2.0, "word_length": 1.25}
+PER_LOG = 100  # buckets for a factor of e
+PRIOR = 100
+UPPER, REACH = 0.85, 4.0
 
 
 def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -83,56 +93,93 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def rated(counts: DataFrame) -> DataFrame:
-    """Adds base_failed and the rates (null without words)."""
-    n = F.when(F.col("n_words") > 0, F.col("n_words"))
-    mean = F.col("word_chars") / n
-    return counts.withColumns(
-        {
-            "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-            "symbol_rate": F.col("n_symbols") / n,
-            "line_rate": F.col("n_dup_lines") / F.when(F.col("n_lines") > 0, F.col("n_lines")),
-            "repeat_rate": F.col("n_repeat_words") / n,
-            "long_words": mean,
-            "short_words": -mean,
-        }
+    """Adds base_failed, the smoothed rates (word_length null without words) and their buckets."""
+
+    def smoothed(marks: str, of: str, rate: str):
+        return ((F.col(marks) + 1) / (F.col(of) + ONE[rate])).alias(rate)
+
+    rates = counts.select(
+        "*",
+        ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
+        smoothed("n_symbols", "n_words", "symbol_rate"),
+        smoothed("n_dup_lines", "n_lines", "line_rate"),
+        smoothed("n_repeat_words", "n_words", "repeat_rate"),
+        (F.col("word_chars") / F.when(F.col("n_words") > 0, F.col("n_words"))).alias("word_length"),
     )
+    return rates.select("*", *[F.floor(F.ln(r) * PER_LOG).cast("int").alias(f"{r}_bucket") for r in RATES])
+
+
+def sketches(rates: DataFrame) -> DataFrame:
+    """(lang, source, rate, bucket, n): how many documents that pass the base rule lie in each bucket.
+
+    Give it rates of written figures: a filter pushed below the figures would count every text several times.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), F.col(f"{r}_bucket").alias("bucket")) for r in RATES]))
+    cells = rates.where(~F.col("base_failed")).select("lang", "source", cells.alias("cell"))
+    return cells.groupBy("lang", "source", "cell.rate", "cell.bucket").agg(F.count("*").alias("n"))
 
 
-def thresholds(rates: DataFrame, least_group: int = LEAST_GROUP, upper: float = UPPER, reach: float = REACH) -> DataFrame:
-    """(lang, source, fence of every rate), from sketches of the documents that pass the base rule."""
-    passed = rates.where(~F.col("base_failed"))
-    own = keep(passed.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r).alias(r) for r in RATES]))
-    merge = [F.kll_merge_agg_double(r).alias(f"_{r}") for r in RATES]
-    languages = own.groupBy("lang").agg(F.sum("n").alias("_n"), *merge).withColumnRenamed("lang", "_lang")
-    every = own.agg(*[F.kll_merge_agg_double(r).alias(r) for r in RATES])
-    met = own.join(languages, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+def thresholds(
+    own: DataFrame, prior: int = PRIOR, upper: float = UPPER, reach: float = REACH, least: dict[str, float] = LEAST
+) -> DataFrame:
+    """(lang, source, lowest and highest bucket kept of every rate), from the sketches of all groups."""
 
-    def fence(sketch, rate: str):
-        high, middle = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (upper, 0.5))
-        # a sketch of no values has no quantile
-        return F.when(F.kll_sketch_get_n_double(sketch) > 0, high + reach * (high - middle) + SLACK[rate])
+    def gathered(*keys: str) -> DataFrame:
+        merged = own.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+        return merged.groupBy(*keys, "rate").agg(F.sum("n").alias("total"), F.collect_list(F.struct("bucket", "n")).alias("cells"))
 
-    overall = every.select(*[fence(F.col(r), r).alias(r) for r in RATES]).first()  # five numbers
+    def mixed(table: DataFrame, wider: DataFrame) -> DataFrame:
+        """The table's shares of each bucket, with ``prior`` documents spread like the wider group's."""
+        wide = wider.select(*[F.col(c).alias(f"_{c}") for c in wider.columns])
+        met = F.col("rate") == F.col("_rate")
+        if "_lang" in wide.columns:
+            met = met & F.col("lang").eqNullSafe(F.col("_lang"))
+        shares = F.expr(
+            f"sort_array(concat(transform(cells, c -> struct(c.bucket AS bucket, c.n / (total + {prior}D) AS share)),"
+            f" transform(_shares, c -> struct(c.bucket AS bucket, c.share * {prior}D / (total + {prior}D) AS share))))"
+        )
+        return table.join(wide, met).select(*[c for c in table.columns if c != "cells"], shares.alias("shares"))
+
+    every = gathered().select(
+        "rate", F.expr("transform(cells, c -> struct(c.bucket AS bucket, c.n / cast(total AS double) AS share))").alias("shares")
+    )
+    groups = mixed(gathered("lang", "source"), mixed(gathered("lang"), every))
 
-    def chosen(rate: str):
-        grouped = F.when(F.col("n") >= least_group, fence(F.col(rate), rate)).when(
-            F.col("_n") >= least_group, fence(F.col(f"_{rate}"), rate)
+    def at(q: float):
+        # sums of shares may fall short of the quantile by rounding
+        return F.expr(
+            "aggregate(shares, struct(0D AS sum, cast(null AS int) AS bucket), (s, c) -> struct(s.sum + c.share AS sum,"
+            f" CASE WHEN s.bucket IS NULL AND s.sum + c.share >= {q - 1e-9}D THEN c.bucket ELSE s.bucket END AS bucket), s -> s.bucket)"
         )
-        return grouped.otherwise(F.lit(overall[rate]).cast("double")).alias(f"{rate}_fence")
 
-    return met.select("lang", "source", *[chosen(r) for r in RATES])
+    points = groups.select("lang", "source", "rate", at(upper).alias("high"), at(0.5).alias("middle"), at(1 - upper).alias("low"))
+    floor = F.element_at(F.create_map(*[F.lit(x) for r in RATES for x in (r, round(math.log(least[r]) * PER_LOG))]), F.col("rate"))
+
+    def step(spread):
+        return F.greatest(F.round(reach * spread).cast("int"), floor)
+
+    fences = points.select(
+        "lang", "source", "rate",
+        (F.col("high") + step(F.col("high") - F.col("middle"))).alias("most"),
+        (F.col("low") - step(F.col("middle") - F.col("low"))).alias("fewest"),
+    )
+    wide = [F.max(F.when(F.col("rate") == r, F.col("most"))).alias(f"{r}_most") for r in RATES]
+    return fences.groupBy("lang", "source").agg(
+        *wide, F.max(F.when(F.col("rate") == "word_length", F.col("fewest"))).alias("word_length_fewest")
+    )
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
     """(id, the counts, base_failed, kept) of every row."""
     rates = rated(keep(figures(docs, id_col, **names)))
-    fences = keep(thresholds(rates)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    fences = keep(thresholds(keep(sketches(rates)))).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    inside = F.lit(True)
+    inside = F.col("word_length_bucket") >= F.col("word_length_fewest")
     for r in RATES:
-        inside = inside & F.coalesce(F.col(r) <= F.col(f"{r}_fence"), F.lit(True))
+        inside = inside & (F.col(f"{r}_bucket") <= F.col(f"{r}_most"))
+    # a group without fences has no document that passes the base rule
     return rates.join(fences, same, "left").select(
         F.col("id").alias(id_col),
         *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"],
-        (~F.col("base_failed") & inside).alias("kept"),
+        (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
     )
