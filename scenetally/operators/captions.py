@@ -7,27 +7,37 @@ Candidates are (item, tokens), references (item, ref, tokens). Texts are scored
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from scenetally.functions.arrays import ngrams_up_to
+from scenetally.session import pin
 
 SMALL, TINY = 1e-9, 1e-15  # fixed smoothing values of the public scorer
 
 
-def _counts(df: DataFrame, keys: list[str], tokens: str, n: int, name: str) -> DataFrame:
-    grams = df.select(*keys, F.explode(ngrams_up_to(tokens, n)).alias("g")).select(*keys, "g.n", "g.gram")
-    return grams.groupBy(*keys, "n", "gram").agg(F.count("*").alias(name))
+def caption_counts(cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str, n: int = 4) -> DataFrame:
+    """(item, n, gram, c, refs): how often each n-gram is in the candidate (null: not at all) and in which references.
 
+    One pass over either side; all scorers read from this table. ``refs`` is an array of (ref, r), at most one entry a
+    reference. Rows of order 0 carry the number of tokens of each side, so texts without words stay too.
+    """
 
-def _closest_lengths(cands: DataFrame, refs: DataFrame, item: str, cand: str, ref: str) -> DataFrame:
-    """Candidate length and the reference length nearest to it (the shorter on a tie)."""
-    lengths = cands.select(item, F.size(cand).alias("testlen"))
-    joined = lengths.join(refs.select(item, F.size(ref).alias("_l")), item)
-    return joined.groupBy(item, "testlen").agg(
-        F.min(F.struct(F.abs(F.col("_l") - F.col("testlen")).alias("d"), F.col("_l").alias("l"))).alias("_m")
-    ).select(item, "testlen", F.col("_m.l").alias("reflen"))
+    def grams(df: DataFrame, tokens: str, ref_col: Column, own: bool) -> DataFrame:
+        size = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"), F.size(tokens).cast("long").alias("k")))
+        found = F.transform(ngrams_up_to(tokens, n), lambda g: F.struct(g.n.alias("n"), g.gram.alias("gram"), F.lit(1).cast("long").alias("k")))
+        rows = df.where(F.col(item).isNotNull() & F.col(tokens).isNotNull())
+        rows = rows.select(F.col(item), F.lit(own).alias("own"), ref_col.alias("ref"), F.explode(F.concat(size, found)).alias("g"))
+        return rows.select(item, "own", "ref", "g.n", "g.gram", "g.k")
+
+    kind = refs.schema[ref_id].dataType
+    both = grams(cands, cand, F.lit(None).cast(kind), True).unionByName(grams(refs, ref, F.col(ref_id), False))
+    counted = both.groupBy(item, "n", "gram", "own", "ref").agg(F.sum("k").alias("k"))
+    return counted.groupBy(item, "n", "gram").agg(
+        F.max(F.when(F.col("own"), F.col("k"))).alias("c"),
+        F.collect_list(F.when(~F.col("own"), F.struct("ref", F.col("k").alias("r")))).alias("refs"),
+    )
 
 
 def _bleu_columns(n: int, correct: list[Column], guess: list[Column], test: Column, ref: Column) -> list[Column]:
@@ -40,18 +50,24 @@ def _bleu_columns(n: int, correct: list[Column], guess: list[Column], test: Colu
     return out
 
 
-def bleu_statistics(cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str, n: int = 4) -> DataFrame:
-    """Clipped matches, guesses and lengths per item."""
-    got = _counts(cands, [item], cand, n, "_c").withColumn("_r", F.lit(0).cast("long"))
-    there = _counts(refs, [item, ref_id], ref, n, "_r").select(item, "n", "gram", F.lit(0).cast("long").alias("_c"), "_r")
-    both = got.unionByName(there).groupBy(item, "n", "gram").agg(F.least(F.max("_c"), F.max("_r")).alias("hit"))
-    hits = both.groupBy(item).agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == k, F.col("hit"))), F.lit(0)).alias(f"correct{k}") for k in range(1, n + 1)]
+def bleu_statistics(
+    cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str, n: int = 4, counts: DataFrame | None = None
+) -> DataFrame:
+    """Clipped matches, guesses and lengths per item; the reference length is the nearest one, the shorter on a tie."""
+    if counts is None:
+        counts = caption_counts(cands, refs, item, cand, ref_id, ref, n)
+    best = F.array_max(F.transform("refs", lambda x: x.r))
+    near = F.array_min(F.transform("refs", lambda x: F.struct(F.abs(x.r - F.col("c")).alias("d"), x.r.alias("l"))))
+    row = counts.where(F.col("c").isNotNull() & (F.size("refs") > 0)).select(
+        item, "n", F.least("c", best).alias("hit"), F.col("c"), F.when(F.col("n") == 0, near["l"]).alias("l")
+    )
+    stats = row.groupBy(item).agg(
+        F.max(F.when(F.col("n") == 0, F.col("c"))).alias("testlen"),
+        F.max("l").alias("reflen"),
+        *[F.coalesce(F.sum(F.when(F.col("n") == k, F.col("hit"))), F.lit(0)).alias(f"correct{k}") for k in range(1, n + 1)],
     )
-    lengths = _closest_lengths(cands, refs, item, cand, ref)
     guess = [F.greatest(F.col("testlen") - (k - 1), F.lit(0)).alias(f"guess{k}") for k in range(1, n + 1)]
-    joined = lengths.join(hits, item, "left").na.fill(0)
-    return joined.select(item, "testlen", "reflen", *[f"correct{k}" for k in range(1, n + 1)], *guess)
+    return stats.select("*", *guess)
 
 
 def bleu_per_item(stats: DataFrame, item: str, n: int = 4) -> DataFrame:
@@ -96,44 +112,54 @@ def rouge_l(cands: DataFrame, refs: DataFrame, item: str, cand: str, ref: str, b
 
 
 def cider(
-    cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str, n: int = 4, sigma: float = 6.0
+    cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str, n: int = 4, sigma: float = 6.0,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Clipped tf-idf cosine over 1..n-grams with a length penalty, averaged over references, times ten.
 
     The length compared is the number of bigrams, as in the public scorer.
     """
-    got = _counts(cands, [item], cand, n, "tf")
-    there = _counts(refs, [item, ref_id], ref, n, "tf")
-    df = there.select(item, "n", "gram").distinct().groupBy("n", "gram").agg(F.count("*").alias("df"))
-    log_n = refs.agg(F.ln(F.count_distinct(item).cast("double")).alias("l")).scalar()
-
-    def weigh(counts: DataFrame, name: str) -> DataFrame:
-        idf = F.col("_l") - F.ln(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double"))
-        return counts.join(df, ["n", "gram"], "left").withColumn("_l", log_n).withColumn(name, F.col("tf") * idf).drop("df", "tf", "_l")
-
-    hyp, rf = weigh(got, "h"), weigh(there, "r")
-    hyp_norm = hyp.groupBy(item, "n").agg(F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("hn"))
-    dots = hyp.join(rf, [item, "n", "gram"]).groupBy(item, ref_id, "n").agg(
-        F.sum(F.least("h", "r") * F.col("r")).alias("dot")
+    if counts is None:
+        counts = pin(caption_counts(cands, refs, item, cand, ref_id, ref, n))
+    there = counts.where(F.size("refs") > 0)
+    df = there.where("n > 0").groupBy("n", "gram").agg(F.count("*").alias("df"))
+    log_n = there.where("n = 0").agg(F.ln(F.count("*").cast("double")).alias("l")).scalar()
+    idf = log_n - F.ln(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double"))
+    weighed = counts.join(df, ["n", "gram"], "left").select(item, "n", "c", "refs", F.when(F.col("n") > 0, idf).otherwise(1.0).alias("idf"))
+    h, r = F.col("c") * F.col("idf"), F.col("x.r") * F.col("idf")
+    none = F.array(F.struct(F.lit(None).alias("ref"), F.lit(None).alias("r")))
+    # the entry of no count stands for the candidate itself
+    entries = weighed.select(item, "n", "c", "idf", F.explode(F.concat("refs", none.cast(counts.schema["refs"].dataType))).alias("x"))
+    own = F.col("x.r").isNull()
+    per = entries.select(item, "n", own.alias("own"), "x.ref", h.alias("h"), r.alias("r")).groupBy(item, "n", "own", "ref").agg(
+        F.sum(F.when(F.col("own"), F.col("h") * F.col("h"))).alias("hh"),
+        F.sum(F.col("r") * F.col("r")).alias("rr"),
+        F.sum(F.when(F.col("h").isNotNull(), F.least("h", "r") * F.col("r"))).alias("dot"),
+        F.max("h").alias("h"),
+        F.max("r").alias("r"),
     )
-    ref_norm = rf.groupBy(item, ref_id, "n").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("rn"))
-    per = dots.join(ref_norm, [item, ref_id, "n"]).join(hyp_norm, [item, "n"])
+    norm = F.max("hh").over(Window.partitionBy(item, "n"))
+    rows = per.select("*", F.sqrt(norm).alias("hn"), F.sqrt("rr").alias("rn")).where(~F.col("own"))
     both_set = (F.col("hn") != 0) & (F.col("rn") != 0)
     cosine = F.when(both_set, F.col("dot") / (F.col("hn") * F.col("rn"))).otherwise(F.col("dot"))
-    sums = per.groupBy(item, ref_id).agg(F.sum(cosine).alias("sim"))
-    bigrams_c = cands.select(item, F.greatest(F.size(cand) - 1, F.lit(0)).alias("lc"))
-    bigrams_r = refs.select(item, ref_id, F.greatest(F.size(ref) - 1, F.lit(0)).alias("lr"))
-    delta = (F.col("lc") - F.col("lr")).cast("double")
-    scored = bigrams_r.join(bigrams_c, item).join(sums, [item, ref_id], "left")
-    value = F.coalesce("sim", F.lit(0.0)) * F.exp(-delta * delta / (2 * sigma**2))
-    return scored.groupBy(item).agg((F.sum(value) / n / F.count("*") * 10).alias("cider"))
+
+    def bigrams(size: str) -> Column:
+        return F.max(F.when((F.col("n") == 0) & F.col(size).isNotNull(), F.greatest(F.col(size) - 1, F.lit(0.0))))
+
+    sums = rows.groupBy(item, "ref").agg(
+        F.sum(F.when(F.col("n") > 0, cosine)).alias("sim"), (bigrams("h") - bigrams("r")).alias("delta")
+    )
+    value = F.coalesce("sim", F.lit(0.0)) * F.exp(-F.col("delta") * F.col("delta") / (2 * sigma**2))
+    # an item without a candidate has no difference of lengths
+    return sums.where(F.col("delta").isNotNull()).groupBy(item).agg((F.sum(value) / n / F.count("*") * 10).alias("cider"))
 
 
 def caption_report(cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str) -> tuple[DataFrame, DataFrame]:
     """All metrics per item, and the corpus row (BLEU from corpus counts, the others as means)."""
-    stats = bleu_statistics(cands, refs, item, cand, ref_id, ref)
+    counts = pin(caption_counts(cands, refs, item, cand, ref_id, ref))
+    stats = bleu_statistics(cands, refs, item, cand, ref_id, ref, counts=counts)
     per = bleu_per_item(stats, item).join(rouge_l(cands, refs, item, cand, ref), item).join(
-        cider(cands, refs, item, cand, ref_id, ref), item
+        cider(cands, refs, item, cand, ref_id, ref, counts=counts), item
     )
     means = per.agg(F.avg("rouge_l").alias("rouge_l"), F.avg("cider").alias("cider"))
     corpus = bleu_corpus(stats)
@@ -148,9 +174,10 @@ def self_critical_reward(
     """Weighted metric of the sampled caption minus that of the greedy one."""
 
     def score(c: DataFrame, name: str) -> DataFrame:
-        total = cider(c, refs, item, cand, ref_id, ref).withColumn(name, F.col("cider") * cider_weight)
+        counts = pin(caption_counts(c, refs, item, cand, ref_id, ref))
+        total = cider(c, refs, item, cand, ref_id, ref, counts=counts).withColumn(name, F.col("cider") * cider_weight)
         if bleu_weight:
-            b = bleu_per_item(bleu_statistics(c, refs, item, cand, ref_id, ref), item)
+            b = bleu_per_item(bleu_statistics(c, refs, item, cand, ref_id, ref, counts=counts), item)
             total = total.join(b, item).withColumn(name, F.col(name) + F.col("bleu4") * bleu_weight)
         return total.select(item, name)
 

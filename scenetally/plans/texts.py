@@ -89,7 +89,15 @@ def _(t):
     return corpus.select("metric", r("value"))
 
 
-@query("self_critical_reward")
+IN_ORDER = "list_filter(cand, lambda w, i : list_position(cand, w) = i)"
+
+
+@query(
+    "self_critical_reward",
+    f"""WITH a AS (WITH {CIDER} SELECT item, cider FROM ci),
+b AS (WITH {CIDER.replace("a.ws AS cand", IN_ORDER.replace("cand", "a.ws") + " AS cand")} SELECT item, cider FROM ci)
+SELECT item, round(a.cider - b.cider, 6) AS reward FROM a JOIN b USING (item)""",
+)
 def _(t):
     """Sampled caption: the whole turn. Greedy caption: its distinct words in order."""
     c, refs = sides(t)

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -300,6 +301,47 @@ def test_caption_scores_same_and_disjoint(spark):
     assert cider["none"] == 0.0 and cider["same"] > 0
 
 
+def test_caption_scores_several_references(spark):
+    rng = random.Random(8)
+
+    def words(low, high):
+        return [rng.choice("abcdefg") for _ in range(rng.randint(low, high))]
+
+    sides = {f"i{k}": (words(0, 12), [words(0, 12) for _ in range(rng.randint(1, 4))]) for k in range(40)}
+    cands = spark.createDataFrame([(i, c) for i, (c, _) in sides.items()] + [("alone", ["a"]), (None, ["a"])], "item string, cand array<string>")
+    refs = [(i, k, r) for i, (_, rs) in sides.items() for k, r in enumerate(rs)] + [("unsaid", 0, ["a", "b"])]
+    table = spark.createDataFrame(refs, "item string, ref_id int, ref array<string>")
+
+    def grams(t, n):
+        return Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+
+    seen = {n: Counter(g for i in {r[0] for r in refs} for g in set().union(*(grams(r[2], n) for r in refs if r[0] == i))) for n in range(1, 5)}
+    every = math.log(len({r[0] for r in refs}))
+
+    def weights(t, n):
+        return {g: k * (every - math.log(max(seen[n][g], 1))) for g, k in grams(t, n).items()}
+
+    def cosine(c, r, n):
+        h, w = weights(c, n), weights(r, n)
+        dot = sum(min(h[g], w[g]) * w[g] for g in h.keys() & w.keys())
+        norms = math.sqrt(sum(x * x for x in h.values())) * math.sqrt(sum(x * x for x in w.values()))
+        return dot / norms if norms else dot
+
+    stats = {r.item: r for r in ca.bleu_statistics(cands, table, "item", "cand", "ref_id", "ref").collect()}
+    cider = {r.item: r.cider for r in ca.cider(cands, table, "item", "cand", "ref_id", "ref").collect()}
+    assert set(stats) == set(cider) == set(sides)
+    for i, (c, rs) in sides.items():
+        assert stats[i].testlen == len(c) and stats[i].reflen == min((abs(len(r) - len(c)), len(r)) for r in rs)[1]
+        for n in range(1, 5):
+            most = {g: max(grams(r, n)[g] for r in rs) for g in grams(c, n)}
+            assert stats[i][f"correct{n}"] == sum(min(k, most[g]) for g, k in grams(c, n).items())
+            assert stats[i][f"guess{n}"] == max(len(c) - n + 1, 0)
+        want = [
+            sum(cosine(c, r, n) for n in range(1, 5)) * math.exp(-((max(len(c) - 1, 0) - max(len(r) - 1, 0)) ** 2) / 72) / 4 for r in rs
+        ]
+        assert cider[i] == pytest.approx(10 * sum(want) / len(want), abs=1e-9)
+
+
 def test_answer_rules(spark):
     cases = {"Two dogs, please": "2 dogs please", "the U.S.A.": "usa", "dont": "don't", "1,000": "1000", "3.5 m": "3.5 m", "red/blue": "red blue"}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
