@@ -23,9 +23,12 @@ def order_columns(order: list[str], flip: bool = False) -> list[Column]:
 
 
 def sliced(df: DataFrame, group: list[str], order: list[str], slice_col: str = "_slice") -> DataFrame:
-    """Range partition by (group, order) and name each row's slice. Pinned, so the slices stay fixed."""
+    """Range partition by (group, order) and name each row's slice. Pinned, so the slices stay fixed.
+
+    The rows come back partitioned by slice, which serves every scan that follows without a further shuffle of them.
+    """
     ranged = df.repartitionByRange(*[F.col(g) for g in group], *order_columns(order))
-    return pin(ranged.withColumn(slice_col, F.spark_partition_id()))
+    return pin(ranged.withColumn(slice_col, F.spark_partition_id())).repartition(slice_col)
 
 
 _FOLD = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min, "max_after": F.max}
@@ -35,36 +38,43 @@ def _unit(kind: str, column: str | None) -> Column:
     return F.lit(1).cast("long") if kind == "count" else F.col(column)
 
 
+def _carries(parts: DataFrame, group: list[str], scans: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """One row per slice: what earlier slices give its first group (_back) and later ones its last group (_ahead).
+
+    Slices follow (group, order), so no other group of a slice goes on elsewhere, however many groups there are.
+    """
+    key = F.struct(*group) if group else F.lit(0)
+    folded = [_FOLD[kind](_unit(kind, col)).alias(f"_t_{out}") for out, (kind, col) in scans.items()]
+    totals = parts.groupBy("_slice", *group).agg(*folded).select("_slice", key.alias("_k"), *[f"_t_{out}" for out in scans])
+    cell = F.struct("_k", *[f"_t_{out}" for out in scans])
+    ends = totals.groupBy("_slice").agg(F.min_by(cell, "_k").alias("_first"), F.max_by(cell, "_k").alias("_last"))
+    alone = F.col("_first._k").eqNullSafe(F.col("_last._k"))
+    rows = ends.select("_slice", F.explode(F.when(alone, F.array("_first")).otherwise(F.array("_first", "_last"))).alias("_e")).select("_slice", "_e.*")
+    # looking ahead is looking back in reverse order: a frame that ends unbounded is quadratic in Spark
+    earlier = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("_k").orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.select(
+        "_slice", "_k",
+        *[_FOLD[kind](f"_t_{out}").over(later if kind == "max_after" else earlier).alias(f"_b_{out}") for out, (kind, _) in scans.items()],
+    )
+    value = F.struct("_k", *[f"_b_{out}" for out in scans])
+    return carried.groupBy("_slice").agg(F.min_by(value, "_k").alias("_back"), F.max_by(value, "_k").alias("_ahead"))
+
+
 def scan_slices(parts: DataFrame, group: list[str], order: list[str], scans: dict[str, tuple[str, str | None]]) -> DataFrame:
     """Running values over rows that ``sliced`` has placed; _slice stays, so scans can follow each other.
 
     Kinds: count, sum, max, min look back (inclusive); max_after looks ahead (inclusive).
     """
-    totals = parts.groupBy(*group, "_slice").agg(
-        *[_FOLD[kind](_unit(kind, col)).alias(f"_t_{out}") for out, (kind, col) in scans.items()]
-    )
-    # looking ahead is looking back in reverse order: a frame that ends unbounded is quadratic in Spark
-    by_slice = Window.partitionBy(*[F.col(g) for g in group] or [F.lit(0)])
-    earlier = by_slice.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    later = by_slice.orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *[F.col(g).alias(f"_g_{g}") for g in group],
-        F.col("_slice").alias("_totals_slice"),
-        *[
-            _FOLD[kind](f"_t_{out}").over(later if kind == "max_after" else earlier).alias(f"_b_{out}")
-            for out, (kind, _) in scans.items()
-        ],
-    )
-    match = F.col("_slice") == F.col("_totals_slice")
-    for g in group:
-        match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    inside = Window.partitionBy(*group, "_slice")
+    key = F.struct(*group) if group else F.lit(0)
+    inside = Window.partitionBy("_slice", *group)
     back = inside.orderBy(*order_columns(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = inside.orderBy(*order_columns(order, flip=True)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     added = []
     for out, (kind, col) in scans.items():
         here = _FOLD[kind](_unit(kind, col)).over(ahead if kind == "max_after" else back)
-        carry = F.col(f"_b_{out}")
+        side = "_ahead" if kind == "max_after" else "_back"
+        carry = F.when(F.col(f"{side}._k").eqNullSafe(key), F.col(f"{side}._b_{out}"))
         if kind in ("count", "sum"):
             value = F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0))
         elif kind == "min":
@@ -72,7 +82,9 @@ def scan_slices(parts: DataFrame, group: list[str], order: list[str], scans: dic
         else:
             value = F.greatest(here, carry)
         added.append(value.alias(out))
-    return parts.join(carried, match, "left").select(*[F.col(c) for c in parts.columns], *added)
+    # one row per slice: the hash side stays small, and the rows keep their placing by slice
+    carried = _carries(parts, group, scans).hint("shuffle_hash")
+    return parts.join(carried, "_slice", "left").select(*[F.col(c) for c in parts.columns], *added)
 
 
 def running(df: DataFrame, group: list[str], order: list[str], scans: dict[str, tuple[str, str | None]]) -> DataFrame:
