@@ -194,3 +194,8 @@ def picked_member(df: DataFrame, group: str, member: str, seed: int) -> DataFram
     return df.groupBy(group).agg(F.min(F.struct(hash_number(seed, group, member).alias("h"), F.col(member).alias("m"))).alias("_p")).select(
         group, F.col("_p.m").alias(member)
     )
+
+
+def picked_with_url(df: DataFrame, group: str, member: str, urls: DataFrame, url: str, seed: int) -> DataFrame:
+    """One member per group with its address; a member without one keeps a null."""
+    return picked_member(df, group, member, seed).join(urls.select(member, url), member, "left").select(group, member, url)

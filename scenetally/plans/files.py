@@ -81,11 +81,11 @@ def _(t):
 def _(t):
     base = _folder(t)
     q = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("conv_id").alias("image_id"), F.md5("text").alias("question"))
-    # one JSON document per conversation
-    q.groupBy(F.col("image_id").alias("part")).agg(F.collect_list(F.struct("question_id", "image_id", "question")).alias("questions")).select("questions").write.json(f"{base}/questions")
+    # one JSON document a file, of at most 500 conversations
+    docs = q.groupBy(F.floor(F.col("image_id") / 500).alias("part")).agg(F.collect_list(F.struct("question_id", "image_id", "question")).alias("questions"))
+    docs.select("questions").write.option("maxRecordsPerFile", 1).json(f"{base}/questions")
     targets = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("conv_id").alias("image_id"), F.length("text").cast("long").alias("label"))
-    read = t.spark.read.schema("questions array<struct<question_id: long, image_id: long, question: string>>").json(f"{base}/questions")
-    return rc.question_answers(read.select(F.inline("questions")), targets).select("question_id", "image_id", "question", "label")
+    return rc.question_answers(rc.questions_json(t.spark, f"{base}/questions"), targets).select("question_id", "image_id", "question", "label")
 
 
 @query(
@@ -96,16 +96,20 @@ def _(t):
 )
 def _(t):
     base = _folder(t)
+    vcr_rows(t).write.json(f"{base}/vcr")
+    return rc.vcr_questions(t.spark, f"{base}/vcr", "rationale").select("annot_id", F.array_join("question", " ").alias("question"), "target")
+
+
+def vcr_rows(t: Tables) -> DataFrame:
+    """Benchmark items as questions whose own words, in four pieces, are the answers and the rationales."""
     w = F.split("text", " ")
     # the whole text in four pieces
     cut = [F.floor(F.size(w) * i / 4).cast("int") for i in range(5)]
     choices = F.array(*[F.slice(w, cut[i] + 1, cut[i + 1] - cut[i]) for i in range(4)])
-    rows = t.benchmark.select(
+    return t.benchmark.select(
         F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("img_id"), F.concat(F.lit("a"), F.col("item_id").cast("string")).alias("annot_id"), w.alias("question"),
         choices.alias("answer_choices"), (F.col("item_id") % 4).cast("int").alias("answer_label"), choices.alias("rationale_choices"), (F.col("item_id") % 4).cast("int").alias("rationale_label"),
     )
-    rows.write.json(f"{base}/vcr")
-    return rc.vcr_questions(t.spark, f"{base}/vcr", "rationale").select("annot_id", F.array_join("question", " ").alias("question"), "target")
 
 
 def coco_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -120,6 +120,16 @@ def proposals_into_images(proposals: DataFrame, images: DataFrame, image_key: st
     return p.join(images.select(F.col(image).cast("string").alias(image)).distinct(), image, "left_semi")
 
 
+def proposal_records(proposals: DataFrame, images: DataFrame, image_key: str, image: str, box: list[str], logit: str) -> DataFrame:
+    """Each listed image with the boxes and logits of its proposals, best first (ties by box); empty lists where it has none."""
+    entry = F.struct((-F.col(logit)).alias("order"), F.array(*box).alias("box"), F.col(logit).alias("logit"))
+    kept = proposals_into_images(proposals, images, image_key, image)
+    per = kept.groupBy(image).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    joined = images.select(F.col(image).cast("string").alias(image)).distinct().join(per, image, "left")
+    listed = F.coalesce("_e", F.array().cast(per.schema["_e"].dataType.simpleString()))
+    return joined.select(image, listed["box"].alias("proposal_boxes"), listed["logit"].alias("proposal_logits"))
+
+
 def word_list(spark: SparkSession, path: str, background: str | None = None) -> DataFrame:
     """One class per line, commas list synonyms of the same id; a background name takes id 0.
 
