@@ -110,6 +110,34 @@ def test_run_log(spark, tmp_path):
     assert (row.path, row.score) == ("/p/2.bin", 3.0)
 
 
+def test_logs_cut_into_blocks(spark, tmp_path):
+    """The last block of a task and the i-th checkpoint are found wherever the reader cuts the file."""
+    lines = ["args ['--world_size', '1']"]
+    for i in range(200):
+        lines += [f"x copypaste: Task: t{i % 3}", "x copypaste: AP,AP50", f"x copypaste: {i}.0,{i}.5", f"max_mem: {i}"]
+        lines += [f"** ** * Saving fine - tuned model on r in /p/{i}.bin ** ** *", f"1:00 Validation [0] score {(i * 7) % 200}.0 "]
+    (tmp_path / "log.txt").write_text("\n".join(lines) + "\n")
+    sizes = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        read = lg.log_lines(spark, str(tmp_path))
+        assert read.select("block").distinct().count() > 4
+        got = {(r.task, r.metric): r.value for r in lg.result_log_metrics(read).collect()}
+        memory = lg.result_log(read).first().memory_mb
+        log = lg.run_log(read)
+        best = ba.best_checkpoint(ba.log_group_average(log["scores"], "file", lg.ORDER, "score", "world"), "file")
+        row = best.join(log["checkpoints"], ["file", "checkpoint"]).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    last = {"t0": 198, "t1": 199, "t2": 197}
+    assert got == {(t, m): v + add for t, v in last.items() for m, add in (("AP", 0.0), ("AP50", 0.5))}
+    wanted = next(i for i in range(200) if (i * 7) % 200 == 199)
+    assert memory == 199 and (row.path, row.score) == (f"/p/{wanted}.bin", 199.0)
+
+
 def test_run_results_csv_and_latest(spark, tmp_path):
     for run, v in (("r1", 1.5), ("r2", 2.5)):
         (tmp_path / run).mkdir()
