@@ -1,43 +1,105 @@
 """Caption metrics: BLEU, ROUGE-L, CIDEr, the joint report and the self-critical reward.
 
-Candidates are (item, tokens), references (item, ref, tokens). Texts are scored whole: n-gram counts are shuffled by
-(item, n-gram), never gathered per item.
+Candidates are (item, tokens), references (item, ref, tokens). Texts are scored whole: the candidate and the references
+of an item meet in one row, and n-grams leave it only where the corpus is asked how common they are.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from scenetally.functions.arrays import ngrams_up_to
 from scenetally.session import pin
 
+BATCH_ROWS = 65_536  # counts that one batch of a Python worker gives back
+BLOCK_TOKENS = 200_000  # words of the items that ask together how common their n-grams are
 SMALL, TINY = 1e-9, 1e-15  # fixed smoothing values of the public scorer
 
 
+def _texts(cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str) -> DataFrame:
+    """(item, texts): the texts of an item in one row, each distinct one once with the number of its rows."""
+    kind = refs.schema[ref_id].dataType
+    own = cands.select(item, F.lit(True).alias("own"), F.lit(None).cast(kind).alias("ref"), F.col(cand).alias("tokens"))
+    given = refs.select(item, F.lit(False).alias("own"), F.col(ref_id).alias("ref"), F.col(ref).alias("tokens"))
+    rows = own.unionByName(given).where(F.col(item).isNotNull() & F.col("tokens").isNotNull())
+    rows = rows.groupBy(item, "own", "ref", "tokens").agg(F.count("*").alias("m"))
+    return rows.groupBy(item).agg(F.collect_list(F.struct("own", "ref", "tokens", "m")).alias("texts"))
+
+
+def _grams(tokens: list, n: int) -> list[list[str]]:
+    """The space-joined n-grams of every order 1..n; null tokens take no part in a text."""
+    if None in tokens:
+        return [[" ".join(w for w in tokens[i : i + k] if w is not None) for i in range(len(tokens) - k + 1)] for k in range(1, n + 1)]
+    out = [tokens]
+    for k in range(1, n):
+        out.append([g + " " + w for g, w in zip(out[-1], tokens[k:])])
+    return out[:n]
+
+
+def _item_counts(texts: list[dict], n: int) -> tuple[list[Counter] | None, dict]:
+    """Counts by order 0..n of the candidate (None: no candidate) and of every reference; order 0 has the sizes."""
+    sides: dict = {}
+    for x in texts:
+        counts = sides.setdefault((x["own"], x["ref"]), [Counter() for _ in range(n + 1)])
+        counts[0][""] += len(x["tokens"]) * x["m"]
+        for k, grams in enumerate(_grams(x["tokens"], n), start=1):
+            if x["m"] == 1:
+                counts[k].update(grams)
+            else:
+                counts[k].update({g: c * x["m"] for g, c in Counter(grams).items()})
+    mine = sides.pop((True, None), None)
+    return mine, {ref: counts for (_, ref), counts in sides.items()}
+
+
 def caption_counts(cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str, n: int = 4) -> DataFrame:
     """(item, n, gram, c, refs): how often each n-gram is in the candidate (null: not at all) and in which references.
 
-    One pass over either side; all scorers read from this table. ``refs`` is an array of (ref, r), at most one entry a
-    reference. Rows of order 0 carry the number of tokens of each side, so texts without words stay too.
+    Only texts are shuffled, by item. ``refs`` is an array of (ref, r), at most one entry a reference. Rows of order 0
+    carry the number of tokens of each side, so texts without words stay too.
     """
-
-    def grams(df: DataFrame, tokens: str, ref_col: Column, own: bool) -> DataFrame:
-        size = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"), F.size(tokens).cast("long").alias("k")))
-        found = F.transform(ngrams_up_to(tokens, n), lambda g: F.struct(g.n.alias("n"), g.gram.alias("gram"), F.lit(1).cast("long").alias("k")))
-        rows = df.where(F.col(item).isNotNull() & F.col(tokens).isNotNull())
-        rows = rows.select(F.col(item), F.lit(own).alias("own"), ref_col.alias("ref"), F.explode(F.concat(size, found)).alias("g"))
-        return rows.select(item, "own", "ref", "g.n", "g.gram", "g.k")
-
-    kind = refs.schema[ref_id].dataType
-    both = grams(cands, cand, F.lit(None).cast(kind), True).unionByName(grams(refs, ref, F.col(ref_id), False))
-    counted = both.groupBy(item, "n", "gram", "own", "ref").agg(F.sum("k").alias("k"))
-    return counted.groupBy(item, "n", "gram").agg(
-        F.max(F.when(F.col("own"), F.col("k"))).alias("c"),
-        F.collect_list(F.when(~F.col("own"), F.struct("ref", F.col("k").alias("r")))).alias("refs"),
-    )
+    texts = _texts(cands, refs, item, cand, ref_id, ref)
+    entry = ArrayType(StructType([StructField("ref", refs.schema[ref_id].dataType), StructField("r", LongType())]))
+    fields = [StructField("n", IntegerType()), StructField("gram", StringType()), StructField("c", LongType()), StructField("refs", entry)]
+
+    def batch(items: pa.Array, at: list, orders: list, grams: list, c: list, ends: list, ref: list, r: list, ref_type) -> pa.RecordBatch:
+        entries = pa.StructArray.from_arrays([pa.array(ref, ref_type), pa.array(r, pa.int64())], names=["ref", "r"])
+        columns = [items.take(pa.array(at, pa.int64())), pa.array(orders, pa.int32()), pa.array(grams, pa.string()), pa.array(c, pa.int64())]
+        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries))
+        return pa.RecordBatch.from_arrays(columns, names=[item, "n", "gram", "c", "refs"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            items, held = rows.column(0), rows.column(1)
+            ref_type = held.type.value_type.field("ref").type
+            at, orders, grams, c, ends, ref, r = [], [], [], [], [0], [], []
+            for i in range(len(rows)):
+                mine, theirs = _item_counts(held[i].as_py(), n)
+                for k in range(n + 1):
+                    own = mine[k] if mine else {}
+                    for gram in dict.fromkeys([g for side in (own, *(t[k] for t in theirs.values())) for g in side]):
+                        at.append(i)
+                        orders.append(k)
+                        grams.append(gram)
+                        c.append(own.get(gram))
+                        for name, counts in theirs.items():
+                            if gram in counts[k]:
+                                ref.append(name)
+                                r.append(counts[k][gram])
+                        ends.append(len(ref))
+                        if len(at) >= BATCH_ROWS:
+                            yield batch(items, at, orders, grams, c, ends, ref, r, ref_type)
+                            at, orders, grams, c, ends, ref, r = [], [], [], [], [0], [], []
+            if at:
+                yield batch(items, at, orders, grams, c, ends, ref, r, ref_type)
+
+    return texts.select(item, "texts").mapInArrow(count, StructType([texts.schema[item], *fields]))
 
 
 def _bleu_columns(n: int, correct: list[Column], guess: list[Column], test: Column, ref: Column) -> list[Column]:
@@ -51,21 +113,30 @@ def _bleu_columns(n: int, correct: list[Column], guess: list[Column], test: Colu
 
 
 def bleu_statistics(
-    cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str, n: int = 4, counts: DataFrame | None = None
+    cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str, n: int = 4, texts: DataFrame | None = None
 ) -> DataFrame:
     """Clipped matches, guesses and lengths per item; the reference length is the nearest one, the shorter on a tie."""
-    if counts is None:
-        counts = caption_counts(cands, refs, item, cand, ref_id, ref, n)
-    best = F.array_max(F.transform("refs", lambda x: x.r))
-    near = F.array_min(F.transform("refs", lambda x: F.struct(F.abs(x.r - F.col("c")).alias("d"), x.r.alias("l"))))
-    row = counts.where(F.col("c").isNotNull() & (F.size("refs") > 0)).select(
-        item, "n", F.least("c", best).alias("hit"), F.col("c"), F.when(F.col("n") == 0, near["l"]).alias("l")
-    )
-    stats = row.groupBy(item).agg(
-        F.max(F.when(F.col("n") == 0, F.col("c"))).alias("testlen"),
-        F.max("l").alias("reflen"),
-        *[F.coalesce(F.sum(F.when(F.col("n") == k, F.col("hit"))), F.lit(0)).alias(f"correct{k}") for k in range(1, n + 1)],
-    )
+    if texts is None:
+        texts = _texts(cands, refs, item, cand, ref_id, ref)
+    names = ["testlen", "reflen", *[f"correct{k}" for k in range(1, n + 1)]]
+
+    def clipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            at, out = [], []
+            for i in range(len(rows)):
+                mine, theirs = _item_counts(rows.column(1)[i].as_py(), n)
+                if mine is None or not theirs:
+                    continue
+                size = mine[0][""]
+                near = min((abs(t[0][""] - size), t[0][""]) for t in theirs.values())[1]
+                hits = [sum(min(c, max(t[k][g] for t in theirs.values())) for g, c in mine[k].items()) for k in range(1, n + 1)]
+                at.append(i)
+                out.append([size, near, *hits])
+            columns = [pa.array([o[j] for o in out], pa.int64()) for j in range(n + 2)]
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at, pa.int64())), *columns], names=[item, *names])
+
+    fields = [texts.schema[item], *[StructField(c, LongType()) for c in names]]
+    stats = texts.select(item, "texts").mapInArrow(clipped, StructType(fields))
     guess = [F.greatest(F.col("testlen") - (k - 1), F.lit(0)).alias(f"guess{k}") for k in range(1, n + 1)]
     return stats.select("*", *guess)
 
@@ -111,55 +182,102 @@ def rouge_l(cands: DataFrame, refs: DataFrame, item: str, cand: str, ref: str, b
     return best.select(item, F.when((F.col("p") != 0) & (F.col("r") != 0), f).otherwise(0.0).alias("rouge_l"))
 
 
+def _common_grams(blocked: DataFrame, n: int) -> DataFrame:
+    """(block, n, gram, df): of the n-grams of a block those that the references of more than one item have.
+
+    A block asks once for each of its n-grams, and gets no row for what is in no or one item. A block is
+    some hundred items, so a Python worker holds the counts of one block and no n-gram has more rows than blocks.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, found = None, [{} for _ in range(n + 1)]
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k in range(1, n + 1):
+                grams, d = list(found[k].keys()), list(found[k].values())
+                for i in range(0, len(grams), BATCH_ROWS):
+                    part = pa.array(grams[i : i + BATCH_ROWS], pa.string())
+                    same = [pa.array([v] * len(part), pa.int32()) for v in (block, k)]
+                    yield pa.RecordBatch.from_arrays([*same, part, pa.array(d[i : i + BATCH_ROWS], pa.int64())], names=["block", "n", "gram", "df"])
+
+        for rows in batches:
+            for i, b in enumerate(rows.column(0).to_pylist()):
+                if b != block:
+                    yield from told()
+                    block, found = b, [{} for _ in range(n + 1)]
+                mine, theirs = _item_counts(rows.column(1)[i].as_py(), n)
+                for k in range(1, n + 1):
+                    for g in set().union(*(t[k] for t in theirs.values())):
+                        found[k][g] = found[k].get(g, 0) + 1
+                    for g in mine[k] if mine else ():
+                        found[k].setdefault(g, 0)
+        yield from told()
+
+    rows = blocked.select("block", "texts").repartition("block").sortWithinPartitions("block")
+    asked = rows.mapInArrow(ask, "block int, n int, gram string, df long")
+    every = F.sum("df").over(Window.partitionBy("n", "gram"))
+    return asked.withColumn("df", every).where("df > 1")
+
+
 def cider(
     cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str, n: int = 4, sigma: float = 6.0,
-    counts: DataFrame | None = None,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Clipped tf-idf cosine over 1..n-grams with a length penalty, averaged over references, times ten.
 
     The length compared is the number of bigrams, as in the public scorer.
     """
-    if counts is None:
-        counts = pin(caption_counts(cands, refs, item, cand, ref_id, ref, n))
-    there = counts.where(F.size("refs") > 0)
-    df = there.where("n > 0").groupBy("n", "gram").agg(F.count("*").alias("df"))
-    log_n = there.where("n = 0").agg(F.ln(F.count("*").cast("double")).alias("l")).scalar()
-    idf = log_n - F.ln(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double"))
-    weighed = counts.join(df, ["n", "gram"], "left").select(item, "n", "c", "refs", F.when(F.col("n") > 0, idf).otherwise(1.0).alias("idf"))
-    h, r = F.col("c") * F.col("idf"), F.col("x.r") * F.col("idf")
-    none = F.array(F.struct(F.lit(None).alias("ref"), F.lit(None).alias("r")))
-    # the entry of no count stands for the candidate itself
-    entries = weighed.select(item, "n", "c", "idf", F.explode(F.concat("refs", none.cast(counts.schema["refs"].dataType))).alias("x"))
-    own = F.col("x.r").isNull()
-    per = entries.select(item, "n", own.alias("own"), "x.ref", h.alias("h"), r.alias("r")).groupBy(item, "n", "own", "ref").agg(
-        F.sum(F.when(F.col("own"), F.col("h") * F.col("h"))).alias("hh"),
-        F.sum(F.col("r") * F.col("r")).alias("rr"),
-        F.sum(F.when(F.col("h").isNotNull(), F.least("h", "r") * F.col("r"))).alias("dot"),
-        F.max("h").alias("h"),
-        F.max("r").alias("r"),
-    )
-    norm = F.max("hh").over(Window.partitionBy(item, "n"))
-    rows = per.select("*", F.sqrt(norm).alias("hn"), F.sqrt("rr").alias("rn")).where(~F.col("own"))
-    both_set = (F.col("hn") != 0) & (F.col("rn") != 0)
-    cosine = F.when(both_set, F.col("dot") / (F.col("hn") * F.col("rn"))).otherwise(F.col("dot"))
-
-    def bigrams(size: str) -> Column:
-        return F.max(F.when((F.col("n") == 0) & F.col(size).isNotNull(), F.greatest(F.col(size) - 1, F.lit(0.0))))
-
-    sums = rows.groupBy(item, "ref").agg(
-        F.sum(F.when(F.col("n") > 0, cosine)).alias("sim"), (bigrams("h") - bigrams("r")).alias("delta")
-    )
-    value = F.coalesce("sim", F.lit(0.0)) * F.exp(-F.col("delta") * F.col("delta") / (2 * sigma**2))
-    # an item without a candidate has no difference of lengths
-    return sums.where(F.col("delta").isNotNull()).groupBy(item).agg((F.sum(value) / n / F.count("*") * 10).alias("cider"))
+    if texts is None:
+        texts = pin(_texts(cands, refs, item, cand, ref_id, ref))
+    given = F.exists("texts", lambda x: ~x.own)
+    size = F.aggregate("texts", F.lit(0).cast("long"), lambda s, x: s + F.size(x.tokens))
+    n_given, n_tokens = texts.agg(F.count_if(given), F.coalesce(F.sum(size), F.lit(0))).first()
+    log_n, blocks = math.log(max(n_given, 1)), max(1, n_tokens // BLOCK_TOKENS)
+    blocked = texts.select(F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("block"), item, "texts")
+    common = _common_grams(blocked, n)
+
+    def weights(counts: Counter, shares: dict) -> dict:
+        return {g: c * (log_n - math.log(shares.get(g, 1))) for g, c in counts.items()}
+
+    def length(w: dict) -> float:
+        return math.sqrt(sum(x * x for x in w.values()))
+
+    def score(mine: list[Counter], theirs: dict, df: list[dict]) -> float:
+        own = [weights(mine[k], df[k]) for k in range(1, n + 1)]
+        norms, total = [length(w) for w in own], 0.0
+        for counts in theirs.values():
+            sim = 0.0
+            for k, (h, hn) in enumerate(zip(own, norms), start=1):
+                r = weights(counts[k], df[k])
+                dot, rn = sum(min(h[g], x) * x for g, x in r.items() if g in h), length(r)
+                sim += dot / (hn * rn) if hn and rn else dot
+            delta = max(mine[0][""] - 1, 0) - max(counts[0][""] - 1, 0)
+            total += sim * math.exp(-delta * delta / (2 * sigma**2))
+        return total / n / len(theirs) * 10
+
+    def of_block(rows: pa.Table, known: pa.Table) -> pa.Table:
+        df: list[dict] = [{} for _ in range(n + 1)]
+        for k, gram, d in zip(*(known.column(c).to_pylist() for c in ("n", "gram", "df"))):
+            df[k][gram] = d
+        at, scores, held = [], [], rows.column("texts")
+        for i in range(len(rows)):
+            mine, theirs = _item_counts(held[i].as_py(), n)
+            # an item without a candidate has no difference of lengths
+            if mine is not None and theirs:
+                at.append(i)
+                scores.append(score(mine, theirs, df))
+        return pa.table([rows.column(item).take(pa.array(at, pa.int64())), pa.array(scores, pa.float64())], names=[item, "cider"])
+
+    schema = StructType([texts.schema[item], StructField("cider", DoubleType())])
+    return blocked.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(of_block, schema)
 
 
 def caption_report(cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str) -> tuple[DataFrame, DataFrame]:
     """All metrics per item, and the corpus row (BLEU from corpus counts, the others as means)."""
-    counts = pin(caption_counts(cands, refs, item, cand, ref_id, ref))
-    stats = bleu_statistics(cands, refs, item, cand, ref_id, ref, counts=counts)
+    texts = pin(_texts(cands, refs, item, cand, ref_id, ref))
+    stats = bleu_statistics(cands, refs, item, cand, ref_id, ref, texts=texts)
     per = bleu_per_item(stats, item).join(rouge_l(cands, refs, item, cand, ref), item).join(
-        cider(cands, refs, item, cand, ref_id, ref, counts=counts), item
+        cider(cands, refs, item, cand, ref_id, ref, texts=texts), item
     )
     means = per.agg(F.avg("rouge_l").alias("rouge_l"), F.avg("cider").alias("cider"))
     corpus = bleu_corpus(stats)
@@ -174,10 +292,10 @@ def self_critical_reward(
     """Weighted metric of the sampled caption minus that of the greedy one."""
 
     def score(c: DataFrame, name: str) -> DataFrame:
-        counts = pin(caption_counts(c, refs, item, cand, ref_id, ref))
-        total = cider(c, refs, item, cand, ref_id, ref, counts=counts).withColumn(name, F.col("cider") * cider_weight)
+        texts = pin(_texts(c, refs, item, cand, ref_id, ref))
+        total = cider(c, refs, item, cand, ref_id, ref, texts=texts).withColumn(name, F.col("cider") * cider_weight)
         if bleu_weight:
-            b = bleu_per_item(bleu_statistics(c, refs, item, cand, ref_id, ref, counts=counts), item)
+            b = bleu_per_item(bleu_statistics(c, refs, item, cand, ref_id, ref, texts=texts), item)
             total = total.join(b, item).withColumn(name, F.col(name) + F.col("bleu4") * bleu_weight)
         return total.select(item, name)
 
