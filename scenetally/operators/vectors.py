@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenetally.functions import arrays
+from scenetally.session import pin
 
 
 def class_mean_vector(df: DataFrame, cls: str, vector: str, part: list[str] = ()) -> DataFrame:
@@ -61,7 +62,8 @@ def class_average_table(classes: DataFrame, scores: DataFrame, cls: str, column:
 # ---- blocked scoring ---------------------------------------------------------------------------------------------
 
 
-BLOCKS_PER_TASK = 4
+LEFT_PARTS = 256  # parts of the left blocks at most; each right block is read once for every one of them
+RIGHT_BLOCKS = 256  # right blocks that a task holds for its left ones; a row's partial result covers as many
 
 
 def _block_count(df: DataFrame, rows: int) -> int:
@@ -87,27 +89,29 @@ def score_grid(
     n_left, n_right = _block_count(left, rows), _block_count(right, rows)
     a = _packed(left, left_key, vector, n_left, "l", list(extra))
     b = _packed(right, right_key, vector, n_right, "r")
-    # each left block meets all right blocks through an equi-join on the right block number and a salt of the left block;
-    # there are as many salts as groups of left blocks, so a small right side does not bring all cells into a few tasks
-    salts = -(-n_left // BLOCKS_PER_TASK)
-
-    def upto(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    a = a.withColumn("_salt", F.pmod("l_block", F.lit(salts))).withColumn("r_block", upto(n_right))
-    return a.join(b.withColumn("_salt", upto(salts)), ["r_block", "_salt"]).drop("_salt")
+    # the blocks are written once and read by the tasks that need them, for a shuffle would hold every block of one side
+    # once for each block of the other; a task goes through its right blocks with one left block after the other
+    salts = min(n_left, LEFT_PARTS)
+    a = pin(a.withColumn("_salt", F.pmod("l_block", F.lit(salts))).repartitionByRange(salts, "_salt"))
+    b = pin(b.repartitionByRange(-(-n_right // RIGHT_BLOCKS), "r_block"))
+    return a.hint("shuffle_replicate_nl").crossJoin(b).drop("_salt")
 
 
 def _matrix(flat: np.ndarray, n: int) -> np.ndarray:
     return np.asarray(flat, dtype=np.float64).reshape(n, -1)
 
 
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator:
+    for batch in batches:
+        yield from batch.itertuples(index=False)
+
+
 def rank_of_target(
     queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vector: str, target: str, rows: int = 500
 ) -> DataFrame:
     """Rank of each query's target among all items by dot product (ties by item key).
 
-    The target's score comes from an equi-join; every grid cell then only counts the items that beat it.
+    The target's score comes from an equi-join; the grid's tasks then only count the items that beat it.
     """
     goal = items.select(F.col(item_key).alias(target), F.col(vector).alias("_goal"))
     scored = queries.join(goal, target).select(
@@ -116,19 +120,26 @@ def rank_of_target(
     grid = score_grid(scored, items, query_key, item_key, vector, rows, [target, "goal_score"])
 
     def count_better(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for cell in batch.itertuples(index=False):
-                keys, items_ = np.asarray(cell.l_keys), np.asarray(cell.r_keys)
-                scores = np.round(_matrix(cell.l_flat, len(keys)) @ _matrix(cell.r_flat, len(items_)).T, 9)
+        block, keys, better = None, None, None
+        for cell in _cells(batches):
+            if cell.l_block != block:
+                if block is not None:
+                    yield pd.DataFrame({query_key: keys, "better": better})
+                block, keys = cell.l_block, np.asarray(cell.l_keys)
+                better, matrix = np.zeros(len(keys), dtype="int64"), _matrix(cell.l_flat, len(keys))
                 targets = np.asarray(getattr(cell, "l__target"))[:, None]
                 goal_scores = np.asarray(getattr(cell, "l__goal_score"))[:, None]
-                better = (scores > goal_scores) | ((scores == goal_scores) & (items_[None, :] < targets))
-                better &= items_[None, :] != targets
-                yield pd.DataFrame({query_key: keys, "better": better.sum(axis=1)})
+            items_ = np.asarray(cell.r_keys)
+            scores = np.round(matrix @ _matrix(cell.r_flat, len(items_)).T, 9)
+            beats = (scores > goal_scores) | ((scores == goal_scores) & (items_[None, :] < targets))
+            beats &= items_[None, :] != targets
+            better += beats.sum(axis=1)
+        if block is not None:
+            yield pd.DataFrame({query_key: keys, "better": better})
 
     grid = grid.withColumnsRenamed({f"l_{target}": "l__target", "l_goal_score": "l__goal_score"})
     key_type = queries.schema[query_key].dataType.simpleString()
-    partial = grid.select("l_keys", "l_flat", "l__target", "l__goal_score", "r_keys", "r_flat").mapInPandas(
+    partial = grid.select("l_block", "l_keys", "l_flat", "l__target", "l__goal_score", "r_keys", "r_flat").mapInPandas(
         count_better, f"{query_key} {key_type}, better long"
     )
     return partial.groupBy(query_key).agg((F.sum("better") + 1).alias("rank"))
@@ -137,28 +148,44 @@ def rank_of_target(
 def top_matches(
     queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vector: str, k: int, rows: int = 500
 ) -> DataFrame:
-    """Best k items per query by dot product; a grid cell gives its own best k only."""
+    """Best k items per query by dot product; a task of the grid gives its own best k only."""
     grid = score_grid(queries, items, query_key, item_key, vector, rows)
     q_type = queries.schema[query_key].dataType.simpleString()
     i_type = items.schema[item_key].dataType.simpleString()
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for cell in batch.itertuples(index=False):
-                keys, items_ = np.asarray(cell.l_keys), np.asarray(cell.r_keys)
-                scores = np.round(_matrix(cell.l_flat, len(keys)) @ _matrix(cell.r_flat, len(items_)).T, 9)
-                # items are in key order inside a block, so a stable sort breaks ties by key
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                width = order.shape[1]
-                yield pd.DataFrame(
-                    {
-                        query_key: np.repeat(keys, width),
-                        "item": items_[order].ravel(),
-                        "score": np.take_along_axis(scores, order, axis=1).ravel(),
-                    }
-                )
-
-    cells = grid.select("l_keys", "l_flat", "r_keys", "r_flat").mapInPandas(
+        block = None
+
+        def told() -> pd.DataFrame:
+            width = top_scores.shape[1]
+            return pd.DataFrame({query_key: np.repeat(keys, width), "item": top_items.ravel(), "score": top_scores.ravel()})
+
+        for cell in _cells(batches):
+            if cell.l_block != block:
+                if block is not None:
+                    yield told()
+                block, keys = cell.l_block, np.asarray(cell.l_keys)
+                matrix, top_scores, top_items = _matrix(cell.l_flat, len(keys)), None, None
+            items_ = np.asarray(cell.r_keys)
+            scores = np.round(matrix @ _matrix(cell.r_flat, len(items_)).T, 9)
+            if top_scores is None or top_scores.shape[1] < k:
+                rows_, names = np.arange(len(keys)), np.broadcast_to(items_, scores.shape)
+            else:
+                # only queries with an item that may take the last place or a place before it
+                rows_ = np.flatnonzero(~(scores.max(axis=1) < top_scores[:, -1]))
+                names, scores = np.broadcast_to(items_, (len(rows_), len(items_))), scores[rows_]
+            if top_scores is not None:
+                scores, names = np.hstack([top_scores[rows_], scores]), np.hstack([top_items[rows_], names])
+            order = np.lexsort((names, -scores), axis=1)[:, :k]
+            scores, names = np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
+            if len(rows_) == len(keys):
+                top_scores, top_items = scores, names
+            else:
+                top_scores[rows_], top_items[rows_] = scores, names
+        if block is not None:
+            yield told()
+
+    cells = grid.select("l_block", "l_keys", "l_flat", "r_keys", "r_flat").mapInPandas(
         best, f"{query_key} {q_type}, item {i_type}, score double"
     )
     # per-partition top k before the shuffle, so a query never gathers all its candidates

@@ -3,10 +3,12 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry_module
 from scenetally.operators import captions as ca
+from scenetally.operators import vectors as ve
 
 
 def test_box_geometry_large_asks_for_both_sides(spark, tmp_path):
@@ -59,3 +61,21 @@ def test_cider_over_several_blocks_equals_one(spark, monkeypatch):
     monkeypatch.setattr(ca, "BLOCK_TOKENS", 7)
     many = {r.item: r.cider for r in ca.cider(*args).collect()}
     assert len(one) == 20 and many == pytest.approx(one, abs=1e-12) and all(math.isfinite(v) for v in one.values())
+
+
+def test_grid_reads_blocks_without_a_shuffle_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(ve, "LEFT_PARTS", 3)
+    monkeypatch.setattr(ve, "RIGHT_BLOCKS", 2)
+    vectors = np.random.default_rng(5).integers(-2, 3, size=(90, 3)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), (i * 7) % 90) for i, v in enumerate(vectors)], "k long, v array<double>, target long")
+    grid = ve.score_grid(df, df.select("k", "v"), "k", "k", "v", 10)
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert grid.count() == 81 and "CartesianProduct" in plan and "Exchange" not in plan
+    scores = vectors @ vectors.T
+    got = {}
+    for r in ve.top_matches(df, df, "k", "k", "v", 4, 10).orderBy("k", "rank").collect():
+        got.setdefault(r.k, []).append((r.item, r.score))
+    ranks = {r.k: r["rank"] for r in ve.rank_of_target(df, df, "k", "k", "v", "target", 10).collect()}
+    for i in range(90):
+        best = sorted(range(90), key=lambda j: (-scores[i, j], j))
+        assert got[i] == [(j, scores[i, j]) for j in best[:4]] and ranks[i] == best.index((i * 7) % 90) + 1
