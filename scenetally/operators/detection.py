@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from scenetally.operators.ordered import scan_slices, sliced
+from scenetally.operators.ordered import order_columns, scan_slices, sliced
 from scenetally.session import pin
 
 # Area ranges in pixels and IoU levels of the detection benchmarks.
@@ -81,37 +87,148 @@ def weighted_map(aps: DataFrame) -> DataFrame:
     )
 
 
-def wide_curves(flags: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """Curves of all n settings of a tp / fp array at once: cum_i (true positives so far) and env_i per setting.
+def _pieces(batches: Iterator[pa.RecordBatch], cls: str, n: int) -> Iterator[tuple[int, object, dict[str, np.ndarray]]]:
+    """(slice, class, columns) of the runs of one class in the batches of a slice, tp and fp with one column a setting."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        runs = pc.run_end_encode(batch.column(cls))
+        columns = {c: batch.column(c).flatten().to_numpy().reshape(-1, n) for c in ("tp", "fp")}
+        for c in batch.schema.names:
+            if c == "n_pos":
+                columns[c] = batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1)
+            elif c == "place":
+                columns[c] = batch.column(c).to_numpy()
+        start, number = 0, batch.column("_slice")[0].as_py()
+        for key, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            yield number, key, {c: v[start:end] for c, v in columns.items()}
+            start = end
+
+
+def _precision(piece: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(true positives so far, precision, totals after the piece) from the tp and fp totals before it."""
+    tp, fp = (np.cumsum(piece[c], axis=0, dtype=np.int64) + b for c, b in zip(("tp", "fp"), before))
+    return tp, np.divide(tp, tp + fp, out=np.zeros(tp.shape), where=tp + fp > 0), np.stack([tp[-1], fp[-1]])
+
+
+def _edges(parts: DataFrame, cls: str, n: int, value: Callable, fold: Callable) -> dict[int, list[tuple]]:
+    """Per slice (class, folded values) of its first and, where there are more, its last class."""
+    field, kind = parts.schema[cls].dataType.simpleString(), to_arrow_type(parts.schema[cls].dataType)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ends = None, []
+        for number, key, piece, got in value(_pieces(batches, cls, n)):
+            if ends and ends[-1][0] == key:
+                ends[-1] = (key, fold(ends[-1][1], got))
+            else:
+                ends = [*ends[:1], (key, got)]
+        if ends:
+            cells = pa.array([np.ravel(v).astype(float) for _, v in ends], pa.list_(pa.float64()))
+            where = [pa.array([number] * len(ends), pa.int32()), pa.array(range(len(ends)), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*where, pa.array([k for k, _ in ends], kind), cells], names=["_slice", "no", cls, "v"])
+
+    out = {}
+    # at most two rows a slice
+    for row in sorted(parts.mapInArrow(scan, f"_slice int, no int, {cls} {field}, v array<double>").collect(), key=lambda r: r[:2]):
+        out.setdefault(row[0], []).append((row[2], np.array(row[3])))
+    return out
+
+
+def _carried(edges: dict[int, list[tuple]], fold: Callable, back: bool) -> dict[int, np.ndarray]:
+    """What earlier slices give the first class of a slice, or later ones its last class."""
+    carried, key, held = {}, None, None
+    for number in sorted(edges, reverse=not back):
+        ends = edges[number] if back else edges[number][::-1]
+        if held is not None and ends[0][0] == key:
+            carried[number] = held
+        key, held = ends[-1]
+        if len(ends) == 1 and number in carried:
+            held = fold(carried[number], held)
+    return carried
+
+
+def curve_sums(
+    flags: DataFrame, cls: str, order: list[str], n: int, positives: DataFrame | None = None, area_of: list[int] = (), limits: list[int] = ()
+) -> DataFrame:
+    """Per class and setting i of a tp / fp array: step, the envelope summed over the true positives, its top and the count found.
 
-    All settings rank the same detections, so they share one ordering instead of n copies of the rows.
+    With ``positives`` (n_pos array per class) the k-th of n true positives counts 100k div n - 100(k-1) div n times, n being
+    entry ``area_of[i]``. found_m counts those of a place up to m. All settings rank the same detections, so they share one
+    ordering: a slice is read once for its totals, once for its best precision and once for the sums, and only the values
+    of its first and last class go from slice to slice.
     """
     names = [o.removeprefix("-") for o in order]
-    parts = sliced(flags.select(*keys, *names, "tp", "fp"), keys, order)
-    cells = parts.select(
-        *keys, *names, "_slice",
-        *[F.col("tp")[i].cast("long").alias(f"tp_{i}") for i in range(n)],
-        *[F.col("fp")[i].cast("long").alias(f"fp_{i}") for i in range(n)],
-    )
-    sums = {f"cum_{i}": ("sum", f"tp_{i}") for i in range(n)} | {f"miss_{i}": ("sum", f"fp_{i}") for i in range(n)}
-    summed = scan_slices(cells, keys, order, sums)
-    rated = summed.select(
-        *keys, *names, "_slice", *[f"tp_{i}" for i in range(n)], *[f"cum_{i}" for i in range(n)],
-        *[F.coalesce(F.try_divide(f"cum_{i}", F.col(f"cum_{i}") + F.col(f"miss_{i}")), F.lit(0.0)).alias(f"p_{i}") for i in range(n)],
-    )
-    return scan_slices(rated, keys, order, {f"env_{i}": ("max_after", f"p_{i}") for i in range(n)})
+    ranged = flags.select(cls, *names, "tp", "fp").repartitionByRange(F.col(cls), *order_columns(order))
+    whole = ranged.sortWithinPartitions(F.col(cls), *order_columns(order)).withColumn("_slice", F.spark_partition_id())
+    parts = pin(whole.select("_slice", cls, *(["place"] if limits else []), "tp", "fp"))
+    none, kind = np.zeros((2, n)), to_arrow_type(flags.schema[cls].dataType)
+
+    def forward(pieces, back: dict[int, np.ndarray]) -> Iterator[tuple]:
+        last, before = None, None
+        for number, key, piece in pieces:
+            if before is None:
+                before = back.get(number, none).reshape(2, n).astype(np.int64)
+            elif key != last:
+                before = none.astype(np.int64)
+            start, last = before, key
+            cum, precision, before = _precision(piece, before)
+            yield number, key, piece, start, precision
+
+    def totals(pieces):
+        for number, key, piece in pieces:
+            yield number, key, piece, np.stack([piece[c].sum(axis=0, dtype=np.int64) for c in ("tp", "fp")])
+
+    back = _carried(_edges(parts, cls, n, totals, np.add), np.add, True)
+
+    def peaks(pieces):
+        for number, key, piece, _, precision in forward(pieces, back):
+            yield number, key, piece, precision.max(axis=0)
+
+    ahead = _carried(_edges(parts, cls, n, peaks, np.maximum), np.maximum, False)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the flags of one slice, of a byte each
+        held = [(number, key, piece, start) for number, key, piece, start, _ in forward(_pieces(batches, cls, n), back)]
+        top, following, out = None, None, {}
+        for number, key, piece, start in reversed(held):
+            if top is None:
+                top = ahead.get(number, np.zeros(n))
+            elif key != following:
+                top = np.zeros(n)
+            following = key
+            cum, precision, _ = _precision(piece, start)
+            envelope = np.maximum(np.maximum.accumulate(precision[::-1], axis=0)[::-1], top)
+            top, hit = envelope[0], piece["tp"] == 1
+            weight = hit
+            if "n_pos" in piece:
+                most = piece["n_pos"][0][list(area_of)]
+                n_pos = np.maximum(most, 1)
+                weight = np.where(hit & (most > 0), 100 * cum // n_pos - (100 * cum - 100) // n_pos, 0)
+            got = [(envelope * weight).sum(axis=0), top, hit.sum(axis=0), *[(hit & (piece["place"] <= m)[:, None]).sum(axis=0) for m in limits]]
+            if key in out:
+                old = out[key]
+                got = [old[0] + got[0], np.maximum(old[1], got[1]), *[a + b for a, b in zip(old[2:], got[2:])]]
+            out[key] = got
+        if out:
+            keys = pa.array([k for k in out for _ in range(n)], kind)
+            columns = [pa.array(np.concatenate(v)) for v in zip(*out.values())]
+            place = pa.array(np.tile(np.arange(n, dtype=np.int32), len(out)))
+            yield pa.RecordBatch.from_arrays([keys, place, *columns], names=[cls, "i", "step", "top", *found])
+
+    found = ["found", *[f"found_{m}" for m in limits]]
+    # the closed list of classes
+    read = parts if positives is None else parts.join(F.broadcast(positives), cls)
+    schema = f"{cls} {flags.schema[cls].dataType.simpleString()}, i int, step double, top double, " + ", ".join(f"{c} long" for c in found)
+    return read.mapInArrow(sums, schema).groupBy(cls, "i").agg(F.sum("step").alias("step"), F.max("top").alias("top"), *[F.sum(c).alias(c) for c in found])
 
 
 def wide_area_ap(flags: DataFrame, cls: str, order: list[str], thresholds: list[float], positives: DataFrame) -> DataFrame:
     """Area AP per (class, threshold) from a tp / fp array over the thresholds."""
-    n = len(thresholds)
-    curves = wide_curves(flags, [cls], order, n)
-    steps = curves.groupBy(cls).agg(
-        F.array(*[F.sum(F.when(F.col(f"tp_{i}") == 1, F.col(f"env_{i}")).otherwise(0.0)) for i in range(n)]).alias("step")
+    steps = curve_sums(flags, cls, order, len(thresholds))
+    level = F.get(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("i"))
+    return steps.join(positives, cls, "left").select(
+        cls, level.alias("threshold"), F.coalesce(F.try_divide("step", "n_pos"), F.lit(0.0)).alias("ap"), F.coalesce("n_pos", F.lit(0)).alias("n_pos")
     )
-    levels = F.array(*[F.lit(float(t)) for t in thresholds])
-    long = steps.join(positives, cls, "left").select(cls, "n_pos", F.explode(F.arrays_zip(levels.alias("threshold"), "step")).alias("s"))
-    return long.select(cls, "s.threshold", F.coalesce(F.try_divide("s.step", "n_pos"), F.lit(0.0)).alias("ap"), F.coalesce("n_pos", F.lit(0)).alias("n_pos"))
 
 
 def valid_truths(truths: DataFrame, cls: str, areas: dict[str, tuple[float, float]]) -> DataFrame:
@@ -137,33 +254,19 @@ def coco_ap(
     cells = [(a, j, t) for j, a in enumerate(areas) for t in levels]
     positives = valid_truths(truths, cls, areas)
     # pinned, or the sampling for the range partitioning would run the Python match a second time
-    curves = wide_curves(pin(flags), [cls], [f"-{score}", image, "place"], len(cells))
-    counted = curves.join(positives, cls)
-
-    def share(i: int, j: int) -> Column:
-        k, n = F.col(f"cum_{i}") * 100, F.col("n_pos")[j]
-        read = F.floor(F.try_divide(k, n)) - F.floor(F.try_divide(k - 100, n))
-        return F.coalesce(F.sum(F.when(F.col(f"tp_{i}") == 1, F.col(f"env_{i}") * read)), F.lit(0.0))
-
-    got = counted.groupBy(cls).agg(
-        F.array(*[(share(i, j) + F.max(f"env_{i}")) / len(RECALL_LEVELS) for i, (_, j, _t) in enumerate(cells)]).alias("ap"),
-        F.array(*[F.max(f"cum_{i}") for i in range(len(cells))]).alias("found"),
-        *[
-            F.array(*[F.sum(F.when(F.col("place") <= m, F.col(f"tp_{i}"))) for i in range(len(cells))]).alias(f"found_{m}")
-            for m in limits
-        ],
-    )
+    order = [f"-{score}", image, "place"]
+    used = flags.select(image, cls, score, "place", "tp", "fp")
+    got = curve_sums(pin(used), cls, order, len(cells), positives, [j for _, j, _t in cells], list(limits))
     names = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(j).alias("j"), F.lit(float(t)).alias("threshold")) for a, j, t in cells])
-    rows = positives.join(got, cls, "left").select(
-        cls, "n_pos", "ap", "found", *[f"found_{m}" for m in limits], F.posexplode(names).alias("i", "c")
-    )
+    rows = positives.select(cls, "n_pos", F.posexplode(names).alias("i", "c")).join(got, [cls, "i"], "left")
     n = F.col("n_pos")[F.col("c.j")]
 
     def recall(found: str) -> Column:
-        return F.coalesce(F.try_divide(F.get(found, F.col("i")), n), F.lit(0.0))
+        return F.coalesce(F.try_divide(F.col(found), n), F.lit(0.0))
 
+    ap = F.coalesce((F.col("step") + F.col("top")) / len(RECALL_LEVELS), F.lit(0.0))
     return rows.select(
-        cls, "c.area", "c.threshold", n.alias("n_pos"), F.coalesce(F.get("ap", F.col("i")), F.lit(0.0)).alias("ap"),
+        cls, "c.area", "c.threshold", n.alias("n_pos"), ap.alias("ap"),
         recall("found").alias("recall"), *[recall(f"found_{m}").alias(f"recall_{m}") for m in limits],
     ).where("n_pos > 0")
 

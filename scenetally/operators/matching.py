@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,29 +19,72 @@ from scenetally.functions.boxes import Box
 CORNERS = ["x1", "y1", "x2", "y2"]
 
 
-def _suppressed(sorted_boxes: Column, iou: float, offset: float) -> Column:
-    """Greedy fold over boxes in score order: a box stays unless a kept one overlaps it by more than ``iou``."""
+def _clash(a: np.ndarray, b: np.ndarray, iou: float, offset: float) -> np.ndarray:
+    """Overlap of more than ``iou``; a missing corner overlaps nothing."""
+    w = np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0]) + offset
+    h = np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]) + offset
+    common = np.maximum(w, 0.0) * np.maximum(h, 0.0)
+    size_a, size_b = ((c[:, 2] - c[:, 0] + offset) * (c[:, 3] - c[:, 1] + offset) for c in (a, b))
+    union = size_a + size_b - common
+    return np.divide(common, union, out=np.zeros_like(common), where=union != 0) > iou
+
 
-    def step(kept: Column, b: Column) -> Column:
-        clash = F.exists(kept, lambda k: Box.field(k).iou(Box.field(b), offset) > iou)
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(b)))
+def nms_groups(boxes: np.ndarray, sizes: np.ndarray, iou: float, offset: float) -> np.ndarray:
+    """Boxes that stay in a greedy pass over each group, whose boxes are in score order; groups follow each other.
 
-    return F.aggregate(sorted_boxes, F.slice(sorted_boxes, 1, 0), step)
+    A box that no undecided earlier one overlaps stays and takes out those it overlaps; all such boxes go in one round.
+    """
+    out = np.zeros(len(boxes), dtype=bool)
+    if len(sizes) == 1 and sizes[0] ** 2 > PAIRS_AT_ONCE:
+        for i in range(len(boxes) - 1):
+            if not out[i]:
+                out[i + 1 :] |= _clash(boxes[i : i + 1], boxes[i + 1 :], iou, offset)
+        return ~out
+    a, b = _group_pairs(sizes, sizes)
+    a, b = a[a < b], b[a < b]
+    near = _clash(boxes[a], boxes[b], iou, offset)
+    a, b = a[near], b[near]
+    while len(a):
+        open_ = np.zeros(len(boxes), dtype=bool)
+        open_[b] = True
+        out[b[~open_[a]]] = True
+        left = ~out[a] & ~out[b]
+        a, b = a[left], b[left]
+    return ~out
+
+
+def _judged(boxes: DataFrame, image: str, cls: str, box: str, score: str, iou: float, offset: float) -> DataFrame:
+    """Every box with ``_kept``, whether it stays after suppression inside its (image, class); _s is the negative score."""
+    corners = [F.col(c).cast("double").alias(c) for c in CORNERS]
+    entry = F.struct(F.col(cls).alias("_c"), (-F.col(score)).alias("_s"), F.col(box).alias("_b"), *corners)
+    packed = boxes.groupBy(image).agg(F.array_sort(F.collect_list(entry)).alias("_boxes"))
+    types = {f.name: f.dataType.simpleString() for f in packed.schema["_boxes"].dataType.elementType.fields}
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for run in _runs(_sizes(whole.column("_boxes")) ** 2):
+                batch = whole.slice(run.start, run.stop - run.start)
+                sizes, flat = _sizes(batch.column("_boxes")), batch.column("_boxes").flatten()
+                group = np.repeat(np.arange(len(sizes)), sizes)
+                at = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in CORNERS], axis=1)
+                # the boxes of an image come class by class
+                code = pc.fill_null(flat.field("_c").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(np.append(True, (np.diff(group) != 0) | (np.diff(code) != 0)))
+                kept = pa.array(nms_groups(at, np.diff(np.append(starts, len(at))), iou, offset))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(image).take(pa.array(group)), *[flat.field(c) for c in types], kept], names=[image, *types, "_kept"]
+                )
+
+    key = f"{image} {boxes.schema[image].dataType.simpleString()}, "
+    return packed.mapInArrow(judge, key + ", ".join(f"{c} {k}" for c, k in types.items()) + ", _kept boolean")
 
 
 def class_nms(
     boxes: DataFrame, image: str, cls: str, box: str, score: str, iou: float, offset: float = 0.0
 ) -> DataFrame:
     """Boxes left after suppression inside each (image, class)."""
-    packed = boxes.groupBy(image, cls).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct((-F.col(score)).alias("s"), F.col(box).alias("b"), *[F.col(c).cast("double").alias(c) for c in CORNERS])
-            )
-        ).alias("_boxes")
-    )
-    kept = packed.select(image, cls, F.explode(_suppressed(F.col("_boxes"), iou, offset)).alias("k"))
-    return kept.select(image, cls, F.col("k.b").alias(box), *[f"k.{c}" for c in CORNERS], (-F.col("k.s")).alias(score))
+    kept = _judged(boxes, image, cls, box, score, iou, offset).where("_kept")
+    return kept.select(image, F.col("_c").alias(cls), F.col("_b").alias(box), *CORNERS, (-F.col("_s")).alias(score))
 
 
 def _bounded_pick(scored: DataFrame, image: str, box: str, conf: float, minimum: int, maximum: int) -> DataFrame:
@@ -74,9 +118,12 @@ def select_boxes_all_classes(
 ) -> DataFrame:
     """Suppression under every class; a box counts with its best surviving confidence, 0 if it survives nowhere."""
     fore = scores if background is None else scores.where(F.col(cls) != background)
-    kept = class_nms(fore, image, cls, box, score, iou).groupBy(image, box).agg(F.max(score).alias("_c"))
-    every = scores.select(image, box).distinct().join(kept, [image, box], "left")
-    return _bounded_pick(every.select(image, box, F.coalesce("_c", F.lit(0.0)).alias("conf")), image, box, conf, minimum, maximum)
+    judged = _judged(fore, image, cls, box, score, iou, 0.0)
+    every = judged.select(image, F.col("_b").alias(box), F.when(F.col("_kept"), -F.col("_s")).alias("_conf"))
+    if background is not None:
+        every = every.unionByName(scores.select(image, box, F.lit(None).cast(every.schema["_conf"].dataType).alias("_conf")))
+    best = every.groupBy(image, box).agg(F.coalesce(F.max("_conf"), F.lit(0.0)).alias("conf"))
+    return _bounded_pick(best, image, box, conf, minimum, maximum)
 
 
 def overlaps(
@@ -184,58 +231,111 @@ def _packed_images(
     )
 
 
-def _numbers(values, n: int | None = None) -> np.ndarray:
-    if values is None:
-        return np.zeros(0)
-    return np.asarray(values, dtype=float)
+PAIRS_AT_ONCE = 200_000
 
 
-def iou_matrix(a: np.ndarray, b: np.ndarray, crowd: np.ndarray | None = None) -> np.ndarray:
-    """Continuous IoU of (n, 4) and (m, 4); against a crowd box the union is the detection alone."""
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+def _runs(cost: np.ndarray) -> Iterator[slice]:
+    """Runs of consecutive groups of about ``PAIRS_AT_ONCE`` pairs; a larger group is a run of its own."""
+    total, start = np.cumsum(cost), 0
+    while start < len(cost):
+        done = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, done + PAIRS_AT_ONCE, "right")))
+        yield slice(start, end)
+        start = end
+
+
+def _group_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (left, right) of all pairs inside each group; the rows of the groups follow each other on both sides."""
+    n = left * right
+    group = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(group)) - (np.cumsum(n) - n)[group]
+    width = right[group]
+    return (np.cumsum(left) - left)[group] + inside // width, (np.cumsum(right) - right)[group] + inside % width
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _values(lists: pa.Array) -> np.ndarray:
+    """All values of a list column one after the other, a missing one is NaN."""
+    return lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _corners(batch: pa.RecordBatch, side: str) -> np.ndarray:
+    return np.stack([_values(batch.column(f"{side}_{c}")) for c in CORNERS], axis=1)
+
+
+def _pair_iou(a: np.ndarray, b: np.ndarray, crowd: np.ndarray | None = None) -> np.ndarray:
+    """Continuous IoU of boxes in the last axis; against a crowd box the union is the detection alone."""
+    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
     common = np.clip(w, 0, None) * np.clip(h, 0, None)
-    size_a = ((a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1]))[:, None]
-    size_b = ((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]))[None, :]
+    size_a = (a[..., 2] - a[..., 0]) * (a[..., 3] - a[..., 1])
+    size_b = (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
     union = size_a + size_b - common
     if crowd is not None:
-        union = np.where(crowd[None, :], size_a, union)
+        union = np.where(crowd, size_a, union)
     return np.divide(common, union, out=np.zeros_like(common), where=union > 0)
 
 
-def coco_match_one(iou, areas, crowd, truth_areas, thresholds, ranges):
-    """Greedy match of one image and category, detections in score order.
+def iou_matrix(a: np.ndarray, b: np.ndarray, crowd: np.ndarray | None = None) -> np.ndarray:
+    """Continuous IoU of (n, 4) and (m, 4)."""
+    return _pair_iou(a[:, None, :], b[None, :, :], None if crowd is None else crowd[None, :])
 
-    Returns (matched, ignored) of shape (ranges, thresholds, detections). A detection takes the free truth of largest
-    overlap at or above the threshold; truths in the area range go before ignored ones; a crowd can be taken again and
-    again. All ranges and thresholds are matched side by side.
+
+def coco_match_groups(det, truth, iou, place, areas, crowd, truth_areas, thresholds, ranges):
+    """Greedy match of many images and categories side by side, detections of each in score order.
+
+    Pairs are (det, truth, iou) by row number, ``place`` is the place of a detection in its own group. Returns (matched,
+    ignored) of shape (detections, ranges, thresholds). A detection takes the free truth of largest overlap at or above
+    the threshold; truths in the area range go before ignored ones; a crowd can be taken again and again. The n-th
+    detections of all groups, all ranges and all thresholds are matched at once.
     """
-    n_d, n_g = iou.shape
-    low, high = np.array([r[0] for r in ranges])[:, None], np.array([r[1] for r in ranges])[:, None]
-    outside = ((areas < low) | (areas > high))[:, None, :]
-    shape = (len(ranges), len(thresholds), n_d)
-    if n_g == 0:
-        return np.zeros(shape, dtype=bool), np.broadcast_to(outside, shape).copy()
-    off_range = ((truth_areas < low) | (truth_areas > high) | crowd)[:, None, :]
-    level = np.minimum(np.asarray(thresholds), 1 - 1e-10)[None, :, None]
-    free = np.ones((len(ranges), len(thresholds), n_g), dtype=bool)
-    matched, ignored = np.zeros(shape, dtype=bool), np.zeros(shape, dtype=bool)
-    for i in range(n_d):
-        allowed = (free | crowd) & (iou[i] >= level)
-        # in-range truths go before ignored ones whatever their overlap
-        counted = np.where(allowed & ~off_range, iou[i], -1.0)
-        leftover = np.where(allowed & off_range, iou[i], -1.0)
-        worth = np.where((counted >= 0).any(axis=2)[:, :, None], counted, leftover)
-        choice = n_g - 1 - worth[:, :, ::-1].argmax(axis=2)  # equal overlaps: the later truth wins
-        hit = allowed.any(axis=2)
-        matched[:, :, i] = hit
-        skipped = np.take_along_axis(np.broadcast_to(off_range, free.shape), choice[:, :, None], 2)[:, :, 0]
-        ignored[:, :, i] = np.where(hit, skipped, outside[:, :, i])
-        r_ix, t_ix = np.nonzero(hit)
-        free[r_ix, t_ix, choice[r_ix, t_ix]] = False
+    low, high = np.array([r[0] for r in ranges]), np.array([r[1] for r in ranges])
+    level = np.minimum(np.asarray(thresholds), 1 - 1e-10)
+    outside = (areas[:, None] < low) | (areas[:, None] > high)
+    matched = np.zeros((len(areas), len(ranges), len(thresholds)), dtype=bool)
+    ignored = np.repeat(outside[:, :, None], len(thresholds), axis=2)
+    near = iou >= level.min()
+    det, truth, iou = det[near], truth[near], iou[near]
+    # the pairs of a detection in rising worth: the larger overlap, then the later truth
+    order = np.lexsort((truth, iou, det, place[det]))
+    det, truth, iou = det[order], truth[order], iou[order]
+    n = len(det)
+    if n == 0:
+        return matched, ignored
+    wide = truth_areas[truth][:, None]
+    counted = ~((wide < low) | (wide > high) | crowd[truth][:, None])
+    # in-range truths go before ignored ones whatever their overlap
+    worth = np.arange(n)[:, None] + n * counted
+    allowed = iou[:, None] >= level
+    free = np.ones((len(crowd), len(ranges), len(thresholds)), dtype=bool)
+    turns = place[det]
+    ends = np.flatnonzero(np.append(np.diff(turns), 1)) + 1
+    start = 0
+    for end in ends:
+        here, these = det[start:end], truth[start:end]
+        can = allowed[start:end, None, :] & (free[these] | crowd[these][:, None, None])
+        first = np.flatnonzero(np.append(1, np.diff(here)))
+        best = np.maximum.reduceat(np.where(can, worth[start:end, :, None], -1), first, axis=0)
+        hit, rows = best >= 0, here[first]
+        matched[rows] = hit
+        ignored[rows] = np.where(hit, best < n, ignored[rows])
+        _, r_ix, t_ix = np.nonzero(hit)
+        free[truth[best[hit] % n], r_ix, t_ix] = False
+        start = end
     return matched, ignored
 
 
+def coco_match_one(iou, areas, crowd, truth_areas, thresholds, ranges):
+    """The same for the overlaps of one image and category; (matched, ignored) have shape (ranges, thresholds, detections)."""
+    n_d, n_g = iou.shape
+    det, truth = np.repeat(np.arange(n_d), n_g), np.tile(np.arange(n_g), n_d)
+    both = coco_match_groups(det, truth, iou.ravel(), np.arange(n_d), areas, crowd, truth_areas, thresholds, ranges)
+    return tuple(np.moveaxis(x, 0, 2) for x in both)
+
+
 def coco_match_wide(
     dets: DataFrame, truths: DataFrame, image: str, cls: str, det_id: str, score: str,
     thresholds: list[float], areas: dict[str, tuple[float, float]], max_dets: int = 100,
@@ -255,33 +355,35 @@ def coco_match_wide(
     ranges, levels = list(areas.values()), [float(t) for t in thresholds]
     fields = {f.name: f.dataType.simpleString() for f in dets.schema.fields}
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            columns = {c: [] for c in (image, cls, det_id, score, "place", "tp", "fp")}
-            for row in batch.itertuples(index=False):
-                d = np.stack([_numbers(getattr(row, f"d_{c}")) for c in CORNERS], axis=1)
-                if row.g_id is None:
-                    g, crowd, g_area = np.zeros((0, 4)), np.zeros(0, dtype=bool), np.zeros(0)
-                else:
-                    g = np.stack([_numbers(getattr(row, f"g_{c}")) for c in CORNERS], axis=1)
-                    crowd, g_area = np.asarray(row.g_crowd, dtype=bool), _numbers(row.g_area)
-                d_area = (d[:, 2] - d[:, 0]) * (d[:, 3] - d[:, 1])
-                hit, skip = coco_match_one(iou_matrix(d, g, crowd), d_area, crowd, g_area, levels, ranges)
-                n = len(d)
-                columns[image] += [getattr(row, image)] * n
-                columns[cls] += [getattr(row, cls)] * n
-                columns[det_id] += list(row.d_id)
-                columns[score] += list(row.d_score)
-                columns["place"] += list(row.d__r)
-                columns["tp"] += list((hit & ~skip).reshape(-1, n).T.astype("int8"))
-                columns["fp"] += list((~hit & ~skip).reshape(-1, n).T.astype("int8"))
-            yield pd.DataFrame(columns)
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for run in _runs(_sizes(whole.column("d_id")) * (1 + _sizes(whole.column("g_id")))):
+                batch = whole.slice(run.start, run.stop - run.start)
+                n_d, n_g = _sizes(batch.column("d_id")), _sizes(batch.column("g_id"))
+                d, g = _corners(batch, "d"), _corners(batch, "g")
+                crowd = pc.fill_null(batch.column("g_crowd").flatten(), False).to_numpy(zero_copy_only=False).astype(bool)
+                det, truth = _group_pairs(n_d, n_g)
+                place = np.arange(len(d)) - np.repeat(np.cumsum(n_d) - n_d, n_d)
+                size = (d[:, 2] - d[:, 0]) * (d[:, 3] - d[:, 1])
+                hit, skip = coco_match_groups(
+                    det, truth, _pair_iou(d[det], g[truth], crowd[truth]), place, size, crowd, _values(batch.column("g_area")), levels, ranges
+                )
+                group = pa.array(np.repeat(np.arange(len(n_d)), n_d))
+                ends = pa.array(np.arange(len(d) + 1, dtype=np.int32) * (len(ranges) * len(levels)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(image).take(group), batch.column(cls).take(group),
+                        *[batch.column(f"d_{c}").flatten() for c in ("id", "score", "_r")],
+                        *[pa.ListArray.from_arrays(ends, pa.array(x.ravel().astype(np.int8))) for x in (hit & ~skip, ~hit & ~skip)],
+                    ],
+                    names=[image, cls, det_id, score, "place", "tp", "fp"],
+                )
 
     schema = (
         f"{image} {fields[image]}, {cls} {fields[cls]}, {det_id} {fields[det_id]}, {score} {fields[score]}, place int, "
         "tp array<tinyint>, fp array<tinyint>"
     )
-    return packed.mapInPandas(match, schema)
+    return packed.mapInArrow(match, schema)
 
 
 def coco_match(
@@ -295,16 +397,26 @@ def coco_match(
     return rows.select(image, cls, "f.c.area", "f.c.threshold", det_id, score, "place", F.col("f.tp").cast("int").alias("tp"), F.col("f.fp").cast("int").alias("fp"))
 
 
-def cover_one(iou: np.ndarray) -> np.ndarray:
-    """Overlap of each truth (columns) when the globally best pair is taken and removed again and again."""
-    rest, got = iou.copy(), np.zeros(iou.shape[1])
-    for _ in range(min(iou.shape)):
-        best = rest.max(axis=0)
-        g = int(best.argmax())
-        d = int(rest[:, g].argmax())
-        got[g] = rest[d, g]
-        rest[d, :] = -1
-        rest[:, g] = -1
+def cover_groups(det: np.ndarray, truth: np.ndarray, iou: np.ndarray, n_truths: int) -> np.ndarray:
+    """Overlap of each truth when the best pair of its image is taken and removed again and again, for many images at once.
+
+    A pair that comes first for its detection and for its truth is taken by that order whatever else is left, so all such
+    pairs are taken in one round. Pairs without overlap add nothing.
+    """
+    got = np.zeros(n_truths)
+    near = iou > 0
+    det, truth, iou = det[near], truth[near], iou[near]
+    # equal overlaps: the earlier truth, then the earlier detection
+    order = np.lexsort((det, truth, -iou))
+    det, truth, iou = det[order], truth[order], iou[order]
+    while len(det):
+        _, first_d, of_d = np.unique(det, return_index=True, return_inverse=True)
+        _, first_t, of_t = np.unique(truth, return_index=True, return_inverse=True)
+        at = np.arange(len(det))
+        taken = (first_d[of_d] == at) & (first_t[of_t] == at)
+        got[truth[taken]] = iou[taken]
+        left = ~(taken[first_d][of_d] | taken[first_t][of_t])
+        det, truth, iou = det[left], truth[left], iou[left]
     return got
 
 
@@ -320,25 +432,25 @@ def optimal_cover(
     ).where("g_id IS NOT NULL")
     i_type, t_type = truths.schema[image].dataType.simpleString(), truths.schema["truth_id"].dataType.simpleString()
 
-    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            columns = {c: [] for c in (image, "limit", "truth_id", "cover")}
-            for row in batch.itertuples(index=False):
-                g = np.stack([_numbers(getattr(row, f"g_{c}")) for c in CORNERS], axis=1)
-                if row.d_x1 is None:
-                    d = np.zeros((0, 4))
-                else:
-                    d = np.stack([_numbers(getattr(row, f"d_{c}")) for c in CORNERS], axis=1)
-                iou = iou_matrix(d, g)
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for run in _runs((1 + _sizes(whole.column("d__r"))) * _sizes(whole.column("g_id"))):
+                batch = whole.slice(run.start, run.stop - run.start)
+                n_d, n_g = _sizes(batch.column("d__r")), _sizes(batch.column("g_id"))
+                d, g = _corners(batch, "d"), _corners(batch, "g")
+                det, truth = _group_pairs(n_d, n_g)
+                iou = _pair_iou(d[det], g[truth])
+                place = (np.arange(len(d)) - np.repeat(np.cumsum(n_d) - n_d, n_d))[det]
+                images = batch.column(image).take(pa.array(np.repeat(np.arange(len(n_g)), n_g)))
                 for limit in limits:
-                    columns[image].append(np.repeat(np.asarray([getattr(row, image)]), len(g)))
-                    columns["limit"].append(np.full(len(g), limit))
-                    columns["truth_id"].append(np.asarray(row.g_id))
-                    columns["cover"].append(cover_one(iou[:limit]))
-            if columns["cover"]:
-                yield pd.DataFrame({name: np.concatenate(parts) for name, parts in columns.items()})
-
-    return packed.mapInPandas(cover, f"{image} {i_type}, limit int, truth_id {t_type}, cover double")
+                    near = place < limit
+                    got = cover_groups(det[near], truth[near], iou[near], len(g))
+                    yield pa.RecordBatch.from_arrays(
+                        [images, pa.array(np.full(len(g), limit, dtype=np.int32)), batch.column("g_id").flatten(), pa.array(got)],
+                        names=[image, "limit", "truth_id", "cover"],
+                    )
+
+    return packed.mapInArrow(cover, f"{image} {i_type}, limit int, truth_id {t_type}, cover double")
 
 
 # Per-keypoint spreads of the 17 body points, times ten.

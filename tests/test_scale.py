@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry_module
 from scenetally.operators import captions as ca
+from scenetally.operators import detection as de
+from scenetally.operators import matching as ma
 from scenetally.operators import vectors as ve
 
 
@@ -79,3 +81,67 @@ def test_grid_reads_blocks_without_a_shuffle_of_cells(spark, monkeypatch):
     for i in range(90):
         best = sorted(range(90), key=lambda j: (-scores[i, j], j))
         assert got[i] == [(j, scores[i, j]) for j in best[:4]] and ranks[i] == best.index((i * 7) % 90) + 1
+
+
+def boxes_of(rng, n):
+    at = rng.integers(0, 8, (n, 2)).astype(float)
+    return np.concatenate([at, at + rng.integers(1, 9, (n, 2))], axis=1)
+
+
+def test_images_matched_side_by_side_equal_one_by_one():
+    rng = np.random.default_rng(8)
+    levels, ranges = [0.1, 0.3, 0.6], [(0, 1e9), (0, 20)]
+    n_d, n_g = rng.integers(0, 6, 40), rng.integers(0, 6, 40)
+    d, g = boxes_of(rng, n_d.sum()), boxes_of(rng, n_g.sum())
+    crowd = rng.random(len(g)) < 0.2
+    size = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    det, truth = ma._group_pairs(n_d, n_g)
+    place = np.arange(len(d)) - np.repeat(np.cumsum(n_d) - n_d, n_d)
+    got = ma.coco_match_groups(det, truth, ma._pair_iou(d[det], g[truth], crowd[truth]), place, size(d), crowd, size(g), levels, ranges)
+    cover = ma.cover_groups(det, truth, ma._pair_iou(d[det], g[truth]), len(g))
+    at_d, at_g = 0, 0
+    for a, b in zip(n_d, n_g):
+        one, other = slice(at_d, at_d + a), slice(at_g, at_g + b)
+        want = ma.coco_match_one(ma.iou_matrix(d[one], g[other], crowd[other]), size(d[one]), crowd[other], size(g[other]), levels, ranges)
+        assert all((np.moveaxis(x[one], 0, 2) == y).all() for x, y in zip(got, want))
+        rest = ma.iou_matrix(d[one], g[other])
+        best = np.zeros(b)
+        for _ in range(min(a, b)):
+            j = int(rest.max(axis=0).argmax())
+            i = int(rest[:, j].argmax())
+            best[j] = rest[i, j]
+            rest[i], rest[:, j] = -1, -1
+        assert (cover[other] == best).all()
+        at_d, at_g = at_d + a, at_g + b
+
+
+def test_suppression_side_by_side_equals_loops():
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 3, 1, 9, 14, 600])
+    boxes = boxes_of(rng, sizes.sum())
+    boxes[5, 0] = np.nan
+    stays, at = [], 0
+    for n in sizes:
+        kept = []
+        for i in range(at, at + n):
+            if not any(ma._clash(boxes[k : k + 1], boxes[i : i + 1], 0.3, 0.0)[0] for k in kept):
+                kept.append(i)
+        stays += kept
+        at += n
+    assert np.flatnonzero(ma.nms_groups(boxes, sizes, 0.3, 0.0)).tolist() == stays
+    alone = ma.nms_groups(boxes[-600:], sizes[-1:], 0.3, 0.0)
+    assert (np.flatnonzero(alone) + sizes[:-1].sum()).tolist() == [i for i in stays if i >= sizes[:-1].sum()]
+
+
+def test_curve_sums_over_slices_and_classes(spark, many_slices):
+    rng = np.random.default_rng(6)
+    rows = [(["a", "b", "c", None][int(k)], float(s), i, t.tolist(), (1 - t).tolist()) for i, (k, s, t) in enumerate(zip(rng.choice(4, 400, p=[0.8, 0.1, 0.05, 0.05]), rng.integers(0, 50, 400), rng.integers(0, 2, (400, 3))))]
+    df = spark.createDataFrame(rows, "cls string, score double, place int, tp array<tinyint>, fp array<tinyint>")
+    got = {(r.cls, r.i): (r.step, r.top, r.found, r.found_20) for r in de.curve_sums(df, "cls", ["-score", "place"], 3, limits=[20]).collect()}
+    assert len(got) == 12
+    for (cls, i), values in got.items():
+        some = sorted((r for r in rows if r[0] == cls), key=lambda r: (-r[1], r[2]))
+        tp = np.array([r[3][i] for r in some])
+        precision = np.cumsum(tp) / np.arange(1, len(tp) + 1)
+        envelope = np.maximum.accumulate(precision[::-1])[::-1]
+        assert values == pytest.approx(((envelope * tp).sum(), envelope[0], tp.sum(), sum(r[3][i] for r in some if r[2] <= 20)))
