@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scenetally.operators.ordered import running
 
 BEGIN, END = 2, 4  # marker flags
+LEVEL_STEP = 4  # cells of one level are 16 times as wide as those of the one below
 
 
 def marker_intervals(markers: DataFrame, key: str, at: str, flags: str, keep: list[str]) -> DataFrame:
@@ -26,6 +27,11 @@ def profile_start(tables: list[tuple[DataFrame, str]]) -> DataFrame:
     return out.agg(F.min("start").alias("start"))
 
 
+def interval_level(length: Column) -> Column:
+    """The exponent of the cell width of an interval, a multiple of ``LEVEL_STEP``."""
+    return (F.ceil(F.log2(length.cast("double")) / LEVEL_STEP) * LEVEL_STEP).cast("int")
+
+
 def enclosing(
     inner: DataFrame, outer: DataFrame, keys: list[str], lo: str, hi: str, start: str, end: str
 ) -> DataFrame:
@@ -33,15 +39,14 @@ def enclosing(
 
     An outer interval of length up to 2^k lies in at most two cells of width 2^k, so at its own level it is stored at most
     twice; an inner row looks into one cell per level in use. The join key then holds the cell, so neither one busy object
-    nor long intervals meet all rows of the object.
+    nor long intervals meet all rows of the object. Inner rows are copied once a level, so only every fourth power is one.
     """
     length = F.greatest(F.col(end) - F.col(start), F.lit(1))
-    level = F.ceil(F.log2(length.cast("double"))).cast("int")
-    ranked = outer.where(F.col(end) > F.col(start)).withColumn("_level", level)
+    ranked = outer.where(F.col(end) > F.col(start)).withColumn("_level", interval_level(length))
     width = F.pow(F.lit(2.0), F.col("_level"))
     cells = F.array_distinct(F.array(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))
     stored = ranked.select("*", F.explode(cells).alias("_cell"))
-    levels = ranked.agg(F.collect_set("_level").alias("l")).scalar()  # at most 64 values
+    levels = ranked.agg(F.collect_set("_level").alias("l")).scalar()  # at most 17 values
     probes = inner.withColumn("_levels", levels).select("*", F.explode("_levels").alias("_level")).drop("_levels")
     probes = probes.withColumn("_cell", F.floor(F.col(lo) / F.pow(F.lit(2.0), F.col("_level"))))
     joined = probes.join(stored, [*keys, "_level", "_cell"])

@@ -5,11 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from scenetally.operators import captions as ca
 from scenetally.operators import detection as de
 from scenetally.operators import matching as ma
+from scenetally.operators import traces as tr
 from scenetally.operators import vectors as ve
 
 
@@ -145,3 +147,17 @@ def test_curve_sums_over_slices_and_classes(spark, many_slices):
         precision = np.cumsum(tp) / np.arange(1, len(tp) + 1)
         envelope = np.maximum.accumulate(precision[::-1])[::-1]
         assert values == pytest.approx(((envelope * tp).sum(), envelope[0], tp.sum(), sum(r[3][i] for r in some if r[2] <= 20)))
+
+
+def test_enclosing_copies_a_row_once_a_step_of_levels(spark):
+    lengths = spark.createDataFrame([(k,) for k in (1, 2, 3, 16, 17, 255, 256, 257, 4097, 65536)], "n long")
+    got = {r.n: r.level for r in lengths.select("n", tr.interval_level(F.col("n")).alias("level")).collect()}
+    assert set(got.values()) == {0, 4, 8, 12, 16} and all(2**level >= n for n, level in got.items())
+    rng = np.random.default_rng(2)
+    outer = [(int(k % 2), int(s), int(s + n), i) for i, (k, s, n) in enumerate(zip(range(60), rng.integers(0, 3000, 60), 2 ** rng.integers(0, 12, 60)))]
+    inner = [(int(k % 2), int(x), int(x + 3), i) for i, (k, x) in enumerate(zip(range(200), rng.integers(0, 4000, 200)))]
+    pairs = tr.enclosing(
+        spark.createDataFrame(inner, "obj int, lo long, hi long, kid int"), spark.createDataFrame(outer, "obj int, s long, e long, id int"), ["obj"], "lo", "hi", "s", "e"
+    )
+    want = sorted((i[3], o[3]) for i in inner for o in outer if i[0] == o[0] and o[1] < i[1] and o[2] > i[2])
+    assert want and sorted((r.kid, r.id) for r in pairs.collect()) == want
