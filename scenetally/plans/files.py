@@ -151,6 +151,9 @@ def _(t):
     return rows.select("id", "image_id", "category_id", F.round("area", 3).alias("area"), F.col("bbox")[2].alias("w"), F.col("keypoints")[0].alias("kx"))
 
 
+XML_IMAGES = 50_000
+
+
 @query(
     "voc_xml",
     f"""WITH {D} SELECT image_id::VARCHAR AS image_id, category, x1 - 1 AS x1, y2 FROM boxes""",
@@ -160,7 +163,8 @@ def _(t):
     box = F.struct(F.col("x1").alias("xmin"), F.col("y1").alias("ymin"), F.col("x2").alias("xmax"), F.col("y2").alias("ymax"))
     rows = detections(t).groupBy("image_id").agg(F.collect_list(F.struct(F.col("category").alias("name"), F.lit(0).alias("difficult"), box.alias("bndbox"))).alias("object"))
     out = rows.select(F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("filename"), F.struct(F.lit(200).alias("width"), F.lit(100).alias("height")).alias("size"), "object")
-    out.write.format("xml").option("rowTag", "annotation").option("rootTag", "annotations").save(f"{base}/xml")
+    # a file is read in one piece
+    out.write.format("xml").option("maxRecordsPerFile", XML_IMAGES).option("rowTag", "annotation").option("rootTag", "annotations").save(f"{base}/xml")
     return sn.voc_xml(t.spark, f"{base}/xml").select("image_id", "category", "x1", "y2")
 
 

@@ -13,6 +13,7 @@ from scenetally.operators import detection as de
 from scenetally.operators import matching as ma
 from scenetally.operators import traces as tr
 from scenetally.operators import vectors as ve
+from scenetally.plans import files
 
 
 def test_box_geometry_large_asks_for_both_sides(spark, tmp_path):
@@ -161,3 +162,16 @@ def test_enclosing_copies_a_row_once_a_step_of_levels(spark):
     )
     want = sorted((i[3], o[3]) for i in inner for o in outer if i[0] == o[0] and o[1] < i[1] and o[2] > i[2])
     assert want and sorted((r.kid, r.id) for r in pairs.collect()) == want
+
+
+LINES = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+
+
+def test_xml_files_hold_few_images(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "XML_IMAGES", 2)
+    rows = [(i, j, 1, 1, 2.0, 100.0, 0.01, 0.02, "A", "F") for i in range(40) for j in (1, 2)]
+    spark.createDataFrame(rows, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(files, "_folder", lambda t: str(tmp_path))
+    assert entry_module.queries()["voc_xml"](spark, str(tmp_path)).count() == 80
+    texts = [p.read_text() for p in (tmp_path / "xml").glob("part-*")]
+    assert max(t.count("<filename>") for t in texts) == 2 and sum(t.count("<filename>") for t in texts) == 40
