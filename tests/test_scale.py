@@ -11,6 +11,7 @@ import __spark_entry__ as entry_module
 from scenetally.operators import captions as ca
 from scenetally.operators import detection as de
 from scenetally.operators import matching as ma
+from scenetally.operators import ordered
 from scenetally.operators import traces as tr
 from scenetally.operators import vectors as ve
 from scenetally.plans import files
@@ -175,3 +176,13 @@ def test_xml_files_hold_few_images(spark, tmp_path, monkeypatch):
     assert entry_module.queries()["voc_xml"](spark, str(tmp_path)).count() == 80
     texts = [p.read_text() for p in (tmp_path / "xml").glob("part-*")]
     assert max(t.count("<filename>") for t in texts) == 2 and sum(t.count("<filename>") for t in texts) == 40
+
+
+def test_positions_over_everything_shuffle_once(spark, many_slices):
+    df = spark.createDataFrame([((i * 37) % 101 if i % 9 else None, str(i)) for i in range(300)], "a int, b string")
+    placed = ordered.positions(df, [], ["a", "-b"])
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "ShuffledHashJoin" not in plan
+    rows = sorted(((r.a, r.b) for r in df.collect()), key=lambda r: r[1], reverse=True)
+    rows.sort(key=lambda r: (r[0] is not None, r[0]))
+    assert [(r.a, r.b, r.pos) for r in sorted(placed.collect(), key=lambda r: r.pos)] == [(*r, i) for i, r in enumerate(rows, 1)]
