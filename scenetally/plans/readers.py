@@ -22,10 +22,11 @@ from scenetally.sources import records as rc
 # ---- annotation documents ----------------------------------------------------------------------------------------
 
 DOCUMENT_IMAGES = 5000
+REF_ROWS = 500_000
 
 
 def annotation_documents(images: DataFrame, anns: DataFrame, cats: DataFrame, path: str) -> None:
-    """Annotation files of at most ``DOCUMENT_IMAGES`` images: one JSON document a file, each with all categories."""
+    """Annotation files of at most ``DOCUMENT_IMAGES`` images: one compressed JSON document a file, each with all categories."""
 
     def part(column: str):
         return F.floor(F.col(column) / DOCUMENT_IMAGES).alias("part")
@@ -34,7 +35,7 @@ def annotation_documents(images: DataFrame, anns: DataFrame, cats: DataFrame, pa
     bodies = anns.groupBy(part("image_id")).agg(F.collect_list(F.struct(*anns.columns)).alias("annotations"))
     every = cats.agg(F.collect_list(F.struct(*cats.columns))).scalar()
     docs = heads.join(bodies, "part", "left").select("images", "annotations", every.alias("categories"))
-    docs.write.option("maxRecordsPerFile", 1).json(path)
+    docs.write.option("maxRecordsPerFile", 1).json(path, compression="gzip")
 
 
 @query("coco_json_records", ORACLES["coco_annotation_records"])
@@ -66,7 +67,7 @@ def _(t):
         F.lit(100).alias("height"), F.lit(200).alias("width"), F.when(F.col("o_orderstatus") == "F", F.array(F.lit(7), F.lit(3))).alias("neg_category_ids"),
     )
     annotation_documents(images, anns.where(F.size(F.col("segmentation")[0]) == 6), cats, f"{base}/lvis")
-    tables = sn.json_tables(t.spark, f"{base}/lvis")
+    tables = sn.json_tables(t.spark, f"{base}/lvis", sn.LVIS_ANNOTATIONS)
     rec = sn.lvis_records(tables[0], tables[1], "root/")
     total = F.aggregate("annotations", F.lit(0).cast("long"), lambda acc, a: acc + a["category_id"])
     return rec.select(
@@ -94,7 +95,8 @@ def _(t):
     refs = anns.select(
         F.col("id").alias("ref_id"), F.col("id").alias("ann_id"), "category_id", "image_id", split.alias("split"), F.array(said(0, "left one"), said(1, "the big one")).alias("sentences")
     )
-    refs.write.json(f"{base}/refs")
+    # a compressed file is read in one piece
+    refs.write.option("maxRecordsPerFile", REF_ROWS).json(f"{base}/refs", compression="gzip")
     annotation_documents(images, anns, cats, f"{base}/instances")
     tables = sn.referring_tables(t.spark, f"{base}/refs", f"{base}/instances")
     wanted = sn.select_refs(tables["refs"], categories=[7], split="testA").select("ref_id", "ann_id", "category_id", "image_id")

@@ -14,7 +14,8 @@ from scenetally.operators import matching as ma
 from scenetally.operators import ordered
 from scenetally.operators import traces as tr
 from scenetally.operators import vectors as ve
-from scenetally.plans import files
+from scenetally.plans import files, readers
+from scenetally.sources import annotations as sn
 
 
 def test_box_geometry_large_asks_for_both_sides(spark, tmp_path):
@@ -186,3 +187,31 @@ def test_positions_over_everything_shuffle_once(spark, many_slices):
     rows = sorted(((r.a, r.b) for r in df.collect()), key=lambda r: r[1], reverse=True)
     rows.sort(key=lambda r: (r[0] is not None, r[0]))
     assert [(r.a, r.b, r.pos) for r in sorted(placed.collect(), key=lambda r: r.pos)] == [(*r, i) for i, r in enumerate(rows, 1)]
+
+
+def test_annotation_documents_are_compressed(spark, tmp_path):
+    images = spark.createDataFrame([(i, f"{i}.jpg", 1, 2) for i in range(3)], "id long, file_name string, height int, width int")
+    anns = spark.createDataFrame([(7, 1, 3, [0.0, 1.0, 2.0, 3.0])], "id long, image_id long, category_id int, bbox array<double>")
+    readers.annotation_documents(images, anns, spark.createDataFrame([(3, "c")], "id int, name string"), f"{tmp_path}/docs")
+    names = [p.name for p in (tmp_path / "docs").glob("part-*")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    read, rows, cats = sn.json_tables(spark, f"{tmp_path}/docs")
+    assert read.count() == 3 and cats.count() == 1 and [(r.id, r.bbox) for r in rows.collect()] == [(7, [0.0, 1.0, 2.0, 3.0])]
+
+
+def test_lvis_records_check_in_one_pass(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(i, i // 2, 1 + i % 3, [0.0, 0.0, 1.0, 1.0], [[0.0, 0.0, 1.0, 0.0, 1.0, 1.0]]) for i in range(20)]
+
+    def watched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "id long, image_id long, category_id int, bbox array<double>, segmentation array<array<double>>")
+    anns = df.mapInArrow(watched, df.schema)
+    images = spark.createDataFrame([(i, "http://x/val/1.jpg", 1, 1, None, None) for i in range(10)], "id long, coco_url string, height int, width int, neg_category_ids array<int>, not_exhaustive_category_ids array<int>")
+    records = sn.lvis_records(images, anns, "root/")
+    assert seen.value == 20 and {len(r.annotations) for r in records.collect()} == {2}
+    with pytest.raises(ValueError, match="annotation 4 has a broken polygon"):
+        sn.lvis_records(images, df.withColumn("segmentation", F.when(F.col("id") != 4, F.col("segmentation")).otherwise(F.array())), "root/")
