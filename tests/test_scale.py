@@ -14,7 +14,7 @@ from scenetally.operators import matching as ma
 from scenetally.operators import ordered
 from scenetally.operators import traces as tr
 from scenetally.operators import vectors as ve
-from scenetally.plans import files, readers
+from scenetally.plans import files, readers, registry
 from scenetally.sources import annotations as sn
 
 
@@ -215,3 +215,12 @@ def test_lvis_records_check_in_one_pass(spark):
     assert seen.value == 20 and {len(r.annotations) for r in records.collect()} == {2}
     with pytest.raises(ValueError, match="annotation 4 has a broken polygon"):
         sn.lvis_records(images, df.withColumn("segmentation", F.when(F.col("id") != 4, F.col("segmentation")).otherwise(F.array())), "root/")
+
+
+def test_shuffles_start_wide(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    registry.widen(spark)
+    assert int(spark.conf.get(key)) >= registry.START_PARTS
+    spark.conf.set(key, "5000")
+    assert registry.widen(spark).conf.get(key) == "5000"
+    spark.conf.unset(key)
