@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +16,11 @@ from scenetally.operators.ordered import positions, running
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 
+# grams of documents: text counted together, shuffle parts for each part read, and at most
+CHUNK_BYTES = 8 << 20
+GRAM_PARTS = 16
+MOST_PARTS = 2048
+
 
 def words(text: Column) -> Column:
     """Lower-case words of the whole text."""
@@ -138,18 +149,77 @@ def vocab_lookup(tokens: DataFrame, vocab: DataFrame, word: str, value: str, def
     )
 
 
+def _chunks(tokens: pa.ListArray) -> Iterator[pa.ListArray]:
+    """Whole rows of about ``CHUNK_BYTES`` of text, a longer row alone."""
+    flat = tokens.flatten()
+    sizes = np.cumsum(np.append(0, pc.binary_length(flat).fill_null(0).to_numpy() + 1), dtype=np.int64)
+    ends = np.cumsum(tokens.value_lengths().fill_null(0).to_numpy(), dtype=np.int64)
+    cuts = (np.flatnonzero(np.diff(sizes[ends] // CHUNK_BYTES)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(tokens)]):
+        yield tokens.slice(a, b - a)
+
+
+def _gram_batch(k: int, grams: pa.Array, df) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), k, np.int32)), grams, pa.array(df, pa.int64())], ["n", "gram", "df"])
+
+
+def _joined_grams(rows: list[list], n: int) -> Iterator[pa.RecordBatch]:
+    """(n, gram, df) counted on the joined texts, null tokens left out of them as by array_join."""
+    for k in range(1, n + 1):
+        held = Counter(g for t in rows for g in {" ".join(w for w in t[i : i + k] if w is not None) for i in range(len(t) - k + 1)})
+        yield _gram_batch(k, pa.array(list(held), pa.string()), list(held.values()))
+
+
+def _coded_grams(tokens: pa.ListArray, n: int) -> Iterator[pa.RecordBatch]:
+    """(n, gram, df) of a chunk: a gram is a number made of the gram before it and one word more, joined to text once."""
+    row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().fill_null(0).to_numpy())
+    coded = tokens.flatten().dictionary_encode()
+    vocab = coded.dictionary
+    word = coded.indices.fill_null(len(vocab)).to_numpy().astype(np.int64)
+    # a null, an empty word or one with a space lets unlike grams have the same text
+    unsure = np.append(pc.or_(pc.equal(vocab, ""), pc.match_substring(vocab, " ")).to_numpy(zero_copy_only=False), True)
+    odd = np.zeros(len(tokens), bool)
+    odd[row[unsure[word]]] = True
+    if odd.any():
+        yield from _joined_grams(tokens.filter(pa.array(odd)).to_pylist(), n)
+        yield from _coded_grams(tokens.filter(pa.array(~odd)), n)
+        return
+    code, texts = word, vocab
+    for k in range(1, n + 1):
+        if k > 1:
+            whole = row[k - 1 :] == row[: max(len(row) - k + 1, 0)]
+            pair = np.where(whole, code[: len(whole)] * len(vocab) + word[k - 1 :], -1)
+            grams = pa.array(pair, mask=~whole).dictionary_encode()
+            code, made = grams.indices.fill_null(-1).to_numpy().astype(np.int64), grams.dictionary.to_numpy()
+            texts = pc.binary_join_element_wise(texts.take(pa.array(made // max(len(vocab), 1))), vocab.take(pa.array(made % max(len(vocab), 1))), " ")
+        live = code >= 0
+        held = np.sort(code[live] * len(tokens) + row[: len(code)][live])
+        once = held[np.diff(held, prepend=-1) > 0] // max(len(tokens), 1)
+        yield _gram_batch(k, texts, np.bincount(once, minlength=len(texts)))
+
+
 def ngram_document_frequency(
     df: DataFrame, key: str, tokens: str, n: int = 4, rows_per_key: str = "many"
 ) -> DataFrame:
     """Documents holding each 1..n-gram.
 
-    A key may have several rows (captions of one image); with rows_per_key='one' the shuffle by key is left out.
+    A key may have several rows (captions of one image). With rows_per_key='one' the shuffle by key is left out, and the
+    rows of a chunk are counted together; no task holds more than a chunk before the shuffle, nor a part after it.
     """
-    grams = df.select(key, F.explode(arrays.ngrams_up_to(tokens, n, distinct=True)).alias("g"))
-    once = grams.select(key, "g.n", "g.gram")
     if rows_per_key == "many":
-        once = once.distinct()
-    return once.groupBy("n", "gram").agg(F.count("*").alias("df"))
+        grams = df.select(key, F.explode(arrays.ngrams_up_to(tokens, n, distinct=True)).alias("g"))
+        return grams.select(key, "g.n", "g.gram").distinct().groupBy("n", "gram").agg(F.count("*").alias("df"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in _chunks(batch.column(0)):
+                yield from _coded_grams(chunk, n)
+
+    listed = df.select(F.col(tokens).cast("array<string>"))
+    parts = min(GRAM_PARTS * listed.rdd.getNumPartitions(), MOST_PARTS)
+    # dealt out before the sum: a sum ahead of the shuffle would hold, and spill, nearly every gram of its task
+    counted = listed.mapInArrow(count, "n int, gram string, df long").repartition(parts, "n", "gram")
+    return counted.groupBy("n", "gram").agg(F.sum("df").alias("df"))
 
 
 def caption_offsets(df: DataFrame, image: str) -> DataFrame:

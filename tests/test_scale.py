@@ -14,6 +14,7 @@ from scenetally.operators import matching as ma
 from scenetally.operators import ordered
 from scenetally.operators import traces as tr
 from scenetally.operators import vectors as ve
+from scenetally.operators import vocabulary as vo
 from scenetally.plans import files, readers, registry
 from scenetally.sources import annotations as sn
 
@@ -224,3 +225,17 @@ def test_shuffles_start_wide(spark):
     spark.conf.set(key, "5000")
     assert registry.widen(spark).conf.get(key) == "5000"
     spark.conf.unset(key)
+
+
+def test_grams_are_dealt_out_before_they_are_summed(spark, monkeypatch):
+    monkeypatch.setattr(vo, "CHUNK_BYTES", 12)
+    rows = [(i, t.split()) for i, t in enumerate(["a b a b a", "b a", "", "é b a c", "a a a a a", "a b", "c", "x y z x y z"])]
+    rows += [(8, None), (9, ["a b", "c"]), (9, ["a", "b c"]), (None, ["a", None, "b", ""]), (0, [None, "a", "a", None])]
+    df = spark.createDataFrame(rows, "k long, t array<string>").coalesce(1)
+    once = [{(k, " ".join(w for w in t[i : i + k] if w is not None)) for k in range(1, 5) for i in range(len(t) - k + 1)} for _, t in rows if t]
+    out = vo.ngram_document_frequency(df, "k", "t", 4, rows_per_key="one")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # top down: every sum stands before the only shuffle, which the counted chunks go through
+    assert plan.rindex("Aggregate") < plan.index("Exchange hashpartitioning(n") < plan.index("MapInArrow") and plan.count("Exchange") == 1
+    assert sorted((r.n, r.gram, r.df) for r in out.collect()) == sorted((*g, c) for g, c in Counter(g for s in once for g in s).items())
+    assert vo.ngram_document_frequency(df.where("false"), "k", "t", 4, rows_per_key="one").count() == 0
