@@ -16,10 +16,8 @@ from scenetally.operators.ordered import positions, running
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 
-# grams of documents: text counted together, shuffle parts for each part read, and at most
+# text of documents whose grams are counted together
 CHUNK_BYTES = 8 << 20
-GRAM_PARTS = 16
-MOST_PARTS = 2048
 
 
 def words(text: Column) -> Column:
@@ -199,12 +197,13 @@ def _coded_grams(tokens: pa.ListArray, n: int) -> Iterator[pa.RecordBatch]:
 
 
 def ngram_document_frequency(
-    df: DataFrame, key: str, tokens: str, n: int = 4, rows_per_key: str = "many"
+    df: DataFrame, key: str, tokens: str, n: int = 4, rows_per_key: str = "many", parts: int | None = None
 ) -> DataFrame:
     """Documents holding each 1..n-gram.
 
     A key may have several rows (captions of one image). With rows_per_key='one' the shuffle by key is left out, and the
-    rows of a chunk are counted together; no task holds more than a chunk before the shuffle, nor a part after it.
+    rows of a chunk are counted together; no task holds more than a chunk before the shuffle, nor one of
+    ``parts`` parts after it.
     """
     if rows_per_key == "many":
         grams = df.select(key, F.explode(arrays.ngrams_up_to(tokens, n, distinct=True)).alias("g"))
@@ -215,10 +214,9 @@ def ngram_document_frequency(
             for chunk in _chunks(batch.column(0)):
                 yield from _coded_grams(chunk, n)
 
-    listed = df.select(F.col(tokens).cast("array<string>"))
-    parts = min(GRAM_PARTS * listed.rdd.getNumPartitions(), MOST_PARTS)
+    counted = df.select(F.col(tokens).cast("array<string>")).mapInArrow(count, "n int, gram string, df long")
     # dealt out before the sum: a sum ahead of the shuffle would hold, and spill, nearly every gram of its task
-    counted = listed.mapInArrow(count, "n int, gram string, df long").repartition(parts, "n", "gram")
+    counted = counted.repartition(*([parts] if parts else []), "n", "gram")
     return counted.groupBy("n", "gram").agg(F.sum("df").alias("df"))
 
 

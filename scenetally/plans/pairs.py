@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scenetally.operators import cooccurrence as co
 from scenetally.operators import vocabulary as vo
-from scenetally.plans.registry import Tables, query, r, spread
+from scenetally.plans.registry import START_PARTS, Tables, query, r, spread
 from scenetally.plans.views import BASKETS, DOC_WORDS, baskets, doc_words
 
 PAIR_COUNTS = BASKETS + """,
@@ -278,8 +278,11 @@ grams AS (""" + " UNION ALL ".join(
 
 @query("ngram_document_frequency", f"WITH {NGRAM_DF} SELECT n, gram, df FROM freq")
 def _(t):
-    listed = spread(t.documents.select("doc_id", "text")).select("doc_id", vo.words(F.col("text")).alias("tokens"))
-    return vo.ngram_document_frequency(listed, "doc_id", "tokens", 4, rows_per_key="one")
+    scan = t.documents.select("doc_id", "text")
+    listed = spread(scan).select("doc_id", vo.words(F.col("text")).alias("tokens"))
+    # the grams take some fifteen times the room of the scan
+    parts = max(START_PARTS, min(16 * scan.rdd.getNumPartitions(), 2048))
+    return vo.ngram_document_frequency(listed, "doc_id", "tokens", 4, rows_per_key="one", parts=parts)
 
 
 @query(
