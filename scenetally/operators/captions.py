@@ -275,9 +275,12 @@ def cider(
 def caption_report(cands: DataFrame, refs: DataFrame, item: str, cand: str, ref_id: str, ref: str) -> tuple[DataFrame, DataFrame]:
     """All metrics per item, and the corpus row (BLEU from corpus counts, the others as means)."""
     texts = pin(_texts(cands, refs, item, cand, ref_id, ref))
-    stats = bleu_statistics(cands, refs, item, cand, ref_id, ref, texts=texts)
-    per = bleu_per_item(stats, item).join(rouge_l(cands, refs, item, cand, ref), item).join(
-        cider(cands, refs, item, cand, ref_id, ref, texts=texts), item
+    # both are asked for twice: by the rows of the items and by the corpus row
+    stats = pin(bleu_statistics(cands, refs, item, cand, ref_id, ref, texts=texts))
+    per = pin(
+        bleu_per_item(stats, item).join(rouge_l(cands, refs, item, cand, ref), item).join(
+            cider(cands, refs, item, cand, ref_id, ref, texts=texts), item
+        )
     )
     means = per.agg(F.avg("rouge_l").alias("rouge_l"), F.avg("cider").alias("cider"))
     corpus = bleu_corpus(stats)

@@ -84,9 +84,12 @@ def _(t):
 
 @query("caption_report")
 def _(t):
+    """Every metric of every item, and those of the whole corpus in the rows without an item."""
     c, refs = sides(t)
-    _, corpus = ca.caption_report(c, refs, "item", "cand", "ref_id", "ref")
-    return corpus.select("metric", r("value"))
+    per, corpus = ca.caption_report(c, refs, "item", "cand", "ref_id", "ref")
+    each = per.unpivot("item", [m for m in per.columns if m != "item"], "metric", "value")
+    whole = corpus.withColumn("item", F.lit(None).cast("string"))
+    return each.unionByName(whole).select("item", "metric", r("value"))
 
 
 IN_ORDER = "list_filter(cand, lambda w, i : list_position(cand, w) = i)"

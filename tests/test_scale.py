@@ -71,6 +71,30 @@ def test_cider_over_several_blocks_equals_one(spark, monkeypatch):
     assert len(one) == 20 and many == pytest.approx(one, abs=1e-12) and all(math.isfinite(v) for v in one.values())
 
 
+def conversation_table(spark, folder):
+    said = [["a b a c", "b a c", "", "a b c d e"], ["x y", "y x y x", "x"], ["a b a c", "a c"], ["z"]]
+    rows = [(i, k, "user", text) for i, turns in enumerate(said) for k, text in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+
+
+def test_caption_report_has_every_item(spark, tmp_path):
+    conversation_table(spark, tmp_path)
+    queries = entry_module.queries()
+    got = {(r.item, r.metric): r.value for r in queries["caption_report"](spark, str(tmp_path)).collect()}
+    want = {
+        (r.item, m): r[m]
+        for name in ("bleu_per_item", "rouge_l", "cider")
+        for r in queries[name](spark, str(tmp_path)).collect()
+        for m in r.asDict() if m != "item"
+    }
+    want |= {(None, m): v for m, v in queries["bleu_corpus"](spark, str(tmp_path)).first().asDict().items()}
+    assert len(want) == 6 * 6 + 4 and {k: got[k] for k in want} == want
+    for m in ("rouge_l", "cider"):
+        every = [v for (i, metric), v in want.items() if i is not None and metric == m]
+        assert got.pop((None, m)) == pytest.approx(sum(every) / len(every), abs=2e-6)
+    assert set(got) == set(want)
+
+
 def test_grid_reads_blocks_without_a_shuffle_of_cells(spark, monkeypatch):
     monkeypatch.setattr(ve, "LEFT_PARTS", 3)
     monkeypatch.setattr(ve, "RIGHT_BLOCKS", 2)
