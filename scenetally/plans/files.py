@@ -152,6 +152,13 @@ def _(t):
 
 
 XML_IMAGES = 50_000
+# text of the files is some ten times a table as Parquet; of a table beyond this many bytes it is compressed
+XML_PLAIN_BYTES = 64 << 20
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Size of a scanned table as Spark plans with it, before columns are left out."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 @query(
@@ -163,8 +170,10 @@ def _(t):
     box = F.struct(F.col("x1").alias("xmin"), F.col("y1").alias("ymin"), F.col("x2").alias("xmax"), F.col("y2").alias("ymax"))
     rows = detections(t).groupBy("image_id").agg(F.collect_list(F.struct(F.col("category").alias("name"), F.lit(0).alias("difficult"), box.alias("bndbox"))).alias("object"))
     out = rows.select(F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("filename"), F.struct(F.lit(200).alias("width"), F.lit(100).alias("height")).alias("size"), "object")
-    # a file is read in one piece
-    out.write.format("xml").option("maxRecordsPerFile", XML_IMAGES).option("rowTag", "annotation").option("rootTag", "annotations").save(f"{base}/xml")
+    # a file is read in one piece, compressed or not; without an indent it is half as long
+    codec = "gzip" if table_bytes(t.lineitem) > XML_PLAIN_BYTES else "none"
+    writer = out.write.format("xml").option("maxRecordsPerFile", XML_IMAGES).option("indent", "").option("compression", codec)
+    writer.option("rowTag", "annotation").option("rootTag", "annotations").save(f"{base}/xml")
     return sn.voc_xml(t.spark, f"{base}/xml").select("image_id", "category", "x1", "y2")
 
 

@@ -204,6 +204,22 @@ def test_xml_files_hold_few_images(spark, tmp_path, monkeypatch):
     assert max(t.count("<filename>") for t in texts) == 2 and sum(t.count("<filename>") for t in texts) == 40
 
 
+def test_xml_of_a_large_table_is_compressed(spark, tmp_path, monkeypatch):
+    rows = [(i, j, 1, 1, i / 7, 100.0 * j, 0.01, 0.02, "A" if i % 3 else None, "F") for i in range(400) for j in (1, 2)]
+    spark.createDataFrame(rows, LINES).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found, sizes = {}, {}
+    for kind, most in (("plain", 64 << 20), ("packed", 0)):
+        monkeypatch.setattr(files, "XML_PLAIN_BYTES", most)
+        monkeypatch.setattr(files, "_folder", lambda t, kind=kind: f"{tmp_path}/{kind}")
+        found[kind] = sorted(map(str, entry_module.queries()["voc_xml"](spark, str(tmp_path)).collect()))
+        parts = list((tmp_path / kind / "xml").glob("part-*"))
+        sizes[kind] = sum(p.stat().st_size for p in parts)
+        assert all(p.name.endswith(".xml.gz") == (kind == "packed") for p in parts)
+    assert len(found["plain"]) == 800 and found["plain"] == found["packed"]
+    # an indent made it some 400 bytes a box
+    assert sizes["plain"] < 250 * 800 and sizes["packed"] * 5 < sizes["plain"]
+
+
 def test_positions_over_everything_shuffle_once(spark, many_slices):
     df = spark.createDataFrame([((i * 37) % 101 if i % 9 else None, str(i)) for i in range(300)], "a int, b string")
     placed = ordered.positions(df, [], ["a", "-b"])
