@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenetally.functions import arrays
+from scenetally.operators import grams as gr
 from scenetally.operators.ordered import positions, running
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 
 # text of documents whose grams are counted together
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
+BATCH_ROWS = 65_536
 
 
 def words(text: Column) -> Column:
@@ -147,6 +148,19 @@ def vocab_lookup(tokens: DataFrame, vocab: DataFrame, word: str, value: str, def
     )
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.ListArray]:
+    """The first columns of several batches in one, until there is a chunk of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch.column(0))
+        size += batch.column(0).nbytes
+        if size >= CHUNK_BYTES:
+            yield pa.concat_arrays(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_arrays(held)
+
+
 def _chunks(tokens: pa.ListArray) -> Iterator[pa.ListArray]:
     """Whole rows of about ``CHUNK_BYTES`` of text, a longer row alone."""
     flat = tokens.flatten()
@@ -157,67 +171,43 @@ def _chunks(tokens: pa.ListArray) -> Iterator[pa.ListArray]:
         yield tokens.slice(a, b - a)
 
 
-def _gram_batch(k: int, grams: pa.Array, df) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), k, np.int32)), grams, pa.array(df, pa.int64())], ["n", "gram", "df"])
-
-
-def _joined_grams(rows: list[list], n: int) -> Iterator[pa.RecordBatch]:
-    """(n, gram, df) counted on the joined texts, null tokens left out of them as by array_join."""
-    for k in range(1, n + 1):
-        held = Counter(g for t in rows for g in {" ".join(w for w in t[i : i + k] if w is not None) for i in range(len(t) - k + 1)})
-        yield _gram_batch(k, pa.array(list(held), pa.string()), list(held.values()))
-
-
-def _coded_grams(tokens: pa.ListArray, n: int) -> Iterator[pa.RecordBatch]:
-    """(n, gram, df) of a chunk: a gram is a number made of the gram before it and one word more, joined to text once."""
-    row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().fill_null(0).to_numpy())
-    coded = tokens.flatten().dictionary_encode()
-    vocab = coded.dictionary
-    word = coded.indices.fill_null(len(vocab)).to_numpy().astype(np.int64)
-    # a null, an empty word or one with a space lets unlike grams have the same text
-    unsure = np.append(pc.or_(pc.equal(vocab, ""), pc.match_substring(vocab, " ")).to_numpy(zero_copy_only=False), True)
-    odd = np.zeros(len(tokens), bool)
-    odd[row[unsure[word]]] = True
-    if odd.any():
-        yield from _joined_grams(tokens.filter(pa.array(odd)).to_pylist(), n)
-        yield from _coded_grams(tokens.filter(pa.array(~odd)), n)
-        return
-    code, texts = word, vocab
-    for k in range(1, n + 1):
-        if k > 1:
-            whole = row[k - 1 :] == row[: max(len(row) - k + 1, 0)]
-            pair = np.where(whole, code[: len(whole)] * len(vocab) + word[k - 1 :], -1)
-            grams = pa.array(pair, mask=~whole).dictionary_encode()
-            code, made = grams.indices.fill_null(-1).to_numpy().astype(np.int64), grams.dictionary.to_numpy()
-            texts = pc.binary_join_element_wise(texts.take(pa.array(made // max(len(vocab), 1))), vocab.take(pa.array(made % max(len(vocab), 1))), " ")
-        live = code >= 0
-        held = np.sort(code[live] * len(tokens) + row[: len(code)][live])
-        once = held[np.diff(held, prepend=-1) > 0] // max(len(tokens), 1)
-        yield _gram_batch(k, texts, np.bincount(once, minlength=len(texts)))
-
-
 def ngram_document_frequency(
     df: DataFrame, key: str, tokens: str, n: int = 4, rows_per_key: str = "many", parts: int | None = None
 ) -> DataFrame:
     """Documents holding each 1..n-gram.
 
-    A key may have several rows (captions of one image). With rows_per_key='one' the shuffle by key is left out, and the
-    rows of a chunk are counted together; no task holds more than a chunk before the shuffle, nor one of
-    ``parts`` parts after it.
+    A key may have several rows (captions of one image). With rows_per_key='one' the shuffle by key is left out, the
+    rows of a chunk are counted together, and what a chunk has for one of ``parts`` numbers is one compressed value; no
+    task holds more than a chunk before the shuffle, nor more than the grams of a number after it.
     """
     if rows_per_key == "many":
         grams = df.select(key, F.explode(arrays.ngrams_up_to(tokens, n, distinct=True)).alias("g"))
         return grams.select(key, "g.n", "g.gram").distinct().groupBy("n", "gram").agg(F.count("*").alias("df"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in _chunks(batch.column(0)):
-                yield from _coded_grams(chunk, n)
+    spark = df.sparkSession
+    numbers = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
-    counted = df.select(F.col(tokens).cast("array<string>")).mapInArrow(count, "n int, gram string, df long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens in _gathered(batches):
+            for chunk in _chunks(tokens):
+                own = np.arange(len(chunk))
+                blobs = list(gr.packed(*gr.coded(chunk, own, np.ones(len(chunk), bool), n), numbers))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["number", "blob"])
+
+    def add(held: pa.Table) -> pa.Table:
+        out = []
+        for k, grams in enumerate(gr.merged(held.column("blobs").combine_chunks().flatten().to_pylist(), n), start=1):
+            sums = gr.totals(grams)
+            for i in range(0, len(sums), BATCH_ROWS):
+                part = sums[i : i + BATCH_ROWS]
+                columns = [pa.array(np.full(len(part), k, np.int32)), grams.texts.slice(i, BATCH_ROWS), pa.array(part)]
+                out.append(pa.RecordBatch.from_arrays(columns, ["n", "gram", "df"]))
+        return pa.Table.from_batches(out, pa.schema([("n", pa.int32()), ("gram", pa.string()), ("df", pa.int64())]))
+
+    blobs = df.select(F.col(tokens).cast("array<string>")).mapInArrow(count, "number int, blob binary")
     # dealt out before the sum: a sum ahead of the shuffle would hold, and spill, nearly every gram of its task
-    counted = counted.repartition(*([parts] if parts else []), "n", "gram")
-    return counted.groupBy("n", "gram").agg(F.sum("df").alias("df"))
+    dealt = blobs.repartition(*([parts] if parts else []), "number").groupBy("number").agg(F.collect_list("blob").alias("blobs"))
+    return dealt.groupBy("number").applyInArrow(add, "n int, gram string, df long")
 
 
 def caption_offsets(df: DataFrame, image: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from scenetally.operators import captions as ca
 from scenetally.operators import detection as de
+from scenetally.operators import grams as gr
 from scenetally.operators import matching as ma
 from scenetally.operators import ordered
 from scenetally.operators import traces as tr
@@ -279,3 +280,34 @@ def test_grams_are_dealt_out_before_they_are_summed(spark, monkeypatch):
     assert plan.rindex("Aggregate") < plan.index("Exchange hashpartitioning(n") < plan.index("MapInArrow") and plan.count("Exchange") == 1
     assert sorted((r.n, r.gram, r.df) for r in out.collect()) == sorted((*g, c) for g, c in Counter(g for s in once for g in s).items())
     assert vo.ngram_document_frequency(df.where("false"), "k", "t", 4, rows_per_key="one").count() == 0
+
+
+def test_grams_are_packed_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(vo, "CHUNK_BYTES", 2000)
+    rng = np.random.default_rng(3)
+    rows = [(i, [f"w{w}" if w % 11 else "é" * w for w in rng.zipf(1.4, 40) % 500 + 1]) for i in range(120)]
+    rows += [(200, ["w1 w2", "w3"]), (201, ["w1", None, "w2", "w3"]), (202, ["w1", "w2", "w3", "w1", "w2"]), (203, [])]
+    out = vo.ngram_document_frequency(spark.createDataFrame(rows, "k long, t array<string>").coalesce(2), "k", "t", 5, rows_per_key="one", parts=7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "gram#" not in plan[plan.index("Exchange") :] and "blob#" in plan[plan.index("Exchange") :]
+    want = Counter(g for _, t in rows for g in {(k, " ".join(w for w in t[i : i + k] if w is not None)) for k in range(1, 6) for i in range(len(t) - k + 1)})
+    assert sorted((r.n, r.gram, r.df) for r in out.collect()) == sorted((*g, c) for g, c in want.items())
+
+
+def test_packed_grams_take_less_room_than_their_words():
+    rng = np.random.default_rng(9)
+    rows = [[f"word{w}" for w in rng.zipf(1.3, 60) % 3000] for _ in range(500)]
+    tokens = vo.pa.array(rows, vo.pa.list_(vo.pa.string()))
+    blobs = dict(gr.packed(*gr.coded(tokens, np.arange(500) // 2, np.arange(500) % 4 < 3, 4), 5))
+    assert sum(map(len, blobs.values())) < sum(len(" ".join(t)) for t in rows)
+    got = {}
+    for blob in blobs.values():
+        for k, grams in enumerate(gr.merged([blob, blob], 4), start=1):
+            got |= {(k, g): int(c) for g, c in zip(grams.texts.to_pylist(), gr.totals(grams))}
+    held = {}
+    for i, t in enumerate(rows):
+        for k in range(1, 5):
+            for j in range(len(t) - k + 1):
+                held.setdefault((k, " ".join(t[j : j + k])), set()).update([i // 2] if i % 4 < 3 else [])
+    # two blobs of the same grams: twice the owners, of the rows that count only
+    assert got == {g: 2 * len(those) for g, those in held.items()}
