@@ -227,3 +227,20 @@ def merged(blobs: Iterable[bytes], n: int) -> Iterator[Merged]:
 def totals(grams: Merged) -> np.ndarray:
     """The sum of the counts of each text, exact below 2^53."""
     return np.bincount(grams.code, weights=grams.count, minlength=len(grams.texts)).astype(np.int64)
+
+
+def listed(some: list[tuple[int, np.ndarray, Merged, np.ndarray]]) -> bytes:
+    """Texts of (order, totals, grams, places among their texts), rising and with their totals, in one blob."""
+    arrays = []
+    for k, sums, grams, places in some:
+        texts = grams.texts.take(pa.array(places))
+        rising = pc.sort_indices(texts)
+        arrays += [np.array([k]), *_texts_out(texts.take(rising)), sums[places][rising.to_numpy()]]
+    return _write(arrays)
+
+
+def unlisted(blob: bytes) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(order, texts, totals) again."""
+    arrays = _read(blob)
+    for i in range(0, len(arrays), 4):
+        yield int(arrays[i][0]), _texts_in(*arrays[i + 1 : i + 3]), arrays[i + 3]

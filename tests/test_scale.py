@@ -72,6 +72,38 @@ def test_cider_over_several_blocks_equals_one(spark, monkeypatch):
     assert len(one) == 20 and many == pytest.approx(one, abs=1e-12) and all(math.isfinite(v) for v in one.values())
 
 
+def test_self_critical_reward_asks_once_for_both_captions(spark, monkeypatch):
+    monkeypatch.setattr(ca, "BLOCK_TOKENS", 30)
+    monkeypatch.setattr(ca, "NUMBER_GRAMS", 60)
+    sampled, refs = caption_tables(spark, 6)
+    greedy = sampled.where("item <> 'b0'").select("item", F.array_distinct("cand").alias("cand"))
+    odd = [("odd", ["x y", None, "", "z"])]
+    sampled = sampled.unionByName(spark.createDataFrame([*odd, (None, ["x"]), ("alone", ["x"])], sampled.schema))
+    greedy = greedy.unionByName(spark.createDataFrame([("odd", ["x", "y z"]), ("odd", ["x"])], greedy.schema))
+    refs = refs.unionByName(spark.createDataFrame([("odd", 0, ["x", "y"]), ("odd", 1, [None, "x y", "z"]), ("odd", 1, None)], refs.schema))
+    names = ("item", "cand", "ref_id", "ref")
+    scores = [{r.item: r.cider for r in ca.cider(c, refs, *names).collect()} for c in (sampled, greedy)]
+    bleu = [{r.item: r.bleu4 for r in ca.bleu_per_item(ca.bleu_statistics(c, refs, *names), "item").collect()} for c in (sampled, greedy)]
+    out = ca.self_critical_reward(sampled, greedy, refs, *names)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "gram#" not in plan
+    got = {r.item: r.reward for r in out.collect()}
+    assert len(got) == 4 * 6 - 1 + 1 and "b0" not in got and got == {i: scores[0][i] - scores[1][i] for i in got}
+    both = ca.self_critical_reward(sampled, greedy, refs, *names, cider_weight=0.5, bleu_weight=2.0)
+    want = {i: 0.5 * (scores[0][i] - scores[1][i]) + 2 * (bleu[0][i] - bleu[1][i]) for i in got}
+    assert {r.item: r.reward for r in both.collect()} == pytest.approx(want)
+
+
+def test_blocks_end_where_their_words_do(spark):
+    cands, refs = caption_tables(spark, 9)
+    texts = ca._texts(cands, refs, "item", "cand", "ref_id", "ref").coalesce(1)
+    sizes = [(r.n_given, r.n_tokens) for r in ca._blocks(texts, 20).collect()]
+    assert sum(g for g, _ in sizes) == 36 and sum(n for _, n in sizes) == texts.agg(F.sum("n_tokens")).first()[0] == 9 * 21
+    assert all(20 <= n < 30 for _, n in sizes[:-1]) and sizes[-1][1] < 30
+    again = ca._unblocked(ca._blocks(texts, 20), texts).collect()
+    assert sorted(map(str, again)) == sorted(map(str, texts.select("item", "texts").collect()))
+
+
 def conversation_table(spark, folder):
     said = [["a b a c", "b a c", "", "a b c d e"], ["x y", "y x y x", "x"], ["a b a c", "a c"], ["z"]]
     rows = [(i, k, "user", text) for i, turns in enumerate(said) for k, text in enumerate(turns)]
