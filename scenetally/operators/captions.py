@@ -26,7 +26,7 @@ from scenetally.session import pin
 
 BATCH_ROWS = 65_536  # counts that one batch of a Python worker gives back
 BLOCK_TOKENS = 400_000  # words of the items that ask together how common their n-grams are
-NUMBER_GRAMS = 4_000_000  # n-grams asked for that are added up together, about
+NUMBER_GRAMS = 10_000_000  # n-grams asked for that are added up together, about
 REFERENCE = -1  # side of a reference; candidates are on side 0, 1, ...
 SMALL, TINY = 1e-9, 1e-15  # fixed smoothing values of the public scorer
 
@@ -45,10 +45,12 @@ def _texts(cands: DataFrame | list[DataFrame], refs: DataFrame, item: str, cand:
     every = rows(refs, REFERENCE, F.col(ref_id), ref)
     for side, own in enumerate(cands if isinstance(cands, list) else [cands]):
         every = every.unionByName(rows(own, side, F.lit(None).cast(kind), cand))
-    every = every.where(F.col(item).isNotNull() & F.col("tokens").isNotNull()).repartition(item)
+    every = every.where(F.col(item).isNotNull()).repartition(item)
     every = every.groupBy(item, "side", "ref", "tokens", "size").agg(F.count("*").alias("m"))
-    texts = F.collect_list(F.struct("side", "ref", "tokens", "m")).alias("texts")
-    return every.groupBy(item).agg(texts, F.sum(F.col("size") * F.col("m")).alias("n_tokens"))
+    # null texts are left out here: as a filter this would stand before the joins behind the tables, and no two sides could share one
+    there = F.col("tokens").isNotNull()
+    texts = F.collect_list(F.when(there, F.struct("side", "ref", "tokens", "m"))).alias("texts")
+    return every.groupBy(item).agg(texts, F.coalesce(F.sum(F.when(there, F.col("size") * F.col("m"))), F.lit(0)).alias("n_tokens"))
 
 
 def _grams(tokens: list, n: int) -> list[list[str]]:

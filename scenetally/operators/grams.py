@@ -60,7 +60,8 @@ def coded(tokens: pa.ListArray, owner: np.ndarray, counts: np.ndarray, n: int) -
         live = (code >= 0) & counts[at]
         held = np.sort(code[live] * owners + owner[at][live])
         once = held[np.diff(held, prepend=-1) > 0] // owners
-        levels.append(Level(parent, last, np.bincount(once, minlength=len(last))))
+        count = np.bincount(once, minlength=len(last))
+        levels.append(Level(*(x.astype(np.int32) for x in (parent, last, count))))
     return vocab, levels, Counter()
 
 
@@ -100,12 +101,13 @@ def _write(arrays: list[np.ndarray]) -> bytes:
 
 
 def _read(blob: bytes) -> list[np.ndarray]:
+    """The arrays again, as wide as they were written."""
     raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     head, at, out = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(-1, 2).tolist(), 8 + 16 * n, []
     for length, width in head:
         planes = np.frombuffer(raw, np.uint8, length * width, at).reshape(width, length)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}").astype(np.int64))
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}"))
         at += length * width
     return out
 
@@ -125,7 +127,7 @@ def packed(vocab: pa.Array, levels: list[Level], odd: Counter, parts: int) -> It
     """(number, blob) for each of ``parts`` numbers that has grams."""
     # in the order of their texts, so that words which begin alike stand together
     rising = pc.sort_indices(vocab)
-    vocab, rank = vocab.take(rising), np.empty(len(vocab), np.int64)
+    vocab, rank = vocab.take(rising), np.empty(len(vocab), np.int32)
     rank[rising.to_numpy()] = np.arange(len(vocab))
     hashes, strange = _hashes(vocab), {}
     for (k, text), count in odd.items():
@@ -140,15 +142,15 @@ def packed(vocab: pa.Array, levels: list[Level], odd: Counter, parts: int) -> It
         if k <= DEALT:
             last = rank[level.last]
             chain = _chained(chain[level.parent], hashes[last], k)
-            number = (chain % np.uint64(parts)).astype(np.int64)
+            number = (chain % np.uint64(parts)).astype(np.int32)
             ids = [*[w[level.parent] for w in ids], last]
-            order = np.argsort(number * (len(vocab) + 1) + ids[0], kind="stable")
+            order = np.argsort(number.astype(np.int64) * (len(vocab) + 1) + ids[0], kind="stable")
             columns, under = [w[order] for w in ids], None
         else:
             number, under = number[level.parent], place[level.parent]
             order = np.argsort(under, kind="stable")
             columns, under = [rank[level.last[order]]], under[order]
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         bounds = np.searchsorted(number[order], np.arange(parts + 1))
         sorted_levels.append((columns, under, level.count[order], bounds))
@@ -193,7 +195,7 @@ def merged(blobs: Iterable[bytes], n: int) -> Iterator[Merged]:
     at, code, texts = 6, None, None
 
     def column(i: int, first: bool = False) -> np.ndarray:
-        return np.concatenate([place[s + (np.cumsum(x[i]) if first else x[i])] for s, x in zip(starts, read)])
+        return np.concatenate([place[s + (np.cumsum(x[i], dtype=np.int64) if first else x[i].astype(np.int64))] for s, x in zip(starts, read)])
 
     def extended(code: np.ndarray, texts: pa.Array, last: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         grams = pa.array(code * len(vocab) + last).dictionary_encode()
@@ -209,10 +211,10 @@ def merged(blobs: Iterable[bytes], n: int) -> Iterator[Merged]:
                 code, texts = extended(code, texts, column(at + i))
             at += k
         else:
-            code, texts = extended(np.repeat(code, np.concatenate([x[at + 1] for x in read])), texts, column(at))
+            code, texts = extended(np.repeat(code, np.concatenate([x[at + 1] for x in read]).astype(np.int64)), texts, column(at))
             at += 2
         blob = np.repeat(np.arange(len(read)), [len(x[at]) for x in read])
-        count = np.concatenate([x[at] for x in read])
+        count = np.concatenate([x[at] for x in read]).astype(np.int64)
         at += 1
         out = Merged(blob, code, count, texts)
         strange = [(i, text, c) for i, x in enumerate(read) if len(x[4]) for text, order, c in zip(_texts_in(*x[2:4]).to_pylist(), x[4], x[5]) if order == k]
@@ -243,4 +245,4 @@ def unlisted(blob: bytes) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """(order, texts, totals) again."""
     arrays = _read(blob)
     for i in range(0, len(arrays), 4):
-        yield int(arrays[i][0]), _texts_in(*arrays[i + 1 : i + 3]), arrays[i + 3]
+        yield int(arrays[i][0]), _texts_in(*arrays[i + 1 : i + 3]), arrays[i + 3].astype(np.int64)

@@ -280,7 +280,7 @@ grams AS (""" + " UNION ALL ".join(
 def _(t):
     scan = t.documents.select("doc_id", "text")
     listed = spread(scan).select("doc_id", vo.words(F.col("text")).alias("tokens"))
-    # the grams take some fifteen times the room of the scan
+    # the grams take some four times the room of the scan packed, and many times that once a number is read
     parts = max(START_PARTS, min(16 * scan.rdd.getNumPartitions(), 2048))
     return vo.ngram_document_frequency(listed, "doc_id", "tokens", 4, rows_per_key="one", parts=parts)
 
